@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import decontaminate, gam, rules, tokencount
+from turnlens.llm import decontaminate, gam, licenses, rules, secrets, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_read(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.digest(_read(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"))
 
@@ -36,6 +44,6 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_token_counts, op6_quality_rules, op8_quality_classifier)
+    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {}
