@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import decontaminate, gam, licenses, rules, secrets, tokencount
+from turnlens.llm import anchors, decontaminate, gam, licenses, rules, secrets, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,7 +43,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier)
+    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier, op9_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
