@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlens.llm import kernel
+from turnlens.llm.durable import checkpointed
 from turnlens.llm.kernel import ALNUM
 
 SPAN = 13
@@ -184,7 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                 }
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
 
-        out = (out.checkpoint() if b else out).mapInArrow(run, schema)
+        out = (checkpointed(out) if b else out).mapInArrow(run, schema)
     return out
 
 

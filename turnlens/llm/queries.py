@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import anchors, decontaminate, gam, licenses, rules, secrets, tokencount
+from turnlens.llm import anchors, decontaminate, gam, jaccard, licenses, rules, secrets, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier, op9_substring_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier, op9_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
