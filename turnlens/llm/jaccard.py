@@ -8,16 +8,16 @@ by themselves and summed for each pair.
 
 Only connected components are reported, so pairs already connected need no
 count. Texts with equal sets are one node. In each round every group of nodes
-that share a prefix member proposes pairs across components, at most one a node
-in the first round and a spanning forest in later ones; verified pairs are
-edges, refuted ones are not proposed again, and the rounds end when no group has
-a possible pair left. No filter can lose a link: lengths, places in the order and a
+that share a prefix member proposes pairs across components, one a node in the
+first round and more in later ones; verified pairs are edges, refuted ones are
+not proposed again, and the rounds end when no group has a possible pair left. No filter can lose a link: lengths, places in the order and a
 512-bit parity map (whose differing bits never outnumber differing members)
 bound the overlap from above.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,8 @@ COMMON = 50_000
 #: An n-gram in fewer texts of a slice than this isn't counted there.
 COMMON_IN_SLICE = 4
 FRAGMENTS = 4
+#: Partners proposed for a node in a group in each round; all, in rounds after these.
+ROUNDS = (1, 16, 256)
 #: A leader's pairs are verified in blocks of about this many.
 BLOCK = 1000
 #: Involved documents are broadcast as ids up to this many (16 bytes each), else joined by a shuffle.
@@ -168,11 +170,14 @@ def _possible(x: dict, i: int, j: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _propose(x: dict, first: bool, refuted: set) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of one group, across components; none that was refuted."""
+def _propose(x: dict, most: int, refuted: dict[int, set[int]]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one group, across components; none that was refuted; all of them if ``most`` is 0.
+
+    The first round (``most`` 1) pairs each row with one leader at most; later
+    ones pair each row outside the largest component with ``most`` others.
+    """
     node = x["node"]
-    if first:
-        # rows follow leaders: each leader takes the possible ones among those not yet taken
+    if most == 1:
         left = np.argsort(kernel.mix(node.view(np.uint64)), kind="stable")
         while len(left) > 1:
             i, rest = left[0], left[1:]
@@ -180,27 +185,18 @@ def _propose(x: dict, first: bool, refuted: set) -> Iterator[tuple[int, int]]:
             yield from ((i, j) for j in rest[ok])
             left = rest[~ok]
         return
-    # every row but those of the largest component meets all rows of other components
-    comps, label, count = np.unique(x["comp"], return_inverse=True, return_counts=True)
-    parent = list(range(len(comps)))
-
-    def top(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
+    _, label, count = np.unique(x["comp"], return_inverse=True, return_counts=True)
     largest = int(np.argmax(count))
     for i in np.flatnonzero(label != largest):
         others = np.flatnonzero(label != label[i])
-        for j in others[_possible(x, i, others)]:
-            a, b = top(label[i]), top(label[j])
-            if a != b and (min(node[i], node[j]), max(node[i], node[j])) not in refuted:
-                parent[a] = b
-                yield i, j
+        others = others[_possible(x, i, others)]
+        known = refuted.get(int(node[i]))
+        if known and len(others):
+            others = others[~np.isin(node[others], list(known))]
+        yield from ((i, j) for j in others[: most or None])
 
 
-def _candidates(nodes: DataFrame, first: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """Distinct pairs (a, b), a the leader, that may be similar and aren't connected.
 
     ``nodes``: node, n, map, comp, refuted (an array of nodes), grams, at.
@@ -215,9 +211,9 @@ def _candidates(nodes: DataFrame, first: bool) -> DataFrame:
         for table in exchange.grouped(batches, "gram"):
             x = {k: table.column(k).to_numpy() for k in ("node", "n", "comp")} | {"at": table.column("at").to_numpy().astype(np.int64)}
             x["map"] = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, _MAP_WORDS)
-            refuted = {(min(a, b), max(a, b)) for a, bs in zip(x["node"], table.column("refuted").to_pylist(), strict=True) for b in bs or ()}
+            refuted = {a: set(bs) for a, bs in zip(x["node"].tolist(), table.column("refuted").to_pylist(), strict=True) if bs}
             new = []
-            for i, j in _propose(x, first, refuted):
+            for i, j in _propose(x, most, refuted):
                 pair = (int(x["node"][i]), int(x["node"][j]))
                 if pair not in seen:
                     new.append(pair)
@@ -297,31 +293,23 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     nodes = classes.where(F.size("grams") > 0).drop("sig")
     none = F.array().cast("array<bigint>")
     links = refuted = labels = None
-    first = True
-    while True:
-        known = nodes
-        if labels is None:
-            known = known.withColumn("comp", F.col("node"))
-        else:
-            known = known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    for most in itertools.chain(ROUNDS, itertools.repeat(0)):
+        known = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if refuted is None:
             known = known.withColumn("refuted", none)
         else:
-            by_node = refuted.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refuted"))
-            known = known.join(by_node, "node", "left")
-        pairs = checkpointed(_candidates(known, first))
+            ways = refuted.select(F.col("a").alias("node"), "b").union(refuted.select(F.col("b").alias("node"), F.col("a").alias("b")))
+            known = known.join(ways.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
+        pairs = checkpointed(_candidates(known, most))
         n_pairs = pairs.count()
-        if not n_pairs and not first:
-            break
-        if n_pairs:
-            told = checkpointed(verified(docs, pairs, n_pairs, text_col, id_col, common))
-            yes, no = told.where("linked").select("a", "b"), told.where("NOT linked").select("a", "b")
-            links = yes if links is None else links.union(yes)
-            refuted = no if refuted is None else refuted.union(no)
-            labels = graph.components(links)
-        elif first:
+        if not n_pairs:
+            # the first round proposes something wherever a pair is possible, and so do the others
             break
-        first = False
+        told = checkpointed(verified(docs, pairs, n_pairs, text_col, id_col, common))
+        yes, no = told.where("linked").select("a", "b"), told.where("NOT linked").select("a", "b")
+        links = yes if links is None else links.union(yes)
+        refuted = no if refuted is None else refuted.union(no)
+        labels = graph.components(links)
     joined = table.select("id", "n", "sig").join(classes.select("sig", "node"), "sig", "left")
     if labels is not None:
         joined = joined.join(labels, "node", "left")
