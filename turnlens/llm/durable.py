@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder is used."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where spark.checkpoint.dir is unset, as in tests, a temporary one is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlens-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a frame in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()

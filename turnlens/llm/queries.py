@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import anchors, decontaminate, gam, jaccard, licenses, rules, secrets, tokencount
+from turnlens.llm import anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, wrapper
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digest(_read(spark, sf_dir, "documents"), token_file("piece_bpe_32k.model"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -51,7 +55,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.digest(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_license_scan, op5_token_counts, op6_quality_rules, op8_quality_classifier, op9_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_secret_scan,
+        op3_jaccard_join,
+        op4_license_scan,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_sentencepiece,
+        op8_quality_classifier,
+        op9_substring_dedup,
+        op10_html_extraction,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -100,6 +101,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.find(text)))
 
 
+@lru_cache(maxsize=2)
+def _counter(model: str, proven: frozenset[str]) -> Counter:
+    """A worker's counter of a model, kept from task to task."""
+    return Counter(model, proven)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """All rows of ``docs`` with n_bytes, n_tokens and over_limit appended.
 
@@ -118,7 +125,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     out = base.withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value)
+        counter = _counter(*shared.value)
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index(text_col))
