@@ -117,7 +117,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _judge(table: pa.Table, width: int, flagged: bool) -> Iterator[pa.RecordBatch]:
+def _judge(table: pa.Table, width: int, flagged: bool, with_keys: bool) -> Iterator[pa.RecordBatch]:
     """For each row of a part, the entries whose key occurs twice or more (and, if ``flagged``, once with a flag)."""
     sizes = table.column("n").to_numpy()
     keys = np.concatenate([np.frombuffer(b.as_py(), f"<u{width}") for b in table.column("keys")])
@@ -138,8 +138,10 @@ def _judge(table: pa.Table, width: int, flagged: bool) -> Iterator[pa.RecordBatc
     for i, n in enumerate(sizes):
         mine = hit[at : at + n]
         if mine.any():
-            row = (0, table.column("chunk")[i].as_py(), int(mine.sum()), keys[at : at + n][mine].tobytes(), unpack_places(table.column("places")[i].as_py())[mine])
-            for name, value in zip(_SCHEMA.names, (*row[:4], row[4].astype("<u4").tobytes(), None, None), strict=True):
+            held = keys[at : at + n][mine].tobytes() if with_keys else None
+            places = pack_places(unpack_places(table.column("places")[i].as_py())[mine])
+            row = (0, table.column("chunk")[i].as_py(), int(mine.sum()), held, places, None, None)
+            for name, value in zip(_SCHEMA.names, row, strict=True):
                 out[name].append(value)
         at += n
     if out["n"]:
@@ -154,12 +156,13 @@ def repeated(
     n_entries: int,
     width: int = 8,
     flagged: bool = False,
+    with_keys: bool = False,
 ) -> DataFrame:
     """What ``answer`` makes of each chunk and its entries whose keys have a counterpart.
 
     ``entries`` turns a batch of ``docs`` into entries and bytes for the
     directory; ``answer`` gets the chunk's word bounds, those bytes, and the
-    places (with ``width`` 8, also the keys) of its repeated entries. With
+    places (``with_keys``, also the keys) of its repeated entries. With
     ``width`` 4 keys are compared by 32 bits beside their part, so a few
     entries too many may come back. A key's own entry never counts as its
     counterpart.
@@ -185,7 +188,7 @@ def repeated(
             if table.column("part")[0].as_py() < 0:
                 yield from table.to_batches()
             else:
-                yield from _judge(table, width, flagged)
+                yield from _judge(table, width, flagged, with_keys)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "chunk"):
@@ -193,12 +196,13 @@ def repeated(
             blob = table.column("directory")[int(np.flatnonzero(part < 0)[0])].as_py()
             end = 8 + int.from_bytes(blob[:8], "little")
             rows = np.flatnonzero(part >= 0)
-            places = [np.frombuffer(table.column("places")[int(i)].as_py(), "<u4") for i in rows]
-            keys = [np.frombuffer(table.column("keys")[int(i)].as_py(), f"<u{width}") for i in rows]
-            places = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
-            keys = np.concatenate(keys) if keys else np.zeros(0, f"<u{width}")
+            none = np.zeros(0, np.int64)
+            places = np.concatenate([none, *(unpack_places(table.column("places")[int(i)].as_py()) for i in rows)])
             order = np.argsort(places, kind="stable")
-            out = answer(np.frombuffer(blob[8:end], "<i8"), blob[end:], places[order], keys[order])
+            keys = none.view(np.uint64)
+            if with_keys and len(rows):
+                keys = np.concatenate([np.frombuffer(table.column("keys")[int(i)].as_py(), f"<u{width}") for i in rows])[order]
+            out = answer(np.frombuffer(blob[8:end], "<i8"), blob[end:], places[order], keys)
             if out is not None and out.num_rows:
                 yield out
 

@@ -154,7 +154,7 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, common: np.ndarray) -
 
     size = exchange.n_words(docs, text_col)
     schema = "id bigint, n bigint, sig binary, map binary, grams array<bigint>, at array<int>"
-    return exchange.repeated(docs.select(F.col(id_col).cast("long"), text_col), entries, answer, schema, size // 4)
+    return exchange.repeated(docs.select(F.col(id_col).cast("long"), text_col), entries, answer, schema, size // 4, with_keys=True)
 
 
 def _possible(x: dict, i: int, j: np.ndarray) -> np.ndarray:
