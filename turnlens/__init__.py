@@ -1,0 +1 @@
+"""Turnlens: analytics over spoken-transcript corpora, on Spark DataFrames."""

@@ -1,4 +1,400 @@
-"""The registry of queries and of the SQL they are compared with."""
+"""Queries by name. Each is a function of (spark, sf_dir) and returns a DataFrame over whole tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlens import vocab
+from turnlens.functions import dates, names
+from turnlens.functions import text as T
+from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
+from turnlens.plans import fixtures, oracle
+from turnlens.sources import bindings as B
+from turnlens.sources import corpus, pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+#: Frequent words of the synthetic texts, which the real lexicons rarely hit.
+TEST_FRAMES = {"articulos": ["the", "los", "las", "die", "les"], "enlaces": ["and", "que", "und", "of"], "crisis": vocab.FRAMES["crisis"]}
+TERM = "the"
+ACTORS = "actor % 10 = 3"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# --- statistics ---------------------------------------------------------------
+
+
+@query
+def corpus_stats_by_date(spark, d):
+    return stats.by_date(B.turns(spark, d))
+
+
+@query
+def corpus_overview(spark, d):
+    return stats.overview(stats.by_date(B.turns(spark, d)))
+
+
+@query
+def turns_by_type(spark, d):
+    return stats.by_type(B.turns(spark, d))
+
+
+@query
+def voice_share_monthly(spark, d):
+    return stats.voice_share(B.turns(spark, d))
+
+
+@query
+def voice_share_pivot(spark, d):
+    return stats.voice_pivot(B.turns(spark, d))
+
+
+@query
+def framing_monthly(spark, d):
+    return stats.framing(B.turns(spark, d), TEST_FRAMES)
+
+
+@query
+def framing_lexicons(spark, d):
+    return stats.framing(B.turns(spark, d))
+
+
+@query
+def framing_pivot(spark, d):
+    return stats.framing_pivot(B.turns(spark, d), TEST_FRAMES)
+
+
+# --- terms --------------------------------------------------------------------
+
+
+@query
+def term_freq_topk(spark, d):
+    return terms.top_terms(B.turns(spark, d).where("tipo = 'presidenta'"), dates.period(F.col("fecha")), "texto", vocab.lexical_stops())
+
+
+@query
+def term_freq_by_source(spark, d):
+    return terms.top_terms(B.read(spark, d, "documents"), F.col("source"), "text", vocab.lexical_stops())
+
+
+@query
+def tfidf_topk(spark, d):
+    turns = B.turns(spark, d).where("tipo = 'presidenta'")
+    return terms.tfidf(turns, *terms.monthly(turns), "texto", vocab.lexical_stops())
+
+
+def _digest(spark, d):
+    docs = B.read(spark, d, "documents").where("lang = 'es'")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    return terms.distinctive(docs, F.col("doc_id") == last, "doc_id", "text", vocab.digest_stops())
+
+
+@query
+def digest_terms(spark, d):
+    return _digest(spark, d)
+
+
+@query
+def digest_pick(spark, d):
+    return terms.pick(_digest(spark, d))
+
+
+@query
+def token_counts(spark, d):
+    t = F.col("text")
+    return B.read(spark, d, "documents").select(
+        "doc_id",
+        T.word_count(t).alias("n_words"),
+        F.size(T.letter_tokens(t)).cast("long").alias("n_letters"),
+        F.size(T.letter_tokens(t, 3)).cast("long").alias("n_letters3"),
+        F.size(T.bigrams(T.letter_tokens(t, 3))).cast("long").alias("n_bigrams"),
+    )
+
+
+# --- concordance --------------------------------------------------------------
+
+
+@query
+def kwic_trend(spark, d):
+    return kwic.trend(kwic.corpus(B.turns(spark, d)), kwic.query(TERM))
+
+
+@query
+def kwic_context(spark, d):
+    return kwic.hits(kwic.corpus(B.turns(spark, d)), TERM).select("conv_id", "fecha", "turno", "at", "ctx")
+
+
+def _date_urls(turns: DataFrame) -> DataFrame:
+    # every third day has no page
+    days = turns.select("fecha").distinct().where("day(fecha) % 3 <> 0")
+    return days.withColumn("url", F.concat(F.lit("https://example.org/a/"), "fecha"))
+
+
+@query
+def kwic_links(spark, d):
+    turns = kwic.corpus(B.turns(spark, d))
+    found = kwic.linked(kwic.hits(turns, TERM), _date_urls(turns), TERM)
+    return found.select("conv_id", "turno", "at", "frase", "link")
+
+
+@query
+def kwic_page(spark, d):
+    return kwic.page(kwic.hits(kwic.corpus(B.turns(spark, d)), TERM), 1).select("conv_id", "fecha", "turno", "at", "ctx")
+
+
+@query
+def kwic_highlight(spark, d):
+    found = kwic.hits(kwic.corpus(B.turns(spark, d)), TERM)
+    return found.groupBy("conv_id", "turno").agg(F.min_by("ctx", "at").alias("ctx")).select("conv_id", "turno", T.highlight(F.col("ctx"), TERM).alias("marked"))
+
+
+# --- actors -------------------------------------------------------------------
+
+
+@query
+def participants(spark, d):
+    return actors.participants(B.official_turns(spark, d))
+
+
+@query
+def participants_compat(spark, d):
+    return actors.participants(B.official_turns(spark, d), compat_squared=True)
+
+
+@query
+def question_count(spark, d):
+    return actors.question_count(B.turns(spark, d))
+
+
+@query
+def actor_timeline_month(spark, d):
+    return timeline.timeline(B.actor_events(spark, d), F.expr(ACTORS))
+
+
+@query
+def actor_timeline_day(spark, d):
+    return timeline.timeline(B.actor_events(spark, d), F.expr(ACTORS), "day")
+
+
+@query
+def actor_timeline_conferences(spark, d):
+    return timeline.timeline(B.actor_events(spark, d), F.expr("actor = 7"), "year", "conferences")
+
+
+@query
+def actor_period_detail(spark, d):
+    return timeline.detail(B.actor_events(spark, d), F.expr("actor = 7"), "2024-01")
+
+
+@query
+def category_aggregate(spark, d):
+    return timeline.category_sizes(B.actor_events(spark, d))
+
+
+@query
+def category_timeline(spark, d):
+    events = B.actor_events(spark, d)
+    return events.groupBy("categoria", dates.period(F.col("fecha"), "day").alias("periodo")).agg(
+        F.count("*").alias("n"), F.count_distinct("actor").alias("actores")
+    )
+
+
+def _labels(spark):
+    return _literal(spark, [(x,) for x in fixtures.LABELS], "label string")
+
+
+@query
+def speaker_classify(spark, d):
+    return _labels(spark).select("label", names.speaker_type(F.col("label")).alias("tipo"), names.category(F.col("label")).alias("categoria"))
+
+
+@query
+def name_split(spark, d):
+    x = names.normal_label(F.col("label"))
+    role, name = names.display_name(F.col("label"))
+    return _labels(spark).select(
+        "label", names.name_segment(x).alias("nombre"), names.role_segment(x).alias("cargo"), role.alias("cargo_vista"), name.alias("nombre_vista")
+    )
+
+
+@query
+def merge_key(spark, d):
+    x = names.normal_label(F.col("label"))
+    return _labels(spark).select("label", names.state(x).alias("estado"), names.person_key(x).alias("persona"), names.merge_key(x).alias("clave"))
+
+
+@query
+def entity_groups(spark, d):
+    found = actors.groups(actors.variants(B.official_turns(spark, d)))
+    return actors.connected(found, actors.containment_edges(found))
+
+
+@query
+def office_match(spark, d):
+    return actors.office_match(actors.groups(actors.variants(B.official_turns(spark, d))))
+
+
+@query
+def officials_ranking(spark, d):
+    return actors.ranking(actors.resolve(B.official_turns(spark, d)))
+
+
+@query
+def official_dates(spark, d):
+    turns = B.official_turns(spark, d)
+    return actors.actor_dates(turns, actors.resolve(turns)).groupBy("nombre").agg(F.count("*").alias("turnos"), F.count_distinct("fecha").alias("fechas"))
+
+
+# --- documents and pages ------------------------------------------------------
+
+
+def _transcripts(spark):
+    return _literal(spark, fixtures.TRANSCRIPTS, "file string, value string")
+
+
+@query
+def turn_segmentation(spark, d):
+    return parsing.segment(_transcripts(spark))
+
+
+@query
+def document_header(spark, d):
+    return corpus.documents(_transcripts(spark)).select("file", "url", "fecha", "titulo", "incompleto", F.length("body").alias("n"))
+
+
+@query
+def date_url_map(spark, d):
+    return corpus.date_urls(_transcripts(spark))
+
+
+@query
+def latest_document(spark, d):
+    return corpus.latest(corpus.documents(_transcripts(spark))).select("file", "fecha", "titulo")
+
+
+@query
+def paragraph_clean(spark, d):
+    out = B.read(spark, d, "documents").select("doc_id", T.clean_paragraphs(F.col("text")).alias("texto"))
+    return out.where(F.length("texto") >= 500)
+
+
+@query
+def page_links(spark, d):
+    return pages.links(B.read(spark, d, "pages"))
+
+
+@query
+def url_dedup(spark, d):
+    return pages.first_of_each(pages.links(B.read(spark, d, "pages")))
+
+
+@query
+def page_title_text(spark, d):
+    out = pages.extract_documents(B.read(spark, d, "pages").select("page_id", "html"))
+    return out.select("page_id", "titulo", F.length("texto").alias("n"))
+
+
+@query
+def page_url_list(spark, d):
+    return pages.page_urls(spark, "https://example.org", 4)
+
+
+@query
+def date_from_slug(spark, d):
+    u = F.col("url")
+    slugs = _literal(spark, [(x,) for x in fixtures.SLUGS], "url string")
+    return slugs.select("url", dates.slug_date_text(u).alias("texto"), dates.slug_date(u).cast("string").alias("fecha"))
+
+
+def _archive_links(spark):
+    return _literal(spark, [(1, i, x) for i, x in enumerate(fixtures.SLUGS)], "page_id int, pos int, href string")
+
+
+@query
+def archive_articles(spark, d):
+    return pages.article_links(_archive_links(spark), "https://example.org").withColumn("fecha", F.col("fecha").cast("string"))
+
+
+@query
+def archive_latest(spark, d):
+    return pages.latest_article(_archive_links(spark), "https://example.org")
+
+
+@query
+def pending_fetch(spark, d):
+    links = B.actor_events(spark, d).select("fecha").distinct().withColumn("url", F.concat(F.lit("u/"), "fecha"))
+    docs = links.where("day(fecha) % 2 = 0").select("fecha", (F.dayofmonth(F.col("fecha").cast("date")) % 4 == 0).alias("incompleto"))
+    return corpus.pending(links, docs)
+
+
+@query
+def document_upsert(spark, d):
+    schema = "file string, url string, fecha string, titulo string, incompleto boolean, body string"
+    old, new = (_literal(spark, x, schema) for x in (fixtures.STORED, fixtures.FETCHED))
+    return corpus.upsert(old, new).select("fecha", "file", "incompleto", "titulo")
+
+
+@query
+def period_labels(spark, d):
+    day = F.col("fecha")
+    return B.turns(spark, d).select("fecha").distinct().select(
+        "fecha", dates.month_label(dates.period(day)).alias("mes"), dates.long_date(day).alias("largo"), dates.period(day, "year").alias("anio")
+    )
+
+
+# --- topics and streaming -----------------------------------------------------
+
+
+def _topics(spark, d):
+    return topics.fit(B.turns(spark, d).where("tipo = 'presidenta'"), vocab.lexical_stops())
+
+
+@query
+def lda_topics(spark, d):
+    found = _topics(spark, d)
+    if found is None:
+        return _literal(spark, [], "topico int, rank int, termino string")
+    return topics.labels(found[0], found[1])
+
+
+@query
+def topic_share_date(spark, d):
+    found = _topics(spark, d)
+    return _literal(spark, [], "fecha string, topico int, peso double") if found is None else topics.by_date(found[1], found[2])
+
+
+@query
+def topic_share_month(spark, d):
+    found = _topics(spark, d)
+    return _literal(spark, [], "mes string, t0 int") if found is None else topics.percent_pivot(topics.by_month(topics.by_date(found[1], found[2])))
+
+
+@query
+def incremental_ingest(spark, d):
+    from turnlens.streaming.ingest import ingest
+
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlens-")
+    base = f"{folder.rstrip('/')}/ingest-{context.applicationId}-{fixtures.stamp()}"
+    for file, value in fixtures.TRANSCRIPTS:
+        name = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in/{file}")
+        out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name)
+        out.write(bytearray(value.encode("utf-8")))
+        out.close()
+    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", least=1)
+    return spark.read.parquet(f"{base}/out").select(F.col("fecha").cast("string").alias("fecha"), "file", "titulo", "incompleto")
+
+
+ORACLE_SQL = oracle.build(vocab.lexical_stops(), vocab.digest_stops(), TEST_FRAMES, TERM)
