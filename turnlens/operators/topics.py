@@ -41,8 +41,11 @@ def labels(vectorizer: CountVectorizerModel, model: LDAModel, words: int = WORDS
 
 
 def by_date(model: LDAModel, counted: DataFrame) -> DataFrame:
-    """(fecha, topico, peso): the mean over a date's turns, four digits."""
-    long = model.transform(counted).select("fecha", F.posexplode(vector_to_array("topicDistribution")).alias("topico", "p"))
+    """(fecha, topico, peso): the mean over a date's turns, four digits; a turn without a known word is spread evenly."""
+    found = model.transform(counted).select("fecha", vector_to_array("topicDistribution").alias("v"))
+    known = F.exists("v", lambda p: p > 0)
+    even = F.transform("v", lambda p: F.lit(1.0) / F.size("v"))
+    long = found.select("fecha", F.posexplode(F.when(known, F.col("v")).otherwise(even)).alias("topico", "p"))
     return long.groupBy("fecha", "topico").agg(F.round(F.avg("p"), 4).alias("peso"))
 
 
