@@ -353,4 +353,4 @@ def test_window_hashes_do_not_depend_on_their_place():
     part = next(kernel.slices(pa.array(["x a b c a b c", None, "a b c"])))
     words = kernel.split(part, kernel.BLANK)
     found = kernel.hash_windows(kernel.hash_words(part, words, kernel.BLANK), 3)
-    assert found[1] == found[4] == found[7] and len(set(found.tolist())) == 6
+    assert found[1] == found[4] == found[7] and len(set(found.tolist())) == 4

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnlens.llm import anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, wrapper
+from turnlens.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
