@@ -117,6 +117,27 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (the last one of fewer), none of which ends within a group; batches are sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        column = table.column(key).to_numpy()
+        cut = int(np.searchsorted(column, column[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+        n = table.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _judge(table: pa.Table, width: int, flagged: bool, with_keys: bool) -> Iterator[pa.RecordBatch]:
     """For each row of a part, the entries whose key occurs twice or more (and, if ``flagged``, once with a flag)."""
     sizes = table.column("n").to_numpy()

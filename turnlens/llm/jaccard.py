@@ -37,8 +37,11 @@ COMMON = 50_000
 #: An n-gram in fewer texts of a slice than this isn't counted there.
 COMMON_IN_SLICE = 4
 FRAGMENTS = 4
-#: Partners proposed for a node in a group in each round; all, in rounds after these.
-ROUNDS = (1, 16, 256)
+#: In groups of at most this many nodes all possible pairs are proposed at once.
+SMALL = 32
+#: Partners proposed for a node in a larger group in each round; all, in rounds after these.
+ROUNDS = (1, 64)
+ROWS = 1 << 16
 #: A leader's pairs are verified in blocks of about this many.
 BLOCK = 1000
 #: Involved documents are broadcast as ids up to this many (16 bytes each), else joined by a shuffle.
@@ -77,8 +80,8 @@ def common_shingles(docs: DataFrame, text_col: str, most: int = COMMON) -> np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "gram").limit(most).collect()
-    return np.array([r["gram"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy()
+    return found[::-1].copy().view(np.uint64)
 
 
 class Order:
@@ -113,11 +116,36 @@ def parity_map(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n, _MAP_WORDS)
 
 
+def _map_sizes(n: np.ndarray) -> np.ndarray:
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), 9, 16).astype(np.int64)
+
+
+def wide_maps(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity maps of two bits a member or more, a power of two from 512 to 65536; a longer one folds onto a shorter."""
+    n = np.diff(bounds)
+    size = _map_sizes(n)
+    head = np.r_[0, np.cumsum(size)]
+    owner = kernel.owners(bounds)
+    cell = head[owner] + ((grams >> U64(29)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.packbits((np.bincount(cell, minlength=head[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [flat[x // 8 : y // 8] for x, y in zip(head[:-1], head[1:], strict=True)]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two maps, at most the number of differing members."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 _DOCS = np.dtype([("id", "<i8"), ("n", "<i8"), ("sig", "<u8", 2), ("map", "<u8", _MAP_WORDS)])
 
 
 def _prefixes(docs: DataFrame, text_col: str, id_col: str, common: np.ndarray) -> DataFrame:
-    """For each row: id, n, sig, map, and the prefix members shared with another text (hashes, places in the order)."""
+    """For each row: id, n, sig, maps, and the prefix members shared with another text (hashes, places in the order)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def entries(batch: pa.RecordBatch) -> Iterator[tuple[exchange.Entries, bytes]]:
@@ -133,10 +161,20 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, common: np.ndarray) -
             grams = grams[np.lexsort((grams, order.ranks(grams), owner))]
             place = np.arange(len(grams)) - bounds[owner]
             first = np.flatnonzero(place < (n - -(-LEAST * n // 100) + 1)[owner])
-            yield exchange.Entries(grams[first], first, np.zeros(len(first), bool), bounds), about.tobytes()
+            wide = b"".join(wide_maps(grams, bounds))
+            extra = len(n).to_bytes(8, "little") + len(wide).to_bytes(8, "little") + about.tobytes() + wide
+            yield exchange.Entries(grams[first], first, np.zeros(len(first), bool), bounds), extra
 
     def answer(bounds: np.ndarray, extra: bytes, places: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        about = np.frombuffer(extra, _DOCS)
+        tables, wide, read = [], [], 0
+        while read < len(extra):
+            count, size = (int.from_bytes(extra[read + k : read + k + 8], "little") for k in (0, 8))
+            tables.append(np.frombuffer(extra, _DOCS, count, read + 16))
+            read += 16 + count * _DOCS.itemsize
+            cuts = np.r_[0, np.cumsum(_map_sizes(tables[-1]["n"])) // 8]
+            wide += [extra[read + x : read + y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            read += size
+        about = np.concatenate(tables)
         cut = np.searchsorted(places, bounds)
         own = places - bounds[np.repeat(np.arange(len(about)), np.diff(cut))]
         flat = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v.astype(kind)))
@@ -146,30 +184,45 @@ def _prefixes(docs: DataFrame, text_col: str, id_col: str, common: np.ndarray) -
                 pa.array(about["n"]),
                 pa.array([x.tobytes() for x in about["sig"]], pa.binary()),
                 pa.array([x.tobytes() for x in about["map"]], pa.binary()),
+                pa.array(wide, pa.binary()),
                 flat(keys.view(np.int64), np.int64),
                 flat(own, np.int32),
             ],
-            names=["id", "n", "sig", "map", "grams", "at"],
+            names=["id", "n", "sig", "map", "wide", "grams", "at"],
         )
 
     size = exchange.n_words(docs, text_col)
-    schema = "id bigint, n bigint, sig binary, map binary, grams array<bigint>, at array<int>"
+    schema = "id bigint, n bigint, sig binary, map binary, wide binary, grams array<bigint>, at array<int>"
     return exchange.repeated(docs.select(F.col(id_col).cast("long"), text_col), entries, answer, schema, size // 4, with_keys=True)
 
 
-def _possible(x: dict, i: int, j: np.ndarray) -> np.ndarray:
-    """Which of rows j may be similar enough to row i, by length, place in the order and parity map."""
+def _possible(x: dict, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """Which of rows j may be similar enough to row(s) i, by length, place in the order and parity map."""
     n, at = x["n"], x["at"]
+    i = np.broadcast_to(i, j.shape)
     both = n[i] + n[j]
     length = 100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j])
     shared = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
     ok = length & ((100 + LEAST) * shared >= LEAST * both)
-    j = j[ok]
-    apart = np.bitwise_count(x["map"][i] ^ x["map"][j]).sum(axis=1, dtype=np.int64)
-    ok[ok] = (100 + LEAST) * apart <= (100 - LEAST) * both[ok]
+    differ = np.bitwise_count(x["map"][i[ok]] ^ x["map"][j[ok]]).sum(axis=1, dtype=np.int64)
+    ok[ok] = (100 + LEAST) * differ <= (100 - LEAST) * both[ok]
     return ok
 
 
+def _all_pairs(x: dict, sizes: np.ndarray) -> np.ndarray:
+    """All possible pairs of rows of the small groups; ``sizes`` has each row's group's size. Rows of a group follow each other."""
+    gram, found = x["gram"], []
+    at = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+    for d in range(1, SMALL):
+        at = at[at + d < len(gram)]
+        at = at[gram[at] == gram[at + d]]
+        if not len(at):
+            break
+        ok = _possible(x, at, at + d)
+        found.append(np.stack([x["node"][at[ok]], x["node"][at[ok] + d]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _propose(x: dict, most: int, refuted: dict[int, set[int]]) -> Iterator[tuple[int, int]]:
     """Pairs of rows of one group, across components; none that was refuted; all of them if ``most`` is 0.
 
@@ -196,37 +249,70 @@ def _propose(x: dict, most: int, refuted: dict[int, set[int]]) -> Iterator[tuple
         yield from ((i, j) for j in others[: most or None])
 
 
+def _columns(table: pa.Table) -> dict:
+    x = {k: table.column(k).to_numpy() for k in ("gram", "node", "n")} | {"at": table.column("at").to_numpy().astype(np.int64)}
+    x["map"] = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, _MAP_WORDS)
+    return x
+
+
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """Distinct pairs (a, b), a the leader, that may be similar and aren't connected.
 
-    ``nodes``: node, n, map, comp, refuted (an array of nodes), grams, at.
+    ``nodes``: node, n, map, grams, at; after the first round also comp and refuted (an array of nodes).
     """
-    tokens = nodes.select("node", "comp", F.explode("grams").alias("gram"))
-    split = tokens.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    rows = nodes.select("node", "n", "map", "comp", "refuted", F.explode(F.arrays_zip("grams", "at")).alias("t"))
-    rows = rows.select(F.col("t.grams").alias("gram"), F.col("t.at").alias("at"), "node", "n", "map", "comp", "refuted").join(split, "gram")
+    first = most == 1
+    label = "node" if first else "comp"
+    tokens = nodes.select(label, F.explode("grams").alias("gram"))
+    split = tokens.groupBy("gram").agg(F.min(label).alias("x"), F.max(label).alias("y"), F.count("*").alias("size")).where("x <> y")
+    split = split.where(F.col("size") > (1 if first else SMALL)).select("gram")
+    more = [] if first else ["comp", "refuted"]
+    rows = nodes.select("node", "n", "map", *more, F.explode(F.arrays_zip("grams", "at")).alias("t"))
+    rows = rows.select(F.col("t.grams").alias("gram"), F.col("t.at").alias("at"), "node", "n", "map", *more).join(split, "gram")
+
+    def pairs_of(table: pa.Table) -> list[np.ndarray]:
+        x = _columns(table)
+        heads = np.flatnonzero(np.r_[True, x["gram"][1:] != x["gram"][:-1]])
+        counts = np.diff(np.r_[heads, len(x["gram"])])
+        found = [_all_pairs(x, np.repeat(counts, counts))] if first else []
+        for h, c in zip(heads[counts > SMALL], counts[counts > SMALL], strict=True):
+            own = {k: v[h : h + c] for k, v in x.items()}
+            refuted = {}
+            if not first:
+                part = table.slice(h, c)
+                own["comp"] = part.column("comp").to_numpy()
+                refuted = {a: set(bs) for a, bs in zip(own["node"].tolist(), part.column("refuted").to_pylist(), strict=True) if bs}
+            pairs = list(_propose(own, most, refuted))
+            if pairs:
+                found.append(own["node"][np.array(pairs)])
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for table in exchange.grouped(batches, "gram"):
-            x = {k: table.column(k).to_numpy() for k in ("node", "n", "comp")} | {"at": table.column("at").to_numpy().astype(np.int64)}
-            x["map"] = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, _MAP_WORDS)
-            refuted = {a: set(bs) for a, bs in zip(x["node"].tolist(), table.column("refuted").to_pylist(), strict=True) if bs}
-            new = []
-            for i, j in _propose(x, most, refuted):
-                pair = (int(x["node"][i]), int(x["node"][j]))
-                if pair not in seen:
-                    new.append(pair)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(new)[:, k]) for k in (0, 1)], names=["a", "b"])
+        for table in exchange.whole_groups(batches, "gram", ROWS):
+            found = pairs_of(table)
+            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in (0, 1)], names=["a", "b"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint")
     # one pair however it was proposed
-    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    pairs = pairs.groupBy(low.alias("x"), high.alias("y")).agg(F.min("a").alias("a"))
+    return pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, plausible): whether the wide parity maps allow a link."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, u, v = (batch.column(i).to_pylist() for i in range(6))
+            ok = [(100 + LEAST) * apart(p, q) <= (100 - LEAST) * (n + m) for n, m, p, q in zip(x, y, u, v, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "plausible"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "w_a", "w_b")
+    return both.mapInArrow(run, "a bigint, b bigint, plausible boolean")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, text_col: str, id_col: str, common: np.ndarray) -> DataFrame:
@@ -270,6 +356,18 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, text_col: str, id_
     return whole.select("a", "b", (100 * F.col("overlap") >= LEAST * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked"))
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after more links: components of the components that the links join."""
+    if labels is None:
+        return graph.components(links)
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}"))
+    high = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    top = graph.components(high.where("a <> b").distinct())
+    moved = labels.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    fresh = top.join(labels, "node", "left_anti").select("node", "comp")
+    return checkpointed(moved.union(fresh))
+
+
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``; ids are whole numbers.
 
@@ -287,29 +385,30 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     classes = checkpointed(
         table.where("n > 0")
         .groupBy("sig")
-        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("map").alias("map"), F.first(F.struct("grams", "at")).alias("p"))
-        .select("sig", "node", "n", "map", "p.*")
+        .agg(F.min("id").alias("node"), F.first(F.struct("n", "map", "wide", "grams", "at")).alias("p"))
+        .select("sig", "node", "p.*")
     )
     nodes = classes.where(F.size("grams") > 0).drop("sig")
-    none = F.array().cast("array<bigint>")
-    links = refuted = labels = None
+    refuted = labels = None
     for most in itertools.chain(ROUNDS, itertools.repeat(0)):
-        known = nodes.withColumn("comp", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if refuted is None:
-            known = known.withColumn("refuted", none)
-        else:
+        known = nodes
+        if refuted is not None:
             ways = refuted.select(F.col("a").alias("node"), "b").union(refuted.select(F.col("b").alias("node"), F.col("a").alias("b")))
+            own = nodes.withColumn("comp", F.lit(None).cast("long")) if labels is None else nodes.join(labels, "node", "left")
+            known = own.withColumn("comp", F.coalesce("comp", "node"))
             known = known.join(ways.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
-        pairs = checkpointed(_candidates(known, most))
-        n_pairs = pairs.count()
-        if not n_pairs:
-            # the first round proposes something wherever a pair is possible, and so do the others
+        pairs = checkpointed(_plausible(_candidates(known, most), nodes))
+        counts = {r["plausible"]: r["count"] for r in pairs.groupBy("plausible").count().collect()}
+        if not counts:
+            # where a pair is possible, every round proposes one
             break
-        told = checkpointed(verified(docs, pairs, n_pairs, text_col, id_col, common))
-        yes, no = told.where("linked").select("a", "b"), told.where("NOT linked").select("a", "b")
-        links = yes if links is None else links.union(yes)
+        no = pairs.where("NOT plausible").select("a", "b")
+        if n_likely := counts.get(True, 0):
+            told = checkpointed(verified(docs, pairs.where("plausible").select("a", "b"), n_likely, text_col, id_col, common))
+            no = no.union(told.where("NOT linked").select("a", "b"))
+            links = told.where("linked").select("a", "b")
+            labels = _merged(labels, links)
         refuted = no if refuted is None else refuted.union(no)
-        labels = graph.components(links)
     joined = table.select("id", "n", "sig").join(classes.select("sig", "node"), "sig", "left")
     if labels is not None:
         joined = joined.join(labels, "node", "left")
