@@ -33,9 +33,10 @@ N = 5
 #: Similarity in percent.
 LEAST = 80
 #: At most this many of the commonest n-grams, by a lower bound of their number, go last in the global order.
-COMMON = 50_000
-#: An n-gram in fewer texts of a slice than this isn't counted there.
-COMMON_IN_SLICE = 4
+COMMON = 200_000
+#: An n-gram in fewer texts of a stretch (of about STRETCH n-grams) than this isn't counted there.
+COMMON_IN_STRETCH = 3
+STRETCH = 1 << 21
 FRAGMENTS = 4
 #: In groups of at most this many nodes all possible pairs are proposed at once.
 SMALL = 32
@@ -71,13 +72,22 @@ def shingles(part: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
 def common_shingles(docs: DataFrame, text_col: str, most: int = COMMON) -> np.ndarray:
     """Hashes of the commonest shingles, the least common of them first. They only shape the order, never the result."""
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= COMMON_IN_STRETCH
+        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for part in kernel.slices(batch.column(0), 4 * kernel.SLICE_BYTES):
-                grams, _ = shingles(part)
-                found, n = np.unique(grams, return_counts=True)
-                often = n >= COMMON_IN_SLICE
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+            for part in kernel.slices(batch.column(0)):
+                held.append(shingles(part)[0])
+                size += len(held[-1])
+                if size >= STRETCH:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
 
     counts = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy()
