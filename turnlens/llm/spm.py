@@ -9,6 +9,7 @@ each distinct word is encoded once for as long as a worker remembers it.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -57,6 +58,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+codecs.register_error("mark_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class Model(NamedTuple):
     """What a model file says."""
 
@@ -147,6 +151,7 @@ class Encoder(dict):
             and not any(marked.search(p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
         )
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.bytes_of = [_bytes(p, kind) for p, _, kind in self.model.pieces]
 
     def _learn(self, words: list[str]) -> list[bytes]:
         out = [np.array(e.ids, dtype="<i4").tobytes() for e in self.bare.encode_batch(words, add_special_tokens=False)]
@@ -171,8 +176,22 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """The texts that ids stand for."""
-        return self.whole.decode_batch(ids, skip_special_tokens=True)
+        """The texts that ids stand for, from their pieces' bytes, as the model's own library gives them."""
+        out = []
+        for one in ids:
+            whole = b"".join(map(self.bytes_of.__getitem__, one))
+            first = next((p for p, _, kind in map(self.model.pieces.__getitem__, one) if kind != CONTROL), "")
+            if self.model.dummy_prefix and first.startswith(MARK):
+                whole = whole[1:]
+            out.append(whole.decode("utf-8", errors="mark_each_byte"))
+        return out
+
+
+def _bytes(piece: str, kind: int) -> bytes:
+    """What a piece adds to a decoded text."""
+    if kind == BYTE:
+        return bytes([int(piece[3:5], 16)])
+    return {CONTROL: b"", UNKNOWN: " \u2047 ".encode()}.get(kind, piece.replace(MARK, " ").encode("utf-8"))
 
 
 @lru_cache(maxsize=2)
