@@ -265,49 +265,55 @@ def _columns(table: pa.Table) -> dict:
     return x
 
 
-def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs (a, b), a the leader, that may be similar and aren't connected.
+def _candidates(nodes: DataFrame, most: int, open_groups: DataFrame | None) -> DataFrame:
+    """(a, b, gram): pairs, a the leader, that may be similar and aren't connected; gram only for those of large groups.
 
-    ``nodes``: node, n, map, grams, at; after the first round also comp and refuted (an array of nodes).
+    ``nodes``: node, n, map, grams, at; after the first round also comp and
+    refuted (an array of nodes). Where the first round proposes nothing in a large
+    group, it has compared all its pairs, so later rounds look only at
+    ``open_groups``.
     """
     first = most == 1
     label = "node" if first else "comp"
     tokens = nodes.select(label, F.explode("grams").alias("gram"))
-    split = tokens.groupBy("gram").agg(F.min(label).alias("x"), F.max(label).alias("y"), F.count("*").alias("size")).where("x <> y")
-    split = split.where(F.col("size") > (1 if first else SMALL)).select("gram")
+    if not first:
+        tokens = tokens.join(open_groups, "gram")
+    split = tokens.groupBy("gram").agg(F.min(label).alias("x"), F.max(label).alias("y")).where("x <> y").select("gram")
     more = [] if first else ["comp", "refuted"]
     rows = nodes.select("node", "n", "map", *more, F.explode(F.arrays_zip("grams", "at")).alias("t"))
-    rows = rows.select(F.col("t.grams").alias("gram"), F.col("t.at").alias("at"), "node", "n", "map", *more).join(split, "gram")
-
-    def pairs_of(table: pa.Table) -> list[np.ndarray]:
-        x = _columns(table)
-        heads = np.flatnonzero(np.r_[True, x["gram"][1:] != x["gram"][:-1]])
-        counts = np.diff(np.r_[heads, len(x["gram"])])
-        found = [_all_pairs(x, np.repeat(counts, counts))] if first else []
-        for h, c in zip(heads[counts > SMALL], counts[counts > SMALL], strict=True):
-            own = {k: v[h : h + c] for k, v in x.items()}
-            refuted = {}
-            if not first:
-                part = table.slice(h, c)
-                own["comp"] = part.column("comp").to_numpy()
-                refuted = {a: set(bs) for a, bs in zip(own["node"].tolist(), part.column("refuted").to_pylist(), strict=True) if bs}
-            pairs = list(_propose(own, most, refuted))
-            if pairs:
-                found.append(own["node"][np.array(pairs)])
-        return found
+    rows = rows.select(F.col("t.grams").alias("gram"), F.col("t.at").alias("at"), "node", "n", "map", *more)
+    rows = (rows if first else rows.join(open_groups, "gram")).join(split, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in exchange.whole_groups(batches, "gram", ROWS):
-            found = pairs_of(table)
-            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in (0, 1)], names=["a", "b"])
+            x = _columns(table)
+            heads = np.flatnonzero(np.r_[True, x["gram"][1:] != x["gram"][:-1]])
+            counts = np.diff(np.r_[heads, len(x["gram"])])
+            if first:
+                pairs = np.unique(_all_pairs(x, np.repeat(counts, counts)), axis=0)
+                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram"])
+            for h, c in zip(heads[counts > SMALL], counts[counts > SMALL], strict=True):
+                own = {k: v[h : h + c] for k, v in x.items()}
+                refuted = {}
+                if not first:
+                    part = table.slice(h, c)
+                    own["comp"] = part.column("comp").to_numpy()
+                    refuted = {a: set(bs) for a, bs in zip(own["node"].tolist(), part.column("refuted").to_pylist(), strict=True) if bs}
+                pairs = list(_propose(own, most, refuted))
+                if pairs:
+                    pairs = own["node"][np.array(pairs)]
+                    columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), own["gram"][0]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint")
-    # one pair however it was proposed
+    return rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, gram bigint")
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    """(a, b): one pair however it was proposed."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    pairs = pairs.groupBy(low.alias("x"), high.alias("y")).agg(F.min("a").alias("a"))
+    pairs = found.groupBy(low.alias("x"), high.alias("y")).agg(F.min("a").alias("a"))
     return pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
@@ -399,7 +405,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
         .select("sig", "node", "p.*")
     )
     nodes = classes.where(F.size("grams") > 0).drop("sig")
-    refuted = labels = None
+    refuted = labels = open_groups = None
     for most in itertools.chain(ROUNDS, itertools.repeat(0)):
         known = nodes
         if refuted is not None:
@@ -407,7 +413,11 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             own = nodes.withColumn("comp", F.lit(None).cast("long")) if labels is None else nodes.join(labels, "node", "left")
             known = own.withColumn("comp", F.coalesce("comp", "node"))
             known = known.join(ways.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
-        pairs = checkpointed(_plausible(_candidates(known, most), nodes))
+        found = checkpointed(_candidates(known, most, open_groups))
+        if open_groups is None:
+            groups = checkpointed(found.where("gram IS NOT NULL").select("gram").distinct())
+            open_groups = F.broadcast(groups) if groups.count() <= FEW else groups
+        pairs = checkpointed(_plausible(_distinct(found), nodes))
         counts = {r["plausible"]: r["count"] for r in pairs.groupBy("plausible").count().collect()}
         if not counts:
             # where a pair is possible, every round proposes one
