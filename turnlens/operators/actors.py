@@ -55,18 +55,22 @@ def containment_edges(found: DataFrame) -> DataFrame:
     return pairs.where((F.size(short) >= 2) & (F.size(F.array_except(short, long)) == 0)).select("a", "b")
 
 
+def _keep(frame: DataFrame) -> DataFrame:
+    """A frame of spellings, small by its nature, computed once: checkpointed where a checkpoint folder is set, else cached."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(clave, grupo): the smallest key each group is connected with.
 
     Nodes are spellings of officials' names, so labels travel a few steps; each
     step is checkpointed where a checkpoint folder is set, which cuts lineage.
     """
-    keep = (lambda d: d.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = keep(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(nodes.select("clave", F.col("clave").alias("grupo")))
+    both = _keep(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = _keep(nodes.select("clave", F.col("clave").alias("grupo")))
     while True:
         near = both.join(labels.select(F.col("clave").alias("b"), F.col("grupo").alias("g")), "b").groupBy(F.col("a").alias("clave")).agg(F.min("g").alias("g"))
-        new = keep(labels.join(near, "clave", "left").select("clave", F.col("grupo").alias("old"), F.least("grupo", "g").alias("grupo")))
+        new = _keep(labels.join(near, "clave", "left").select("clave", F.col("grupo").alias("old"), F.least("grupo", "g").alias("grupo")))
         labels = new.select("clave", "grupo")
         if new.where("old <> grupo").isEmpty():
             return labels
@@ -107,11 +111,11 @@ def resolve(turns: DataFrame) -> DataFrame:
     Spellings merge by key, groups by contained names, groups without a name
     with their office holder.
     """
-    found = variants(turns)
-    merged = groups(found)
+    found = _keep(variants(turns))
+    merged = _keep(groups(found))
     linked = connected(merged, containment_edges(merged))
-    first = found.join(linked, "clave").select("variante", "n", F.col("grupo").alias("clave"))
-    people = groups(first)
+    first = _keep(found.join(linked, "clave").select("variante", "n", F.col("grupo").alias("clave")))
+    people = _keep(groups(first))
     match = office_match(people).select("clave", "titular")
     final = first.join(match, "clave", "left").select("variante", "n", F.coalesce("titular", "clave").alias("clave"))
     canon = final.groupBy("clave").agg(F.min_by("variante", F.struct(-F.col("n"), "variante")).alias("nombre"))
