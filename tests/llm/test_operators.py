@@ -335,6 +335,15 @@ def test_pages(spark):
     assert wrapper.digest(pages.where("false")).count() == 0
 
 
+def test_constant_siblings(spark):
+    page = "<article><h1>T{0}</h1><p>a{0}</p><p>b{0} c</p>{1}<p>Sign up for our newsletter</p><p>All rights reserved</p></article>"
+    rows = [(i, f"http://h.com/{i}", page.format(i, f"<p>d{i}</p>" * (i % 3))) for i in range(8)]
+    # the smallest key has no page
+    rows.append((-1, "http://h.com/", None))
+    found = {r["page_id"]: r["text"] for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {-1: "", **{i: " ".join([f"T{i} a{i} b{i} c", *[f"d{i}"] * (i % 3)]) for i in range(8)}}
+
+
 def test_pages_of_the_table(spark):
     import html
 
