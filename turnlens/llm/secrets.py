@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Strong spans are found in each text by itself. Weak candidates (an identifier, a
-40-character secret, an endpoint) are reported only where the parts that would
+40-character secret, an endpoint, a value named as a secret key) are reported only where the parts that would
 complete a credential stand within SCOPE characters. The interval join that
 decides this is an equi-join on (text, stretch of SCOPE characters): the parts of
 a stretch are first reduced to the smallest and largest start of each role, so no
@@ -20,15 +20,16 @@ STRONG = {
     "hex": (r"[0-9a-f]+", 0, 24),
 }
 WEAK = {
-    "ident": r"""(?i:(?<![a-z0-9])(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
-    "bare_secret": r"""(?<![A-Za-z0-9+/=])(?<![=:]\x20{0,2}["']?)[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
+    "ident": r"""(?i:(?<![a-z0-9])(?<!secret[_-])(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    "bare_secret": r"""(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
     "endpoint": r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""",
+    "named_secret": r"""(?i:secret(?:(?!secret)[a-z0-9_-])*?key|(?<![a-z0-9])pwd)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
 }
 KINDS = [*STRONG, *WEAK]
 #: What each kind is as a part of a credential.
-ROLE = {"assign": "secret", "hex": "secret", "bare_secret": "secret", "access": "identifier", "ident": "identifier", "endpoint": "endpoint"}
+ROLE = {"assign": "secret", "hex": "secret", "bare_secret": "secret", "access": "identifier", "ident": "identifier", "endpoint": "endpoint", "named_secret": "secret"}
 #: The roles that must be near a weak candidate.
-NEEDS = {"ident": ["secret"], "bare_secret": ["identifier"], "endpoint": ["identifier", "secret"]}
+NEEDS = {"ident": ["secret"], "bare_secret": ["identifier"], "endpoint": ["identifier", "secret"], "named_secret": ["identifier"]}
 #: Two parts belong to one scope if their starts are at most this many characters apart.
 SCOPE = 400
 
@@ -84,10 +85,14 @@ def _linked(docs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
     text = F.col(text_col)
     any_of = lambda *patterns: text.rlike("|".join(f"(?:{p})" for p in patterns))
     both = docs.where(any_of(_long_enough("access"), WEAK["ident"])).where(
-        any_of(*(_long_enough(k) for k in ("assign", "hex")), WEAK["bare_secret"])
+        any_of(*(_long_enough(k) for k in ("assign", "hex")), WEAK["bare_secret"], WEAK["named_secret"])
     )
+    found = both.select(*key, *[_spans(text, k).alias(k) for k in KINDS])
+    # a bare secret inside an assignment is part of that
+    within = lambda s: F.exists(F.concat("assign", "named_secret"), lambda a: (a["start"] <= s["start"]) & (s["end"] <= a["end"]))
+    found = found.withColumn("bare_secret", F.filter("bare_secret", lambda s: ~within(s)))
     parts = (
-        both.select(*key, F.explode(F.concat(*[_spans(text, k) for k in KINDS])).alias("span"))
+        found.select(*key, F.explode(F.concat(*KINDS)).alias("span"))
         .distinct()
         .select(
             *key,
