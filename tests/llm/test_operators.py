@@ -370,6 +370,19 @@ def test_constant_siblings(spark):
     assert found == {-1: "", **{i: " ".join([f"T{i} a{i} b{i} c", *[f"d{i}"] * (i % 3)]) for i in range(8)}}
 
 
+def test_wrappers_of_several_layouts(spark):
+    one = "<article class='post post-{0} {1}'><h1>T{0}</h1><p class='item-{0}'>a{0}</p><p>Sign up here</p></article>"
+    two = "<main><h2>U{0}</h2><p>c{0}</p><p>Read our terms</p></main>"
+    three = "<main><h2>V{0}</h2><h3>by {0}</h3><p>e{0}</p><p>Other terms</p></main>"
+    rows = [(0, "http://h.com/0", "")]
+    rows += [(i, f"http://h.com/{i}", (one, two, three)[i % 3].format(i, "x" * i)) for i in range(1, 60)]
+    # one page deviates
+    rows[30] = (30, "http://h.com/30", one.format(30, "y").replace("Sign up here", "Closed today"))
+    found = {r["page_id"]: r["text"] for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: (f"V{i} by {i} e{i}" if i % 3 == 2 else f"U{i} c{i}" if i % 3 else f"T{i} a{i}") for i in range(1, 60)}
+    assert found == want | {0: "", 30: "T30 a30 Closed today"}
+
+
 def test_pages_of_the_table(spark):
     import html
 
