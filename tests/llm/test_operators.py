@@ -240,6 +240,26 @@ def test_licenses(docs, texts, empty):
     assert licenses.digest(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    names = list(licenses.TEMPLATES)
+    rows = []
+    for i, name in enumerate(names):
+        label, text = licenses.TEMPLATES[name]
+        for j, (width, mark) in enumerate([(72, ""), (72, " * "), (30, "# ")]):
+            body = "\n".join(mark + line for line in textwrap.wrap("Copyright 2020 A. Nobody. " + text, width))
+            rows.append((10 * i + j, f"x = 1\n\n{body}\n\ny = 2\n"))
+        # a blank line between halves of its words
+        half = text.split()
+        rows.append((10 * i + 5, " ".join(half[: len(half) // 2]) + "\nx\n\n" + " ".join(half[len(half) // 2 :]) + "\ny"))
+    found = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.digest(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, name in enumerate(names):
+        for j in range(3):
+            assert licenses.TEMPLATES[name][0] in found[10 * i + j][0] and found[10 * i + j][1] == 1.0, (name, j)
+    assert found[10 * names.index("bsd_grant") + 5] == ([""], 0.0)
+
+
 def test_token_counts(docs, texts, empty):
     from tokenizers import Tokenizer
 

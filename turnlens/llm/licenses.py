@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-A block (a line of a text) matches a template if it holds at least THRESHOLD of
-the template's distinct words. Template words are ordered by how many documents
+A block matches a template if it holds at least THRESHOLD of the template's
+distinct words. Blocks are the lines of a text and, since grants are wrapped,
+stretches of a paragraph (up to a blank line): a word and as many words on either
+side as a template that holds it needs. Template words are ordered by how many documents
 have them, rarest first; a matching block must hold one of the first
 ``n - ceil(THRESHOLD * n) + 1`` of a template's n words, so only documents with
 such a word are taken apart, and only blocks with such a word, enough words and
@@ -92,18 +94,18 @@ def matches(docs: DataFrame, key: list[str], text_col: str = "text", templates:
     """
     order = {w: i for i, w in enumerate(word_order(docs, text_col, templates))}
     index = []
+    length = {name: len(words_of(text)) for name, (_, text) in templates.items()}
     for name, (label, text) in templates.items():
         own = sorted(set(words_of(text)), key=order.get)
         need = required(len(own), threshold)
-        index += [(name, label, w, p, own, len(own), need) for p, w in enumerate(own[: len(own) - need + 1])]
-    schema = "template string, label string, word string, place int, own array<string>, size int, need int"
+        index += [(name, label, w, p, own, len(own), need, length[name]) for p, w in enumerate(own[: len(own) - need + 1])]
+    schema = "template string, label string, word string, place int, own array<string>, size int, need int, length int"
     table = docs.sparkSession.createDataFrame(index, schema)
     prefix = sorted({row[2] for row in index})
     vocabulary = _strings(list(order))
+    texts = docs.select(*key, _lower(F.col(text_col)).alias("_t")).where(F.arrays_overlap(_words(F.col("_t")), _strings(prefix)))
     blocks = (
-        docs.select(*key, _lower(F.col(text_col)).alias("_t"))
-        .where(F.arrays_overlap(_words(F.col("_t")), _strings(prefix)))
-        .select(*key, F.posexplode(F.split("_t", "\n", -1)).alias("line", "_b"))
+        texts.select(*key, F.posexplode(F.split("_t", "\n", -1)).alias("line", "_b"))
         .select(*key, "line", F.array_distinct(_words(F.col("_b"))).alias("_w"))
         # in the order of the vocabulary, hence rarest first
         .select(*key, "line", F.size("_w").alias("_n"), F.array_intersect(vocabulary, F.col("_w")).alias("held"))
@@ -122,9 +124,27 @@ def matches(docs: DataFrame, key: list[str], text_col: str = "text", templates:
     )
     able = first.where(F.least(F.col("size") - F.col("place"), F.col("left")) >= F.col("need"))
     exact = able.withColumn("n", F.size(F.array_intersect("held", "own"))).where(F.col("n") >= F.col("need"))
+    exact = exact.select(*key, "template", "label", "n", "size").unionByName(_wrapped(texts, key, table, prefix, max(length.values(), default=0)))
     return exact.groupBy(*key, "template", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
+def _wrapped(texts: DataFrame, key: list[str], table: DataFrame, prefix: list[str], longest: int) -> DataFrame:
+    """(key, template, label, n, size) of stretches of paragraphs of several lines around each prefix word."""
+    paragraphs = texts.select(*key, F.explode(F.split("_t", r"\n\s*\n", -1)).alias("_b")).where(F.contains("_b", F.lit("\n")))
+    words = paragraphs.select(*key, _words(F.col("_b")).alias("_w"))
+    # only the words around each hit are copied
+    before = lambda i, n: F.least(i, F.lit(n) - 1)
+    around = lambda w, i: F.struct(
+        w.alias("word"), before(i, longest).alias("at"), F.slice("_w", i - before(i, longest) + 1, before(i, longest) + longest).alias("near")
+    )
+    hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(prefix), around(w, i))), lambda x: x.isNotNull())
+    found = words.select(*key, F.explode(hits).alias("c")).select(*key, "c.*").join(F.broadcast(table), "word")
+    lead = F.least(F.col("at"), F.col("length") - 1)
+    block = F.slice("near", F.col("at") - lead + 1, lead + F.col("length"))
+    held = found.select(*key, "template", "label", "size", "need", F.size(F.array_intersect(block, F.col("own"))).alias("n"))
+    return held.where(F.col("n") >= F.col("need")).select(*key, "template", "label", "n", "size")
+
+
 def _places(words: Column, phrase: str, label: str) -> Column:
     """Where the words of a phrase stand one after the other."""
     parts = phrase.split(" ")
