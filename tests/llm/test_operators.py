@@ -349,6 +349,15 @@ def test_classifier_corners(spark, docs, empty):
     assert gam.digest(empty, none).count() == 0
 
 
+def test_classifier_repeated_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    many = docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(9)))).drop("k")
+    same = lambda a, b: all(map(lambda x, y: str(x) == str(y), a, b))
+    once = gam.train(docs, labels, sample=30)
+    assert same(once, gam.train(many, labels.union(labels), sample=30))
+
+
 def test_substrings(docs, texts, empty):
     words = [BLANK.findall(t or "") for _, t in texts] + [BLANK.findall(texts[0][1])]
     seen = collections.Counter(tuple(w[j : j + 35]) for w in words for j in range(len(w) - 34))
