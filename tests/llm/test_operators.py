@@ -412,6 +412,16 @@ def test_wrappers_of_several_layouts(spark):
     assert found == want | {0: "", 30: "T30 a30 Closed today"}
 
 
+@pytest.mark.parametrize("depth", [10, 300, 20_000])
+def test_deep_pages(depth):
+    inner = "<nav><div>menu</div>more</nav><script>f()</script><style>s</style><form>q</form><p>text</p>"
+    for close in ("</div>" * depth, ""):
+        page = f"<article><p>first</p>{'<div>' * depth}{inner}{close}<p>last</p></article><p>foot</p>"
+        assert wrapper.extract(page) == "first text last"
+        path = next(k for k, v in wrapper.slots(page).items() if v)
+        assert len(path) <= wrapper.LONG_PATH
+
+
 def test_pages_of_the_table(spark):
     import html
 
