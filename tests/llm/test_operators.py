@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from turnlens.llm import anchors, decontaminate, gam, jaccard, kernel, licenses, queries, rules, secrets, spm, tokencount, wrapper
+from turnlens.llm import anchors, decontaminate, exchange, gam, jaccard, kernel, licenses, queries, rules, secrets, spm, tokencount, wrapper
 
 DATA = "/root/testdata/sf0.001"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -187,28 +187,46 @@ def test_jaccard(docs, texts, empty):
     assert jaccard.one_of_each(docs).select("doc_id").distinct().count() == len({top(i) for i in sets})
 
 
-def test_jaccard_large_family(spark, monkeypatch):
-    """Copies with differing numbers of edits, in groups beyond SMALL, over several rounds."""
+@pytest.mark.parametrize("group, grams", [(512, 1 << 20), (8, 1500)])
+def test_jaccard_families(spark, monkeypatch, group, grams):
+    """Copies with differing numbers of edits; also in families and n-grams that are dealt out in blocks."""
     import random
 
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(jaccard, "NODE", 1)
     rng = random.Random(5)
-    base = [f"b{i}" for i in range(60)]
     rows = []
-    for i in range(70):
-        w = list(base)
-        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
-            w[rng.randrange(60)] = f"e{i}_{rng.random()}"
-        rows.append((i, " ".join(w)))
+    for f in range(3):
+        base = [f"b{f}_{i}" for i in range(60)]
+        for i in range(70):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+                w[rng.randrange(60)] = f"e{f}_{i}_{rng.random()}"
+            rows.append((100 * f + i, " ".join(w)))
     sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, t in rows}
+    near = {x: [y for y in sets if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])] for x in sets}
     comp = {i: i for i in sets}
     for _ in range(70):
         for x in sets:
-            comp[x] = min([comp[y] for y in sets if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])])
+            comp[x] = min(comp[y] for y in near[x])
     got = {r["doc_id"]: r["component_id"] for r in jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == comp
 
 
+def test_jaccard_ids(spark):
+    """Null and very large ids, one id for two texts, and repeated rows."""
+    a, b = " ".join(map(str, range(40))), " ".join(f"x{i}" for i in range(30))
+    high = (1 << 60) + 1
+    rows = [(high, a), (None, a), (high + 1, a + " 40"), (None, b), (5, "u v w"), (5, b + " y"), (5, "u v w"), (None, None), (7, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r[0], r[1], r[2]) for r in jaccard.digest(frame).collect())
+    want = [(high, 36, high), (None, 36, high), (high + 1, 37, high), (None, 26, 5), (5, 1, 5), (5, 27, 5), (5, 1, 5), (None, 0, None), (7, 0, 7)]
+    assert got == collections.Counter(want)
+    kept = collections.Counter((r[0], r[1]) for r in jaccard.one_of_each(frame).collect())
+    assert kept == collections.Counter([(high, a), (None, a), (None, b), (5, "u v w"), (5, b + " y"), (None, None), (7, " ")])
+
+
 def test_parity_maps_bound_differences():
     import numpy as np
 
@@ -216,8 +234,18 @@ def test_parity_maps_bound_differences():
     for n, m in ((40, 60), (300, 1500), (5000, 90)):
         a, b = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, m, dtype=np.uint64)
         b[: n // 3] = a[: n // 3][: len(b)]
-        x, y = (jaccard.wide_maps(v, np.array([0, len(v)]))[0] for v in (a, b))
-        assert jaccard.apart(x, y) <= len(set(a.tolist()) ^ set(b.tolist()))
+        x, y = (jaccard.parity_maps(v, np.array([0, len(v)]))[0] for v in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for values in ([], [0], [3, 3, 255], [0, 256, 70000], [1 << 40, 0]):
+        v = np.array(values, dtype=np.int64)
+        assert exchange.unpack_numbers(exchange.pack_numbers(v)).tolist() == values
+    counts = np.arange(1, 100_000)
+    assert (np.diff(exchange.level(counts).astype(int)) >= 0).all() and exchange.level(np.array([1, 2, 128])).tolist() == [1, 2, 128]
 
 
 def test_licenses(docs, texts, empty):

@@ -62,8 +62,9 @@ def _windows(batch: pa.RecordBatch) -> Iterator[tuple[exchange.Entries, bytes]]:
         yield exchange.Entries(whole, starts, np.zeros(len(starts), bool), words.bounds), _keys(batch, part)
 
 
-def _by_text(bounds: np.ndarray, extra: bytes, places: np.ndarray, _: np.ndarray) -> pa.RecordBatch | None:
+def _by_text(bounds: np.ndarray, extra: bytes, found: exchange.Found) -> pa.RecordBatch | None:
     """The places of each text that has any, counted from the text's first word."""
+    places = found.places
     if not len(places):
         return None
     keys = np.frombuffer(extra, "<i8").reshape(-1, 2)
@@ -136,6 +137,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ],
                     names=["id", "n_words", "n_removed", "kept_text"],
                 )
+        kernel.release()
 
     return marked.mapInArrow(remove, schema).withColumnRenamed("id", id_col)
 

@@ -1,28 +1,32 @@
 """N-gram Jaccard join with vertical partitioning.
 
-The distinct n-grams of all texts have one global order, rarest first. Two sets
-that are similar enough share a member within their first few (the prefix), so
-pairs come from shared prefix members only. Whole overlaps are then counted by
-cutting the order into fragments: each fragment's partial overlaps are counted
-by themselves and summed for each pair.
-
-Only connected components are reported, so pairs already connected need no
-count. Texts with equal sets are one node. In each round every group of nodes
-that share a prefix member proposes pairs across components, one a node in the
-first round and more in later ones; verified pairs are edges, refuted ones are
-not proposed again, and the rounds end when no group has a possible pair left. No filter can lose a link: lengths, places in the order and a
-512-bit parity map (whose differing bits never outnumber differing members)
-bound the overlap from above.
+Two sets that are similar enough share several of their first members (the
+prefix) in any global order. A first pass compares prefixes in the order of
+hashes, with one byte string for each part of the hashes rather than rows, and
+leaves only texts that share enough of them with others. Texts with equal sets
+are one node from then on.
+
+The n-grams of the nodes have one global order, by how many nodes hold them,
+rarest first; n-grams of one node alone, its first ones, can't be shared and are
+left out. Whole overlaps are counted by cutting that order into fragments: each
+fragment's partial overlaps are counted by themselves and summed for each pair.
+
+Only connected components are reported, so not all pairs need a count. First
+every prefix n-gram has a leader, the most typical of its nodes, which its other
+nodes are compared with. Where an n-gram's nodes are still in several
+components and lengths, places in the order and parity maps (whose differing
+bits never outnumber differing members) allow a link between two of these, both
+go to one family; families are compared whole, in pairs of blocks of bounded
+size, and only edges that join components leave a task. No filter loses a link.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlens.llm import exchange, graph, kernel
@@ -32,22 +36,22 @@ from turnlens.llm.kernel import BLANK_LOWER, U64
 N = 5
 #: Similarity in percent.
 LEAST = 80
-#: At most this many of the commonest n-grams, by a lower bound of their number, go last in the global order.
-COMMON = 200_000
-#: An n-gram in fewer texts of a stretch (of about STRETCH n-grams) than this isn't counted there.
-COMMON_IN_STRETCH = 3
-STRETCH = 1 << 21
-FRAGMENTS = 4
-#: In groups of at most this many nodes all possible pairs are proposed at once.
-SMALL = 32
-#: Partners proposed for a node in a larger group in each round; all, in rounds after these.
-ROUNDS = (1, 64)
-ROWS = 1 << 16
+#: The first pass looks at one n-gram in so many beyond the prefix, and asks for as many shared ones.
+SPARE = 16
+#: Fragments of the global order end with n-grams that so many nodes hold, and at its end.
+CUTS = (2, 4, 16)
 #: A leader's pairs are verified in blocks of about this many.
 BLOCK = 1000
-#: Involved documents are broadcast as ids up to this many (16 bytes each), else joined by a shuffle.
+#: Nodes of an n-gram that a task compares by their maps; more are dealt out in pairs of blocks.
+GROUP = 512
+#: A block of a family holds about so many n-grams; each node counts for NODE more.
+BLOCK_GRAMS = 1 << 20
+NODE = 512
+ROWS = 1 << 14
+#: Frames are broadcast up to this many rows (of at most 40 bytes each), else joined by a shuffle.
 FEW = 100_000
-_MAP_WORDS = 8
+_MAP_WORDS = 16
+_COLUMNS = 1 << 16
 
 
 def shingles(part: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -69,46 +73,6 @@ def shingles(part: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owner, np.arange(len(words.bounds)))
 
 
-def common_shingles(docs: DataFrame, text_col: str, most: int = COMMON) -> np.ndarray:
-    """Hashes of the commonest shingles, the least common of them first. They only shape the order, never the result."""
-
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= COMMON_IN_STRETCH
-        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in kernel.slices(batch.column(0)):
-                held.append(shingles(part)[0])
-                size += len(held[-1])
-                if size >= STRETCH:
-                    yield often(held)
-                    held, size = [], 0
-        if held:
-            yield often(held)
-
-    counts = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy()
-    return found[::-1].copy().view(np.uint64)
-
-
-class Order:
-    """The global order: all other shingles by hash, then the common ones, the commonest last."""
-
-    def __init__(self, common: np.ndarray):
-        self.sorted = np.sort(common)
-        self.rank = np.argsort(common) + 1
-
-    def ranks(self, grams: np.ndarray) -> np.ndarray:
-        """0 for most, the place among the common ones for these."""
-        if not len(self.sorted):
-            return np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, grams), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == grams, self.rank[at], 0)
-
-
 def _signature(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """128 bits that equal sets have in common."""
     total = np.zeros((2, len(grams) + 1), dtype=np.uint64)
@@ -117,8 +81,8 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((total[:, bounds[1:]] - total[:, bounds[:-1]]).T)
 
 
-def parity_map(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """512 bits a set: each member flips one."""
+def parity_maps(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """1024 bits a set: each member flips one."""
     n = len(bounds) - 1
     bit = (grams >> U64(17)) % U64(64 * _MAP_WORDS)
     cell = kernel.owners(bounds) * (64 * _MAP_WORDS) + bit.astype(np.int64)
@@ -126,250 +90,308 @@ def parity_map(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n, _MAP_WORDS)
 
 
-def _map_sizes(n: np.ndarray) -> np.ndarray:
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), 9, 16).astype(np.int64)
+def need(n):
+    """Members that a set of n must share with a similar one."""
+    return -(-LEAST * n // 100)
 
 
-def wide_maps(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity maps of two bits a member or more, a power of two from 512 to 65536; a longer one folds onto a shorter."""
-    n = np.diff(bounds)
-    size = _map_sizes(n)
-    head = np.r_[0, np.cumsum(size)]
-    owner = kernel.owners(bounds)
-    cell = head[owner] + ((grams >> U64(29)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
-    flat = np.packbits((np.bincount(cell, minlength=head[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
-    return [flat[x // 8 : y // 8] for x, y in zip(head[:-1], head[1:], strict=True)]
+def _spare(n):
+    return 1 + n // SPARE
+
 
+def _few(frame: DataFrame) -> DataFrame:
+    return F.broadcast(frame) if frame.count() <= FEW else frame
 
-def apart(x: bytes, y: bytes) -> int:
-    """Differing bits of two maps, at most the number of differing members."""
-    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
 
+_ABOUT = np.dtype([("id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<i4"), ("sig", "V16")])
 
-_DOCS = np.dtype([("id", "<i8"), ("n", "<i8"), ("sig", "<u8", 2), ("map", "<u8", _MAP_WORDS)])
 
+def screened(texts: DataFrame) -> DataFrame:
+    """(id, key, n, sig, likely) for each row of ``texts`` (id, key, text).
 
-def _prefixes(docs: DataFrame, text_col: str, id_col: str, common: np.ndarray) -> DataFrame:
-    """For each row: id, n, sig, maps, and the prefix members shared with another text (hashes, places in the order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    If the prefixes of two sets are longer by ``s`` members than one needs to be
+    shared, similar sets share ``1 + s`` of these; a set that does not share as
+    many as its smallest possible partner asks for isn't ``likely``.
+    """
 
     def entries(batch: pa.RecordBatch) -> Iterator[tuple[exchange.Entries, bytes]]:
-        order = Order(shared.value)
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for part in kernel.slices(batch.column(1)):
+        nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        ids, keys = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for part in kernel.slices(batch.column(2)):
             grams, bounds = shingles(part)
             n = np.diff(bounds)
-            about = np.zeros(len(n), dtype=_DOCS)
-            about["id"], about["n"] = ids[part.lo : part.hi], n
-            about["sig"], about["map"] = _signature(grams, bounds), parity_map(grams, bounds)
+            about = np.zeros(len(n), dtype=_ABOUT)
+            rows = slice(part.lo, part.hi)
+            about["id"], about["null"], about["key"], about["n"] = ids[rows], nulls[rows], keys[rows], n
+            about["sig"] = _signature(grams, bounds).view("V16").ravel()
             owner = kernel.owners(bounds)
-            grams = grams[np.lexsort((grams, order.ranks(grams), owner))]
             place = np.arange(len(grams)) - bounds[owner]
-            first = np.flatnonzero(place < (n - -(-LEAST * n // 100) + 1)[owner])
-            wide = b"".join(wide_maps(grams, bounds))
-            extra = len(n).to_bytes(8, "little") + len(wide).to_bytes(8, "little") + about.tobytes() + wide
-            yield exchange.Entries(grams[first], first, np.zeros(len(first), bool), bounds), extra
-
-    def answer(bounds: np.ndarray, extra: bytes, places: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        tables, wide, read = [], [], 0
-        while read < len(extra):
-            count, size = (int.from_bytes(extra[read + k : read + k + 8], "little") for k in (0, 8))
-            tables.append(np.frombuffer(extra, _DOCS, count, read + 16))
-            read += 16 + count * _DOCS.itemsize
-            cuts = np.r_[0, np.cumsum(_map_sizes(tables[-1]["n"])) // 8]
-            wide += [extra[read + x : read + y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            read += size
-        about = np.concatenate(tables)
-        cut = np.searchsorted(places, bounds)
-        own = places - bounds[np.repeat(np.arange(len(about)), np.diff(cut))]
-        flat = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v.astype(kind)))
+            first = np.flatnonzero(place < (n - need(n) + _spare(n))[owner])
+            # mixed again, for the first ones by hash would be of few parts
+            yield exchange.Entries(kernel.mix(grams[first]), owner[first], np.zeros(len(first), bool), np.arange(len(n) + 1)), about.tobytes()
+
+    def answer(bounds: np.ndarray, extra: bytes, found: exchange.Found) -> pa.RecordBatch:
+        about = np.frombuffer(extra, _ABOUT)
+        n = about["n"].astype(np.int64)
+        likely = (np.bincount(found.places, minlength=len(n)) >= _spare(need(n))) & (n > 0)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(about["id"]),
-                pa.array(about["n"]),
+                pa.array(np.ascontiguousarray(about["id"]), mask=np.ascontiguousarray(about["null"])),
+                pa.array(np.ascontiguousarray(about["key"])),
+                pa.array(n),
                 pa.array([x.tobytes() for x in about["sig"]], pa.binary()),
-                pa.array([x.tobytes() for x in about["map"]], pa.binary()),
-                pa.array(wide, pa.binary()),
-                flat(keys.view(np.int64), np.int64),
-                flat(own, np.int32),
+                pa.array(likely),
             ],
-            names=["id", "n", "sig", "map", "wide", "grams", "at"],
+            names=["id", "key", "n", "sig", "likely"],
         )
 
-    size = exchange.n_words(docs, text_col)
-    schema = "id bigint, n bigint, sig binary, map binary, wide binary, grams array<bigint>, at array<int>"
-    return exchange.repeated(docs.select(F.col(id_col).cast("long"), text_col), entries, answer, schema, size // 4, with_keys=True)
-
-
-def _possible(x: dict, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-    """Which of rows j may be similar enough to row(s) i, by length, place in the order and parity map."""
-    n, at = x["n"], x["at"]
-    i = np.broadcast_to(i, j.shape)
-    both = n[i] + n[j]
-    length = 100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j])
-    shared = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-    ok = length & ((100 + LEAST) * shared >= LEAST * both)
-    differ = np.bitwise_count(x["map"][i[ok]] ^ x["map"][j[ok]]).sum(axis=1, dtype=np.int64)
-    ok[ok] = (100 + LEAST) * differ <= (100 - LEAST) * both[ok]
-    return ok
-
-
-def _all_pairs(x: dict, sizes: np.ndarray) -> np.ndarray:
-    """All possible pairs of rows of the small groups; ``sizes`` has each row's group's size. Rows of a group follow each other."""
-    gram, found = x["gram"], []
-    at = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
-    for d in range(1, SMALL):
-        at = at[at + d < len(gram)]
-        at = at[gram[at] == gram[at + d]]
-        if not len(at):
-            break
-        ok = _possible(x, at, at + d)
-        found.append(np.stack([x["node"][at[ok]], x["node"][at[ok] + d]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-
-def _propose(x: dict, most: int, refuted: dict[int, set[int]]) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of one group, across components; none that was refuted; all of them if ``most`` is 0.
-
-    The first round (``most`` 1) pairs each row with one leader at most; later
-    ones pair each row outside the largest component with ``most`` others.
-    """
-    node = x["node"]
-    if most == 1:
-        left = np.argsort(kernel.mix(node.view(np.uint64)), kind="stable")
-        while len(left) > 1:
-            i, rest = left[0], left[1:]
-            ok = _possible(x, i, rest)
-            yield from ((i, j) for j in rest[ok])
-            left = rest[~ok]
-        return
-    _, label, count = np.unique(x["comp"], return_inverse=True, return_counts=True)
-    largest = int(np.argmax(count))
-    for i in np.flatnonzero(label != largest):
-        others = np.flatnonzero(label != label[i])
-        others = others[_possible(x, i, others)]
-        known = refuted.get(int(node[i]))
-        if known and len(others):
-            others = others[~np.isin(node[others], list(known))]
-        yield from ((i, j) for j in others[: most or None])
-
-
-def _columns(table: pa.Table) -> dict:
-    x = {k: table.column(k).to_numpy() for k in ("gram", "node", "n")} | {"at": table.column("at").to_numpy().astype(np.int64)}
-    x["map"] = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, _MAP_WORDS)
-    return x
-
-
-def _candidates(nodes: DataFrame, most: int, open_groups: DataFrame | None) -> DataFrame:
-    """(a, b, gram): pairs, a the leader, that may be similar and aren't connected; gram only for those of large groups.
-
-    ``nodes``: node, n, map, grams, at; after the first round also comp and
-    refuted (an array of nodes). Where the first round proposes nothing in a large
-    group, it has compared all its pairs, so later rounds look only at
-    ``open_groups``.
-    """
-    first = most == 1
-    label = "node" if first else "comp"
-    tokens = nodes.select(label, F.explode("grams").alias("gram"))
-    if not first:
-        tokens = tokens.join(open_groups, "gram")
-    split = tokens.groupBy("gram").agg(F.min(label).alias("x"), F.max(label).alias("y")).where("x <> y").select("gram")
-    more = [] if first else ["comp", "refuted"]
-    rows = nodes.select("node", "n", "map", *more, F.explode(F.arrays_zip("grams", "at")).alias("t"))
-    rows = rows.select(F.col("t.grams").alias("gram"), F.col("t.at").alias("at"), "node", "n", "map", *more)
-    rows = (rows if first else rows.join(open_groups, "gram")).join(split, "gram")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in exchange.whole_groups(batches, "gram", ROWS):
-            x = _columns(table)
-            heads = np.flatnonzero(np.r_[True, x["gram"][1:] != x["gram"][:-1]])
-            counts = np.diff(np.r_[heads, len(x["gram"])])
-            if first:
-                pairs = np.unique(_all_pairs(x, np.repeat(counts, counts)), axis=0)
-                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram"])
-            for h, c in zip(heads[counts > SMALL], counts[counts > SMALL], strict=True):
-                own = {k: v[h : h + c] for k, v in x.items()}
-                refuted = {}
-                if not first:
-                    part = table.slice(h, c)
-                    own["comp"] = part.column("comp").to_numpy()
-                    refuted = {a: set(bs) for a, bs in zip(own["node"].tolist(), part.column("refuted").to_pylist(), strict=True) if bs}
-                pairs = list(_propose(own, most, refuted))
-                if pairs:
-                    pairs = own["node"][np.array(pairs)]
-                    columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), own["gram"][0]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram"])
-
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, gram bigint")
-
-
-def _distinct(found: DataFrame) -> DataFrame:
-    """(a, b): one pair however it was proposed."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    pairs = found.groupBy(low.alias("x"), high.alias("y")).agg(F.min("a").alias("a"))
-    return pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-
-
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, plausible): whether the wide parity maps allow a link."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y, u, v = (batch.column(i).to_pylist() for i in range(6))
-            ok = [(100 + LEAST) * apart(p, q) <= (100 - LEAST) * (n + m) for n, m, p, q in zip(x, y, u, v, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "plausible"])
+    schema = "id bigint, key bigint, n bigint, sig binary, likely boolean"
+    return exchange.repeated(texts, entries, answer, schema, exchange.n_words(texts, "text") // 3, width=4)
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "w_a", "w_b")
-    return both.mapInArrow(run, "a bigint, b bigint, plausible boolean")
 
-
-def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, text_col: str, id_col: str, common: np.ndarray) -> DataFrame:
-    """(a, b, linked): whole overlaps of the given pairs, summed over the fragments of the order."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = F.broadcast(involved) if 2 * n_pairs <= FEW else involved.hint("shuffle_hash")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id")
+def _sets(texts: DataFrame) -> DataFrame:
+    """(sig, n, grams) of each different set, grams by hash; ``texts``: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
         for batch in batches:
-            names = batch.schema.names
-            ids = batch.column(names.index("id")).to_numpy(zero_copy_only=False)
-            for part in kernel.slices(batch.column(names.index("text"))):
+            for part in kernel.slices(batch.column(1)):
                 grams, bounds = shingles(part)
-                # common shingles, the end of the order, are the last fragment; the others are cut by hash
-                cut = (grams >> U64(32)) * U64(FRAGMENTS - 1) >> U64(32)
-                fragment = np.where(order.ranks(grams) > 0, FRAGMENTS - 1, cut.astype(np.int64))
-                cell = kernel.owners(bounds) * FRAGMENTS + fragment
-                grams = grams[np.argsort(cell, kind="stable")]
-                sizes = np.bincount(cell, minlength=FRAGMENTS * (len(bounds) - 1))
+                sig = _signature(grams, bounds)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids[part.lo : part.hi], FRAGMENTS)),
-                        pa.array(np.repeat(np.diff(bounds), FRAGMENTS)),
-                        pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(bounds) - 1)),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(grams.view(np.int64))),
-                    ],
-                    names=["id", "n", "fragment", "grams"],
+                    [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(np.diff(bounds)), lists], names=["sig", "n", "grams"]
                 )
+        kernel.release()
+
+    found = texts.mapInArrow(run, "sig binary, n bigint, grams array<bigint>")
+    return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def ordered(sets: DataFrame) -> DataFrame:
+    """(sig, n, grams, cuts, map) of the sets that share enough members with others.
 
-    # a repeated row is one document
-    parts = own.dropDuplicates(["id"]).mapInArrow(run, "id bigint, n bigint, fragment int, grams array<bigint>")
+    ``grams`` are the members that other sets hold too, in the global order, the
+    fragments of which end at ``cuts``. ``sets`` must be a checkpoint.
+    """
+
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[exchange.Entries, bytes]]:
+        grams, bounds = _flat(batch.column(2))
+        rows = batch.num_rows
+        extra = np.zeros(rows, [("sig", "V16"), ("n", "<i8")])
+        extra["sig"] = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+        extra["n"] = batch.column(1).to_numpy()
+        yield exchange.Entries(grams.view(np.uint64), kernel.owners(bounds), np.zeros(len(grams), bool), np.arange(rows + 1)), extra.tobytes()
+
+    def answer(_: np.ndarray, extra: bytes, found: exchange.Found) -> pa.RecordBatch:
+        about = np.frombuffer(extra, [("sig", "V16"), ("n", "<i8")])
+        n = about["n"].astype(np.int64)
+        enough = np.bincount(found.places, minlength=len(n)) >= need(n)
+        mine = np.flatnonzero(enough[found.places])
+        owner, keys, levels = found.places[mine], found.keys[mine], found.levels[mine]
+        order = np.lexsort((keys, levels, owner))
+        owner, keys, levels = owner[order], keys[order], levels[order]
+        left = np.flatnonzero(enough)
+        bounds = np.searchsorted(owner, np.r_[left, len(n)])
+        fragment = np.searchsorted(CUTS, levels)
+        cell = kernel.owners(bounds) * (len(CUTS) + 1) + fragment
+        sizes = np.bincount(cell, minlength=len(left) * (len(CUTS) + 1)).reshape(len(left), -1)
+        cuts = np.concatenate([np.zeros((len(left), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1).astype(np.int32)
+        lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x.tobytes() for x in about["sig"][left]], pa.binary()),
+                pa.array(n[left]),
+                lists(keys.view(np.int64), bounds),
+                lists(cuts.ravel(), np.arange(len(left) + 1) * cuts.shape[1]),
+                pa.array([x.tobytes() for x in parity_maps(keys, bounds)], pa.binary()),
+            ],
+            names=["sig", "n", "grams", "cuts", "map"],
+        )
+
+    size = int(sets.agg(F.sum("n")).first()[0] or 0)
+    schema = "sig binary, n bigint, grams array<bigint>, cuts array<int>, map binary"
+    return exchange.repeated(sets, entries, answer, schema, size, with_keys=True, levels=True)
+
+
+def _prefix(nodes: DataFrame, *more: str) -> DataFrame:
+    """(gram, node, n, at, alone): the shared members of each node's prefix, their places in the order, and its share of members without company."""
+    alone = F.col("n") - F.size("grams")
+    least = F.ceil(F.lit(LEAST) * F.col("n") / 100).cast("int")
+    rows = nodes.select("node", "n", alone.alias("alone"), *more, F.posexplode(F.slice("grams", F.lit(1), F.size("grams") - least + 1)).alias("p", "gram"))
+    return rows.withColumns({"at": F.col("alone") + F.col("p"), "alone": F.col("alone") / F.col("n")}).drop("p")
+
+
+def _able(n: Column, at: Column, m: Column, bt: Column) -> Column:
+    """Whether sets of n and m members may be similar that share a member with at and bt others before it."""
+    length = F.lit(100) * F.least(n, m) >= LEAST * F.greatest(n, m)
+    shared = F.least(at, bt) + F.least(n - at, m - bt)
+    return length & ((100 + LEAST) * shared >= LEAST * (n + m))
+
+
+def star(tokens: DataFrame) -> DataFrame:
+    """(a, b): for each prefix n-gram, its leader (the node with the least share of members of its own) and each other node that may be similar."""
+    leaders = tokens.groupBy("gram").agg(F.min(F.struct("alone", "node", "n", "at")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    # a checkpoint, so that AQE can split an n-gram of very many nodes in the join
+    both = tokens.join(checkpointed(leaders.select("gram", "l")), "gram")
+    able = _able(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"))
+    return both.where(able & (F.col("node") != F.col("l.node"))).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the linked ones of ``pairs``: partial overlaps of each fragment of the order, summed for each pair."""
+    fragments = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(len(CUTS) + 1)), lambda i: F.slice("grams", F.get("cuts", i - 1) + 1, F.get("cuts", i) - F.get("cuts", i - 1))))
+    parts = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), fragments.alias("fragment", f"g_{k}")).where(F.size(f"g_{k}") > 0)
     size = pairs.groupBy("a").agg(F.count("*").alias("size"))
     blocked = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    leaders = blocked.select("a", "block").distinct().join(parts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("left")), "a")
-    members = blocked.join(parts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("right")), "b")
-    partial = leaders.join(members, ["a", "block", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("overlap"))
+    leaders = blocked.select("a", "block").distinct().join(parts("a"), "a")
+    members = blocked.join(parts("b"), "b")
+    partial = leaders.join(members, ["a", "block", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("overlap"))
     whole = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return whole.select("a", "b", (100 * F.col("overlap") >= LEAST * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked"))
+    return whole.where(100 * F.col("overlap") >= LEAST * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
+
+
+def _company(x: dict) -> np.ndarray:
+    """Which rows of a group may be similar to another one of another component, by length, place in the order and parity map."""
+    n, at, comp = x["n"], x["at"], x["comp"]
+    marked = np.zeros(len(n), bool)
+    _, label, count = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(label != int(np.argmax(count)))
+    step = max(1, (1 << 18) // len(n))
+    for lo in range(0, len(rest), step):
+        i = rest[lo : lo + step, None]
+        both = n[i] + n
+        ok = (label[i] != label) & (100 * np.minimum(n[i], n) >= LEAST * np.maximum(n[i], n))
+        ok &= (100 + LEAST) * (np.minimum(at[i], at) + np.minimum(n[i] - at[i], n - at)) >= LEAST * both
+        p, q = np.nonzero(ok)
+        p = i[p, 0]
+        for a in range(0, len(p), 1 << 16):
+            u, v = p[a : a + (1 << 16)], q[a : a + (1 << 16)]
+            differ = np.bitwise_count(x["map"][u] ^ x["map"][v]).sum(axis=1, dtype=np.int64)
+            # members without company differ anyway
+            differ += x["own"][u] + x["own"][v]
+            may = (100 + LEAST) * differ <= (100 - LEAST) * (n[u] + n[v])
+            marked[u[may]] = True
+            marked[v[may]] = True
+    return marked
+
+
+def families(tokens: DataFrame) -> DataFrame:
+    """(a, b): nodes of one n-gram and several components that may hold a link, b with the first such node of its n-gram.
+
+    ``tokens``: gram, node, n, at, own, comp, map. An n-gram of very many nodes is
+    dealt out in pairs of blocks.
+    """
+    groups = tokens.groupBy("gram").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    groups = checkpointed(groups.select("gram", F.ceil(F.col("c") / GROUP).alias("blocks")))
+    mine = tokens.join(groups, "gram").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = mine.withColumn("other", met)
+    rows = rows.withColumn("cell", F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in exchange.whole_groups(batches, "cell", ROWS):
+            x = {k: table.column(k).to_numpy() for k in ("cell", "node", "n", "at", "own", "comp")}
+            x["map"] = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(-1, _MAP_WORDS)
+            heads = np.flatnonzero(np.r_[True, x["cell"][1:] != x["cell"][:-1]])
+            found = []
+            for h, t in zip(heads, np.r_[heads[1:], table.num_rows], strict=True):
+                own = {k: v[h:t] for k, v in x.items()}
+                node = own["node"][_company(own)]
+                found.append(np.stack([np.full(len(node), node[0]), node], axis=1) if len(node) else np.zeros((0, 2), np.int64))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        kernel.release()
+
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("cell", "node", "n", "at", "own", "comp", "map")
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _forest(grams: np.ndarray, bounds: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components, enough to join all that are to be joined, from whole overlaps summed over stretches of columns."""
+    _, label, count = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(label != int(np.argmax(count)))
+    values, column, held = np.unique(grams, return_inverse=True, return_counts=True)
+    owner = kernel.owners(bounds)
+    shared = held > 1
+    place = np.cumsum(shared) - 1
+    mine = shared[column]
+    column, owner = place[column[mine]], owner[mine]
+    top = list(range(len(count)))
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    edges = []
+    for lo in range(0, len(rest), 256):
+        some = rest[lo : lo + 256]
+        overlap = np.zeros((len(some), len(n)), np.int32)
+        for at in range(0, int(shared.sum()), _COLUMNS):
+            inside = (column >= at) & (column < at + _COLUMNS)
+            bits = np.zeros((len(n), _COLUMNS // 64), np.uint64)
+            np.bitwise_or.at(bits, (owner[inside], (column[inside] - at) // 64), U64(1) << ((column[inside] - at) % 64).astype(np.uint64))
+            for k, i in enumerate(some):
+                overlap[k] += np.bitwise_count(bits[i] & bits).sum(axis=1, dtype=np.int32)
+        linked = (100 * overlap.astype(np.int64) >= LEAST * (n[some, None] + n - overlap)) & (label[some, None] != label)
+        for k, i in enumerate(some):
+            found, first = np.unique(label[linked[k]], return_index=True)
+            where = np.flatnonzero(linked[k])
+            for c, j in zip(found.tolist(), where[first].tolist(), strict=True):
+                x, y = find(int(label[i])), find(c)
+                if x != y:
+                    top[x] = y
+                    edges.append((int(i), j))
+    return edges
+
+
+def settled(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of each family; ``members``: node, family, comp.
+
+    A large component has blocks of its own, so that pairs of blocks without
+    two components are left out; the others share blocks.
+    """
+    own = members.join(nodes.select("node", "n", "grams"), "node").withColumn("weight", F.size("grams") + NODE)
+    own = checkpointed(own)
+    size = own.groupBy("family", "comp").agg(F.sum("weight").alias("weight"))
+    small = F.when(F.col("weight") < BLOCK_GRAMS, F.col("weight")).otherwise(0)
+    total = size.groupBy("family").agg(F.sum(small).alias("pooled"))
+    cut = size.join(total, "family").select(
+        "family",
+        "comp",
+        F.when(F.col("weight") >= BLOCK_GRAMS, F.col("comp")).otherwise(-1).alias("whose"),
+        F.ceil(F.when(F.col("weight") >= BLOCK_GRAMS, F.col("weight")).otherwise(F.col("pooled")) / BLOCK_GRAMS).alias("blocks"),
+    )
+    spread = F.when(F.col("whose") < 0, F.xxhash64("comp")).otherwise(F.xxhash64("node"))
+    dealt = own.join(checkpointed(cut), ["family", "comp"]).withColumn("block", F.struct("whose", F.pmod(spread, F.col("blocks")).alias("i")))
+    blocks = checkpointed(dealt.select("family", "block").distinct())
+    other = blocks.select("family", F.col("block").alias("other"))
+    # pairs of blocks of a family, which are few, not of nodes
+    meet = blocks.join(other, "family").where((F.col("block.whose") != F.col("other.whose")) | (F.col("block.whose") < 0))
+    rows = dealt.join(meet, ["family", "block"]).withColumn("cell", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in exchange.grouped(batches, "cell"):
+            grams, bounds = _flat(table.column("grams"))
+            node = table.column("node").to_numpy()
+            edges = _forest(grams, bounds, table.column("n").to_numpy(), table.column("comp").to_numpy())
+            if edges:
+                pairs = node[np.array(edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        kernel.release()
+
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("cell", "node", "n", "comp", "grams")
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -385,67 +407,57 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of ``docs``; ids are whole numbers.
+    """(id, n_shingles, component_id) for each row of ``docs``; ids are whole numbers, of any size, or null.
 
     Texts are linked when their sets of distinct N-word shingles (of lower-cased
     words; a text of fewer words is one shingle) have a Jaccard similarity of at
     least LEAST percent. A null, empty or wordless text has no shingles and is
-    linked with nothing. ``component_id`` is the smallest id reachable by links.
-    Repeated rows are one document and each get its answer. Other columns aren't
-    read. An empty table gives an empty result.
+    linked with nothing. ``component_id`` is the smallest id reachable by links;
+    a row without an id links like any other, but is no one's smallest id, and
+    its own is null if it reaches no id. Repeated rows, and rows that share an id,
+    each get the answer for their own text. Other columns aren't read. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     kernel.tune(spark)
-    common = common_shingles(docs, text_col)
-    table = checkpointed(_prefixes(docs, text_col, id_col, common))
-    classes = checkpointed(
-        table.where("n > 0")
-        .groupBy("sig")
-        .agg(F.min("id").alias("node"), F.first(F.struct("n", "map", "wide", "grams", "at")).alias("p"))
-        .select("sig", "node", "p.*")
-    )
-    nodes = classes.where(F.size("grams") > 0).drop("sig")
-    refuted = labels = open_groups = None
-    for most in itertools.chain(ROUNDS, itertools.repeat(0)):
-        known = nodes
-        if refuted is not None:
-            ways = refuted.select(F.col("a").alias("node"), "b").union(refuted.select(F.col("b").alias("node"), F.col("a").alias("b")))
-            own = nodes.withColumn("comp", F.lit(None).cast("long")) if labels is None else nodes.join(labels, "node", "left")
-            known = own.withColumn("comp", F.coalesce("comp", "node"))
-            known = known.join(ways.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
-        found = checkpointed(_candidates(known, most, open_groups))
-        if open_groups is None:
-            groups = checkpointed(found.where("gram IS NOT NULL").select("gram").distinct())
-            open_groups = F.broadcast(groups) if groups.count() <= FEW else groups
-        pairs = checkpointed(_plausible(_distinct(found), nodes))
-        counts = {r["plausible"]: r["count"] for r in pairs.groupBy("plausible").count().collect()}
-        if not counts:
-            # where a pair is possible, every round proposes one
-            break
-        no = pairs.where("NOT plausible").select("a", "b")
-        if n_likely := counts.get(True, 0):
-            told = checkpointed(verified(docs, pairs.where("plausible").select("a", "b"), n_likely, text_col, id_col, common))
-            no = no.union(told.where("NOT linked").select("a", "b"))
-            links = told.where("linked").select("a", "b")
-            labels = _merged(labels, links)
-        refuted = no if refuted is None else refuted.union(no)
-    joined = table.select("id", "n", "sig").join(classes.select("sig", "node"), "sig", "left")
-    if labels is not None:
-        joined = joined.join(labels, "node", "left")
-    else:
-        joined = joined.withColumn("comp", F.lit(None).cast("long"))
-    linked = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("comp", "node"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    about = checkpointed(screened(base))
+    likely = about.where("likely")
+    classes = checkpointed(likely.groupBy("sig").agg(F.min("id").alias("first"), F.min("key").alias("key")))
+    chosen = base.select("key", "text").join(_few(classes.select("key").distinct()), "key")
+    nodes = checkpointed(ordered(checkpointed(_sets(chosen))).withColumn("node", F.monotonically_increasing_id()))
+    tokens = _prefix(nodes)
+    labels = graph.components(verified(nodes, checkpointed(star(tokens))))
+    # what the leaders leave open
+    named = nodes.join(_few(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = _prefix(named.withColumn("own", F.col("n") - F.size("grams")), "own", "comp", "map")
+    near = graph.components(families(rows))
+    members = near.select("node", F.col("comp").alias("family")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labels = _merged(labels, checkpointed(settled(nodes, members)))
+    # the smallest id of each component, for its classes
+    of = nodes.select("node", "sig").join(_few(labels), "node").select("sig", "comp")
+    named = checkpointed(classes.join(of, "sig", "left").select("sig", "first", "comp"))
+    lowest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("lowest"))
+    answers = checkpointed(named.join(lowest, "comp", "left").select("sig", F.coalesce("lowest", "first").alias("lowest")))
+    joined = about.join(_few(answers), "sig", "left")
+    component = F.when(F.col("likely"), F.col("lowest")).otherwise(F.col("id"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of each component the document with the smallest id, with its own columns; all rows without links stay.
+    """Of each component the row with the smallest id, with its own columns; all rows without links stay.
 
-    Rows with a null id are kept as they are.
+    Rows with a null id are kept as they are. Of rows with equal ids and texts one
+    stays.
     """
-    found = join(docs.where(F.col(id_col).isNotNull()), text_col, id_col).distinct()
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    found = checkpointed(join(docs.where(F.col(id_col).isNotNull()), text_col, id_col))
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(_few(gone), id_col, "left_anti").select(*docs.columns)
+    again = found.groupBy(id_col).count().where("count > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    once = kept.join(_few(again), id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(_few(again), id_col, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
