@@ -50,17 +50,17 @@ def letter_tokens(x: Column, least: int = 1) -> Column:
 
 
 def without(tokens: Column, stops: Iterable[str]) -> Column:
-    """Tokens that aren't stop words."""
-    known = strings(stops)
-    return F.filter(tokens, lambda t: ~F.array_contains(known, t))
+    """Tokens that aren't stop words; ``isin`` becomes a hash set, unlike a search through an array."""
+    known = list(stops)
+    return F.filter(tokens, lambda t: ~t.isin(known))
 
 
 def adjacent_bigrams(tokens: Column, stops: Iterable[str]) -> Column:
     """Pairs of neighbours neither of which is a stop word."""
-    known = strings(stops)
+    known = list(stops)
     pair = F.transform(
         tokens,
-        lambda t, i: F.when(~F.array_contains(known, t) & ~F.array_contains(known, F.get(tokens, i + 1)), F.concat_ws(" ", t, F.get(tokens, i + 1))),
+        lambda t, i: F.when(~t.isin(known) & ~F.get(tokens, i + 1).isin(known), F.concat_ws(" ", t, F.get(tokens, i + 1))),
     )
     return F.filter(pair, lambda p: p.isNotNull() & (F.size(F.split(p, " ")) == 2))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlens import vocab
 from turnlens.functions.dates import period
-from turnlens.functions.text import letter_tokens, strings, word_count
+from turnlens.functions.text import letter_tokens, word_count
 
 TYPES = ["presidenta", "pregunta", "funcionario", "otro"]
 
@@ -71,8 +71,7 @@ def framing(turns: DataFrame, frames: dict[str, list[str]] = vocab.FRAMES, scope
 
 
 def _count_in(terms: list[str]):
-    known = strings(terms)
-    return F.size(F.filter("_t", lambda t: F.array_contains(known, t)))
+    return F.size(F.filter("_t", lambda t: t.isin(terms)))
 
 
 def framing_pivot(turns: DataFrame, frames: dict[str, list[str]] = vocab.FRAMES) -> DataFrame:

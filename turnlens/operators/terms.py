@@ -19,11 +19,15 @@ def top_terms(texts: DataFrame, group: Column, text: str, stops: Iterable[str],
     """(grp, rank, term, n): the k commonest terms of each group, ties by term.
 
     ``lemma`` maps a column of tokens (arrays) to their lemmas; without one each
-    token is its own. The counts are partial before the shuffle, and the rank
+    token is its own, and stop words go after the tokens are set apart, where
+    the test is compiled. The counts are partial before the shuffle, and the rank
     keeps k rows a group before sorting.
     """
-    tokens = without(letter_tokens(F.col(text), 3), stops)
-    counts = texts.select(group.alias("grp"), F.explode(lemma(tokens) if lemma else tokens).alias("term")).groupBy("grp", "term").agg(F.count("*").alias("n"))
+    tokens = letter_tokens(F.col(text), 3)
+    terms = texts.select(group.alias("grp"), F.explode(lemma(without(tokens, stops)) if lemma else tokens).alias("term"))
+    if not lemma:
+        terms = terms.where(~F.col("term").isin(list(stops)))
+    counts = terms.groupBy("grp", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "term"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "rank", "term", "n")
 
@@ -36,8 +40,11 @@ def _boundary_bigrams(rows: DataFrame) -> DataFrame:
     whole group.
     """
     inner = Window.partitionBy("grp", "part").orderBy("seq")
-    within = rows.withColumn("before", F.lag("last").over(inner)).where("before IS NOT NULL").select("grp", "before", F.col("first").alias("after"))
-    ends = rows.groupBy("grp", "part").agg(F.min_by("first", "seq").alias("first"), F.max_by("last", "seq").alias("last"))
+    placed = rows.withColumns({"before": F.lag("last").over(inner), "next": F.lead("first").over(inner)})
+    within = placed.where("before IS NOT NULL").select("grp", "before", F.col("first").alias("after"))
+    # the same shuffle serves both
+    outermost = placed.where("before IS NULL OR next IS NULL")
+    ends = outermost.groupBy("grp", "part").agg(F.min_by("first", "seq").alias("first"), F.max_by("last", "seq").alias("last"))
     outer = Window.partitionBy("grp").orderBy("part")
     between = ends.withColumn("before", F.lag("last").over(outer)).where("before IS NOT NULL").select("grp", "before", F.col("first").alias("after"))
     return within.union(between).select("grp", F.concat_ws(" ", "before", "after").alias("term"))
@@ -53,9 +60,10 @@ def tfidf(texts: DataFrame, group: Column, part: Column, seq: Column, text: str,
     """
     tokens = texts.select(group.alias("grp"), part.alias("part"), seq.alias("seq"), without(letter_tokens(F.col(text), 3), stops).alias("t"))
     n_groups = tokens.select("grp").distinct().count()
-    filled = tokens.where(F.size("t") > 0)
-    own = filled.select("grp", F.explode(F.concat("t", bigrams(F.col("t")))).alias("term"))
-    ends = filled.select("grp", "part", "seq", F.get("t", F.lit(0)).alias("first"), F.get("t", F.size("t") - 1).alias("last"))
+    own = tokens.select("grp", F.explode(F.concat("t", bigrams(F.col("t")))).alias("term"))
+    # inlined rather than filtered: a filter would be pushed below the tokens and find them twice
+    edge = F.array(F.struct(F.get("t", F.lit(0)).alias("first"), F.get("t", F.size("t") - 1).alias("last")))
+    ends = tokens.select("grp", "part", "seq", F.inline(F.when(F.size("t") > 0, edge)))
     tf = own.unionByName(_boundary_bigrams(ends)).groupBy("grp", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= MIN_DF)
     # an ordered limit keeps ``cap`` rows in each task

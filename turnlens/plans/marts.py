@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens import vocab
+from turnlens import schemas, vocab
 from turnlens.functions import names
 from turnlens.functions.dates import period
 from turnlens.operators import actors, kwic, parsing, stats, terms, topics
 from turnlens.sources import corpus
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, turns) of a folder of transcripts; turns carry their document's date."""
+def load(spark: SparkSession, path: str, stored: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, turns) of a folder of transcripts; turns carry their document's date.
+
+    With ``stored``, the two tables are kept there: read if they are there (with
+    the schemas in use, so nothing is inferred), else made and written first.
+    Remove the folder to have them made anew.
+    """
+    if stored:
+        tables = {"documents": schemas.DOCUMENT, "turns": schemas.STORED_TURN}
+        if not all(_there(spark, f"{stored}/{name}/_SUCCESS") for name in tables):
+            write(dict(zip(tables, load(spark, path), strict=True)), stored)
+        docs, turns = (spark.read.schema(schema).parquet(f"{stored}/{name}") for name, schema in tables.items())
+        return docs, turns
     files = corpus.read_corpus(spark, path)
     docs = corpus.documents(files)
     turns = parsing.segment(files).join(docs.select("file", "fecha"), "file")
@@ -25,10 +36,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def digest(docs: DataFrame, turns: DataFrame, compat_squared: bool = False) -> DataFrame:
     """One row about the latest document: what it is, its distinctive terms and who took part.
 
-    The names of the day's officials are no terms of it.
+    The names of the day's officials are no terms of it. Participants come by
+    interventions, the most first, then by name. Without documents there is no row.
     """
     last = corpus.latest(docs)
-    file = last.first()["file"]
+    file = (last.first() or {"file": None})["file"]
     own = turns.where(F.col("file") == file)
     spoken = own.where(F.col("tipo").isin("funcionario", "otro")).select(F.explode(F.regexp_extract_all(F.lower("hablante"), F.lit("[a-záéíóúüñ]{3,}"), F.lit(0))).alias("w"))
     stops = vocab.digest_stops([r["w"] for r in spoken.distinct().collect()])
@@ -55,7 +67,8 @@ def marts(docs: DataFrame, turns: DataFrame, lemma: Callable | None = None) -> d
         "actor_fechas": actors.actor_dates(turns, resolved),
         "voice_share": stats.voice_share(turns),
         "framing": stats.framing(turns),
-        "corpus_presidenta": pres.select("fecha", "turno", "texto"),
+        "turns": turns.select("file", "fecha", "turno", "tipo", "hablante", "texto"),
+        "corpus_presidenta": pres.select("fecha", "turno", "texto").orderBy("fecha", "turno"),
         "fecha_url": docs.where("url <> '' AND fecha <> ''").groupBy("fecha").agg(F.max_by("url", "file").alias("url")),
         "stopwords": turns.sparkSession.createDataFrame([(w,) for w in vocab.functional_stops()], "termino string"),
         "resumen_ultima": digest(docs, turns),
@@ -67,10 +80,33 @@ def marts(docs: DataFrame, turns: DataFrame, lemma: Callable | None = None) -> d
     return out
 
 
-def write(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
-    """Each mart in a folder of its own, replaced whole."""
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    found, system = _path(spark, path)
+    return system.exists(found)
+
+
+def write(tables: dict[str, DataFrame], path: str, form: str = "parquet", obsolete: Iterable[str] = ()) -> None:
+    """Each mart in a folder of its own, replaced whole; then folders named ``obsolete`` go, if they are there."""
     for name, table in tables.items():
         table.write.mode("overwrite").format(form).save(f"{path}/{name}")
+    for name in set(obsolete) - set(tables):
+        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+        found, system = _path(spark, f"{path}/{name}")
+        if system.exists(found):
+            system.delete(found, True)
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(tabla, bytes) of each mart that has been written."""
+    found, system = _path(spark, path)
+    folders = [s.getPath() for s in system.listStatus(found) if s.isDirectory()]
+    return spark.createDataFrame([(f.getName(), system.getContentSummary(f).getLength()) for f in folders], "tabla string, bytes bigint")
 
 
 def outcome(log: DataFrame) -> DataFrame:

@@ -8,3 +8,4 @@ DIGEST = (
     "fecha string, titulo string, url string, incompleto boolean, n_preguntas bigint, temas array<string>, "
     "participantes array<struct<nombre:string,cargo:string,categoria:string,intervenciones:bigint>>"
 )
+STORED_TURN = "file string, turno bigint, tipo string, hablante string, texto string, fecha string, conv_id string"
