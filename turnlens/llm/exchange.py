@@ -158,7 +158,7 @@ def _rows(chunk: int, held: list[tuple[Entries, bytes]], n_parts: int, width: in
     keys, part, places, flags, marked = keys[keep], part[keep], places[keep], flags[keep], marked[keep]
     body = (keys & np.uint64(0xFFFFFFFF)).astype("<u4") if width == 4 else keys.astype("<u8")
     heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    tails = np.r_[heads[1:], len(part)].astype(np.int64)
+    tails = np.r_[heads[1:], len(part)][: len(heads)].astype(np.int64)
     rows = []
     for h, t in zip(heads, tails, strict=True):
         marks = np.packbits(marked[h:t]).tobytes() + (np.packbits(flags[h:t]).tobytes() if flagged else b"")

@@ -201,7 +201,7 @@ def ordered(sets: DataFrame) -> DataFrame:
         bounds = np.searchsorted(owner, np.r_[left, len(n)])
         fragment = np.searchsorted(CUTS, levels)
         cell = kernel.owners(bounds) * (len(CUTS) + 1) + fragment
-        sizes = np.bincount(cell, minlength=len(left) * (len(CUTS) + 1)).reshape(len(left), -1)
+        sizes = np.bincount(cell, minlength=len(left) * (len(CUTS) + 1)).reshape(len(left), len(CUTS) + 1)
         cuts = np.concatenate([np.zeros((len(left), 1), np.int64), np.cumsum(sizes, axis=1)], axis=1).astype(np.int32)
         lists = lambda v, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v))
         return pa.RecordBatch.from_arrays(
