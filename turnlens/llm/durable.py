@@ -5,13 +5,19 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where spark.checkpoint.dir is unset, as in tests, a temporary one is set."""
+    """The session's checkpoint folder. Where spark.checkpoint.dir is unset a temporary one is set, but only in a session without other machines."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlens-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="turnlens-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -19,3 +25,9 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint of a frame in the shared folder."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def small(frame: DataFrame, most: int) -> DataFrame:
+    """A checkpoint of a frame, to be broadcast if it has at most ``most`` rows; else AQE can split a hot key it is joined by."""
+    kept = checkpointed(frame)
+    return F.broadcast(kept) if kept.count() <= most else kept

@@ -198,6 +198,11 @@ def owners(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def shielded(docs: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``docs`` under private names, whatever the caller's are, and the private name of ``column``; ``toDF`` gives the names back."""
+    return docs.toDF(*[f"_own{i}" for i in range(len(docs.columns))]), f"_own{docs.columns.index(column)}"
+
+
 def field(frame: DataFrame, name: str) -> str:
     """The type of a column in DDL."""
     return frame.schema[name].dataType.simpleString()

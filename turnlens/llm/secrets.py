@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlens.llm import kernel
+from turnlens.llm.durable import small
+
 #: The patterns of strong kinds are fixed values; the number is the group whose length counts, and how long it must be.
 STRONG = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -32,8 +35,11 @@ ROLE = {"assign": "secret", "hex": "secret", "bare_secret": "secret", "access":
 NEEDS = {"ident": ["secret"], "bare_secret": ["identifier"], "endpoint": ["identifier", "secret"], "named_secret": ["identifier"]}
 #: Two parts belong to one scope if their starts are at most this many characters apart.
 SCOPE = 400
+#: Texts with linked candidates are broadcast up to this many, else joined by a shuffle.
+FEW = 20_000
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
+_LINK = "array<struct<start:bigint,rank:int,end:bigint,parts:array<struct<role:string,at:bigint>>>>"
 
 
 def _long_enough(kind: str) -> str:
@@ -80,6 +86,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, text), ",")
 
 
+def _told(links: Column) -> Column:
+    """Each link as its span, < and the parts it goes with."""
+    part = lambda x: F.concat_ws("@", x["role"], x["at"].cast("string"))
+    return F.array_join(F.transform(links, lambda s: F.concat(_joined(F.array(s)), F.lit("<"), F.array_join(F.transform(s["parts"], part), "+"))), ",")
+
+
 def _linked(docs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
     """One row for each text that has weak candidates in complete company: the key and their spans."""
     text = F.col(text_col)
@@ -104,26 +116,28 @@ def _linked(docs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
     cells = parts.groupBy(*key, "cell", "role").agg(F.min("span.start").alias("low"), F.max("span.start").alias("high"))
     reach = cells.select(*key, F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), "role", "low", "high")
     weak = parts.where(F.col("span.rank") >= len(STRONG)).drop("role")
-    # at most three stretches of each of three roles meet a candidate
-    near = weak.join(reach, [*key, "cell"]).where(
-        (F.abs(F.col("low") - F.col("span.start")) <= SCOPE)
-        | (F.abs(F.col("high") - F.col("span.start")) <= SCOPE)
-        | ((F.col("low") <= F.col("span.start")) & (F.col("span.start") <= F.col("high")))
-    )
-    met = near.groupBy(*key, "span").agg(F.collect_set("role").alias("roles"))
+    # at most three stretches of each of three roles meet a candidate; parts of its own stretch are always near
+    at = F.when(F.abs(F.col("low") - F.col("span.start")) <= SCOPE, F.col("low")).when(F.abs(F.col("high") - F.col("span.start")) <= SCOPE, F.col("high"))
+    near = weak.join(reach, [*key, "cell"]).withColumn("at", at).where("at IS NOT NULL")
+    met = near.groupBy(*key, "span", "role").agg(F.min("at").alias("at"))
+    met = met.groupBy(*key, "span").agg(F.collect_set("role").alias("roles"), F.sort_array(F.collect_list(F.struct("role", "at"))).alias("parts"))
     enough = F.lit(False)
     for kind, roles in NEEDS.items():
         has = F.lit(True)
         for role in roles:
             has = has & F.array_contains("roles", role)
         enough = enough | ((F.col("span.rank") == KINDS.index(kind)) & has)
-    return met.where(enough).groupBy(*key).agg(F.collect_set("span").alias("_weak"))
+    own = F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("span.rank"))
+    link = F.struct("span.start", "span.rank", "span.end", F.filter("parts", lambda x: x["role"] != own).alias("parts"))
+    return met.where(enough).groupBy(*key).agg(F.sort_array(F.collect_list(link)).alias("_weak"))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``base`` and ``spans`` appended, arrays of (start, rank of kind, end), sorted.
+    """All rows of ``docs`` with ``base``, ``spans`` and ``links`` appended, sorted arrays.
 
-    A null text is an empty one, without spans. Offsets count code points, ends
+    ``base`` and ``spans`` hold (start, rank of kind, end); ``links`` holds the
+    weak spans among these, each with the ``parts`` (role, start) of the credential
+    it completes, one of each role. A null text is an empty one, without spans. Offsets count code points, ends
     are exclusive. Repeated rows are scanned and reported each; other columns
     are kept, and columns named like the results are replaced. Texts are joined
     with their weak candidates by two hashes of the whole text, so the frame
@@ -131,18 +145,23 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     key = ["_h1", "_h2"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.drop("base", "spans").withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
+    hashed = docs.drop("base", "spans", "links").withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
     base = hashed.withColumn("base", F.array_sort(F.concat(*[_spans(text, k) for k in STRONG])))
     weak = _linked(hashed.select(F.col(text_col), *key).where(F.col(text_col).isNotNull()), text_col, key)
-    out = base.join(weak, key, "left")
-    none = F.array().cast(_SPAN)
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("_weak", none)))).drop(*key, "_weak")
+    out = base.join(small(weak, FEW), key, "left")
+    links = F.coalesce("_weak", F.array().cast(_LINK))
+    linked = F.transform(links, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    return out.withColumns({"spans": F.array_sort(F.concat("base", linked)), "links": links}).drop(*key, "_weak")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") -> DataFrame:
-    """The documents with every span, overlapping ones as one, replaced by ``mark``; a null text stays null."""
-    names = docs.columns
-    out = scan(docs, text_col)
+    """The documents with every span, overlapping ones as one, replaced by ``mark``.
+
+    Other columns are the caller's own, whatever they are named. A null text
+    stays null, an empty one empty; repeated rows are each redacted.
+    """
+    own, text_name = kernel.shielded(docs, text_col)
+    out = scan(own, text_name)
     zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -153,7 +172,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") ->
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(new)))
 
     out = out.withColumn("_m", F.aggregate("spans", zero, merge))
-    text, m = F.col(text_col), F.col("_m")
+    text, m = F.col(text_name), F.col("_m")
     # the stretch before each span, each followed by the mark, and what follows the last one
     before = F.transform(
         m,
@@ -164,13 +183,13 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") ->
     )
     rest = F.substring(text, F.try_element_at(m, F.lit(-1))["end"].cast("int") + 1, F.length(text))
     clean = F.when(F.size(m) == 0, text).otherwise(F.concat(F.array_join(before, ""), rest))
-    return out.withColumn(text_col, clean).select(*names)
+    return out.withColumn(text_name, clean).select(*own.columns).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the strong kinds, base_sha256 and spans."""
+    """Per document: counts of the strong kinds, base_sha256, spans, and links (span<role@start+role@start of its parts)."""
     out = scan(docs.select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return out.select(
-        "doc_id", *[n(k) for k in STRONG], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
+        "doc_id", *[n(k) for k in STRONG], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), _told(F.col("links")).alias("links")
     )
