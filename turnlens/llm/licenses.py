@@ -18,6 +18,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlens.llm.durable import small
+
+#: Texts that match a template are broadcast up to this many, else joined by a shuffle.
+FEW = 20_000
 #: Percent of a template's words that a block must hold.
 THRESHOLD = 80
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -176,7 +180,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict = TEMPLATES, t
     main = main.withColumn("places", places).drop("_w")
     found = matches(hashed.select(text_col, *key), key, text_col, templates, threshold)
     best = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("template", "label", "containment"))).alias("templates"), F.max("containment").alias("score"))
-    return main.join(best, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop(*key)
+    return main.join(small(best, FEW), key, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop(*key)
 
 
 def digest(docs: DataFrame) -> DataFrame:
