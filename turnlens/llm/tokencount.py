@@ -83,6 +83,7 @@ class Counter(dict):
         self.find = regex.compile(PRETOKEN).findall
 
     def __missing__(self, piece: str) -> int:
+        # forgotten or too long to remember
         return self.learn([piece])[0]
 
     def learn(self, pieces: list[str]) -> list[int]:
@@ -95,10 +96,15 @@ class Counter(dict):
                 self[p] = n
         return found
 
-    def count(self, text: str) -> int:
-        if any(s in text for s in self.special):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.__getitem__, self.find(text)))
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; all pre-tokens not known yet are merged in one batch."""
+        special = [any(s in t for s in self.special) for t in texts]
+        pieces = [[] if s else self.find(t) for s, t in zip(special, texts, strict=True)]
+        new = [p for p in set().union(*pieces).difference(self.keys()) if len(p) <= LONGEST]
+        if new:
+            self.learn(new)
+        whole = iter(self.tokenizer.encode_batch([t for s, t in zip(special, texts, strict=True) if s], add_special_tokens=False))
+        return [len(next(whole).ids) if s else sum(map(self.__getitem__, p)) for s, p in zip(special, pieces, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -130,13 +136,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
             names = batch.schema.names
             texts = batch.column(names.index(text_col))
             size, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for i, value in enumerate(texts):
-                text = value.as_py() or ""
-                size[i] = len(text.encode("utf-8"))
+            for part in kernel.slices(texts):
+                held = [t or "" for t in texts.slice(part.lo, part.hi - part.lo).to_pylist()]
+                size[part.lo : part.hi] = np.diff(part.offsets)
                 if fast:
-                    tokens[i] = counter.count(text)
-                elif text:
-                    tokens[i] = len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+                    tokens[part.lo : part.hi] = counter.count(held)
+                else:
+                    tokens[part.lo : part.hi] = [len(e.ids) for e in counter.tokenizer.encode_batch(held, add_special_tokens=False)]
             new = {"n_bytes": pa.array(size), "n_tokens": pa.array(tokens)}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
 
