@@ -97,7 +97,7 @@ def parse(data: bytes) -> Model:
 
 def _merges(model: Model) -> list[tuple[str, str]]:
     """Every way to join two pieces into a third, the best-scored results first."""
-    vocab = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
+    vocab = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     ways = []
     for piece, i in vocab.items():
         for cut in range(1, len(piece)):
@@ -111,6 +111,8 @@ def build(model: Model, normalise: bool = True):
     """A tokenizers.Tokenizer that encodes as the model does; without ``normalise`` it takes marked text as it is."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+    if any(kind == USER for _, _, kind in model.pieces):
+        raise ValueError("user-defined pieces are matched before all others, which this backend doesn't do")
     if model.kind == UNIGRAM:
         unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unknown, model.byte_fallback)
@@ -148,7 +150,7 @@ class Encoder(dict):
             not self.model.charsmap
             and self.model.escape_spaces
             and not self.model.trim_spaces
-            and not any(marked.search(p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+            and not any(marked.search(p) for p, _, kind in self.model.pieces if kind == NORMAL)
         )
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.bytes_of = [_bytes(p, kind) for p, _, kind in self.model.pieces]
