@@ -217,8 +217,13 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return flagged(docs, benchmark, text_col).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, whatever these are named.
+
+    A null or empty text is clean; repeated rows stay or go together; an empty
+    benchmark leaves everything.
+    """
+    own, text = kernel.shielded(docs, text_col)
+    return flagged(own, benchmark, text).where(~F.col("contaminated")).select(*own.columns).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

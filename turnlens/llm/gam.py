@@ -187,8 +187,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents predicted to be of label 1, with their own columns."""
-    return scored(docs, model, text_col).where(F.col("predicted") == 1).select(*docs.columns)
+    """The documents predicted to be of label 1, with their own columns, whatever these are named.
+
+    Null and empty texts are scored alike; repeated rows stay or go together.
+    """
+    own, text = kernel.shielded(docs, text_col)
+    return scored(own, model, text).where(F.col("predicted") == 1).select(*own.columns).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
