@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlens import vocab
-from turnlens.functions import dates, names
+from turnlens.functions import dates, lemmas, names
 from turnlens.functions import text as T
 from turnlens.functions.export import attachment, html_body, thousands
-from turnlens.operators import actors, kwic, parsing, stats, terms, topics
+from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
 from turnlens.plans import marts, registry
-from turnlens.sources import corpus
+from turnlens.sources import corpus, pages, records
 from turnlens.streaming.ingest import ingest
 
 SAMPLE = str(Path(__file__).parent / "data" / "transcripts")
@@ -83,7 +83,7 @@ def test_sample_marts(sample, tmp_path):
 
 
 def test_marts_of_nothing(spark, tmp_path):
-    (tmp_path / "x.txt").write_text("")
+    (tmp_path / "x.txt").write_text("URL: u")
     docs, turns = marts.load(spark, str(tmp_path))
     none = docs.limit(0), turns.limit(0)
     assert marts.digest(*none).count() == 0
@@ -206,3 +206,55 @@ def test_header_needs_its_place(spark):
     value = "URL: first\nURL: second\nFecha: 2025-01-01\n\nx\nTítulo: too late"
     row = corpus.documents(spark.createDataFrame([("f", value)], "file string, value string")).first()
     assert (row["url"], row["fecha"], row["titulo"]) == ("second", "2025-01-01", "")
+
+
+def test_lemmas(spark):
+    words = ["trabajamos", "trabajando", "hizo", "canciones", "ciudades", "obras", "crisis", "lunes", "dijeron"]
+    want = ["trabajar", "trabajar", "hacer", "canción", "ciudad", "obra", "crisis", "lune", "decir"]
+    rows = [("a", " ".join(words)), ("b", None), ("a", "")]
+    frame = spark.createDataFrame(rows, "g string, t string")
+    found = terms.top_terms(frame, F.col("g"), "t", ["hacer"], lemma=lemmas.lemmatiser()).collect()
+    assert [lemmas.lemma_of(w, lemmas.table()) for w in words] == want
+    assert {(r["term"], r["n"]) for r in found} == {("trabajar", 2), ("canción", 1), ("ciudad", 1), ("obra", 1), ("crisis", 1), ("lune", 1), ("decir", 1)}
+
+
+def test_json_source(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"fecha": "2025-03-04", "n": 2}\n{"fecha": null}\n')
+    rows = records.read_json(spark, str(tmp_path), "fecha string, n bigint").collect()
+    assert {tuple(r) for r in rows} == {("2025-03-04", 2), (None, None)}
+    (tmp_path / "a.json").write_text('[{"n": 1},\n {"n": 2}]')
+    assert records.read_json(spark, str(tmp_path), "n bigint", array=True).agg(F.sum("n")).first()[0] == 3
+    (tmp_path / "a.json").write_text("no json")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        records.read_json(spark, str(tmp_path), "n bigint").collect()
+
+
+def test_content_selectors(spark):
+    long = "Palabra " * 50
+    rows = [
+        (1, f"<body><div class='x'>no</div><div class='a texto b'><div>{long}</div> y <div>más</div></div><article>{long} otra</article></body>"),
+        (2, f"<body><div class='content'>corto</div><article>{long}artículo</article></body>"),
+        (3, f"<body><DIV id=q class=\"article-body\">{long}sin cierre</body>"),
+        (4, "<body>nada</body>"),
+        (5, None),
+    ]
+    found = {r["k"]: r["texto"] for r in pages.extract_documents(spark.createDataFrame(rows, "k int, html string")).collect()}
+    assert found[1].split() == [*long.split(), "y", "más"] and found[2].endswith("artículo")
+    assert found[3].endswith("sin cierre") and found[4] == "nada" and found[5] is None
+
+
+def test_stored_turns(spark, tmp_path):
+    """The second load reads what the first one wrote."""
+    first = marts.load(spark, SAMPLE, str(tmp_path / "kept"))
+    again = marts.load(spark, "/nowhere", str(tmp_path / "kept"))
+    for a, b in zip(first, again, strict=True):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert again[1].count() == 14
+
+
+def test_actor_choice(spark):
+    events = spark.createDataFrame([(7, "2024-01-02"), (7, "2024-01-02"), (8, "2024-02-03"), (7, "2025-01-01")], "actor int, fecha string")
+    months = {r["periodo"]: r["n"] for r in timeline.timeline(events, F.col("actor") == 7).collect()}
+    assert months == {"2024-01": 2, "2024-02": 0, "2025-01": 1}
+    detail = timeline.detail(events, F.col("actor") == 7, "2024-01").collect()
+    assert [(r["fecha"], r["resumen"]) for r in detail] == [("2024-01-02", "2 intervenciones")]

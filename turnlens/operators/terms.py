@@ -18,15 +18,14 @@ MIN_UNIGRAM, MIN_BIGRAM, BIGRAM_WEIGHT, TERMS = 4, 2, 1.4, 6
 def top_terms(texts: DataFrame, group: Column, text: str, stops: Iterable[str], k: int = 50, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
     """(grp, rank, term, n): the k commonest terms of each group, ties by term.
 
-    ``lemma`` maps a column of tokens (arrays) to their lemmas; without one each
-    token is its own, and stop words go after the tokens are set apart, where
-    the test is compiled. The counts are partial before the shuffle, and the rank
+    ``lemma`` maps a column of tokens (arrays) to their lemmas, of which stop words
+    and those of less than three letters go; without one each token is its own.
+    Stop words go after the tokens are set apart, where the test is compiled. The counts are partial before the shuffle, and the rank
     keeps k rows a group before sorting.
     """
     tokens = letter_tokens(F.col(text), 3)
     terms = texts.select(group.alias("grp"), F.explode(lemma(without(tokens, stops)) if lemma else tokens).alias("term"))
-    if not lemma:
-        terms = terms.where(~F.col("term").isin(list(stops)))
+    terms = terms.where(~F.col("term").isin(list(stops)) & (F.length("term") > 2))
     counts = terms.groupBy("grp", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "term"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "rank", "term", "n")

@@ -23,6 +23,12 @@ def timeline(events: DataFrame, who: Column, grain: str = "month", metric: str =
     return spine(events, grain).join(own, "periodo", "left").select("periodo", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def timelines(events: DataFrame, grain: str = "month", metric: str = "turns") -> DataFrame:
+    """(actor, periodo, n) of every actor, one row for each period that has events of the actor."""
+    n = F.count("*") if metric == "turns" else F.count_distinct("fecha")
+    return events.groupBy("actor", period(F.col("fecha"), grain).alias("periodo")).agg(n.alias("n"))
+
+
 def detail(events: DataFrame, who: Column, periodo: str, grain: str = "month") -> DataFrame:
     """(fecha, n, resumen) of the chosen actors' events in one period, newest first."""
     own = events.where(who).where(period(F.col("fecha"), grain) == periodo).groupBy("fecha").agg(F.count("*").alias("n"))

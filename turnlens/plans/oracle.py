@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnlens import vocab
+from turnlens.functions import lemmas
 from turnlens.plans import fixtures
 from turnlens.sources.bindings import LABELS
 
@@ -75,12 +76,12 @@ def _topk(source: str, group: str, text: str, stops) -> str:
 
 def _digest(stops) -> str:
     keep = f"NOT list_contains({_list(stops)}, {{0}})"
-    return f"""WITH es AS (SELECT doc_id, {_tokens("text")} AS t FROM documents WHERE lang = 'es'),
+    return f"""WITH es AS (SELECT doc_id, {_tokens("text")} AS t FROM documents),
   w AS (SELECT doc_id, unnest(t) AS a, unnest(list_concat(t[2:], [NULL])) AS b FROM es),
   g AS (SELECT doc_id, a AS term FROM w WHERE {keep.format("a")}
     UNION ALL SELECT doc_id, a || ' ' || b FROM w WHERE b IS NOT NULL AND {keep.format("a")} AND {keep.format("b")}),
   df AS (SELECT term, count(DISTINCT doc_id) AS df FROM g GROUP BY term),
-  own AS (SELECT term, count(*) AS n FROM g WHERE doc_id = (SELECT max(doc_id) FROM es) GROUP BY term),
+  own AS (SELECT term, count(*) AS n FROM g WHERE doc_id = (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 1) GROUP BY term),
   sc AS (SELECT term, n, df, round(n * ln(CAST((SELECT count(*) FROM es) AS DOUBLE) / df) * CASE WHEN contains(term, ' ') THEN 1.4 ELSE 1.0 END, 6) AS score
     FROM own JOIN df USING (term) WHERE n >= CASE WHEN contains(term, ' ') THEN 2 ELSE 4 END),
   ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, length(term) DESC, term) AS INTEGER) AS rank, term, n, df, CAST(score AS DOUBLE) AS score FROM sc)"""
@@ -172,7 +173,13 @@ def _type(x: str) -> str:
     WHEN regexp_matches({x}, '{"|".join(vocab.ROLE_WORDS)}') THEN 'funcionario' ELSE 'otro' END"""
 
 
-_FILES = f"f AS (SELECT * FROM {_values(fixtures.TRANSCRIPTS, 'file, value')}), ln AS (SELECT file, value, string_split(rtrim(value, chr(10)), chr(10)) AS l FROM f)"
+LABELLED = f"{TURNS}, lb AS (SELECT conv_id, fecha, turno, {_list(fixtures.LABELS)}[((conv_id * 5 + turno) % {len(fixtures.LABELS)}) + 1] AS label, texto FROM turns)"
+_LITERAL = f"f AS (SELECT * FROM {_values(fixtures.TRANSCRIPTS, 'file, value')}), ln AS (SELECT file, value, string_split(rtrim(value, chr(10)), chr(10)) AS l FROM f)"
+_FILES = f"""{LABELLED},
+  sd AS (SELECT conv_id, fecha, string_agg(CASE WHEN conv_id % 7 = 0 AND turno = 2 THEN '—000—' || chr(10) ELSE '' END || label || coalesce(': ' || texto, ''), chr(10) ORDER BY turno) AS body
+    FROM lb GROUP BY ALL),
+  f AS (SELECT lpad(CAST(conv_id AS VARCHAR), 12, '0') || '.txt' AS file, 'URL: https://example.org/a/' || conv_id || chr(10) || 'Fecha: ' || fecha || chr(10) || 'Título: Conversación ' ||
+    conv_id || chr(10) || chr(10) || body || CASE WHEN conv_id % 5 = 0 THEN chr(10) || '(CONTINÚA…)' ELSE '' END AS value FROM sd), ln AS (SELECT file, value, string_split(regexp_replace(value, '\n$', ''), chr(10)) AS l FROM f)"""
 
 
 def _head(name: str, among: int = 5) -> str:
@@ -182,7 +189,13 @@ def _head(name: str, among: int = 5) -> str:
 _SLUG = r"del-(\d{1,2})-de-(\w+)-de-(\d{4})"
 _SLUG_TEXT = f"""CASE WHEN NOT regexp_matches(url, '{_SLUG}') THEN '' ELSE regexp_extract(url, '{_SLUG}', 3) || '-' ||
   lpad(CAST(coalesce(list_position({_list(vocab.MONTHS)}, lower(regexp_extract(url, '{_SLUG}', 2))), 0) AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(url, '{_SLUG}', 1), 2, '0') END"""
-_SLUGS = _values([(i, x) for i, x in enumerate(fixtures.SLUGS)], "pos, href")
+_DATED = f"'del-' || day(dd) || '-de-' || {{0}} || '-de-' || year(dd)"
+_SPOKEN_MONTH = f"{_list(vocab.MONTHS)}[month(dd)]"
+_PRESS = "'/articulos/version-estenografica-conferencia-de-prensa-' || "
+_SLUGS = f"""sl AS (SELECT conv_id AS page_id, turno AS pos, CASE conv_id % 5 WHEN 0 THEN '/articulos/version-estenografica-toma-de-protesta-' || {_DATED.format(_SPOKEN_MONTH)}
+  WHEN 1 THEN 'https://example.org' || {_PRESS}{_DATED.format(_SPOKEN_MONTH)} WHEN 2 THEN {_PRESS}{_DATED.format("'foo'")}
+  WHEN 3 THEN {_PRESS}{_DATED.format(_SPOKEN_MONTH)} || '?x=1' ELSE '/articulos/otra-cosa-' || {_DATED.format(_SPOKEN_MONTH)} END AS href
+  FROM (SELECT *, CAST(fecha AS DATE) AS dd FROM turns))"""
 _ABSOLUTE = "CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example.org' || href END"
 
 
@@ -202,6 +215,11 @@ for _code, _plain in (("%21", "!"), ("%2A", "*"), ("%27", "''"), ("%28", "("), (
     _ENC = f"replace({_ENC}, '{_code}', '{_plain}')"
 
 
+def _meta(kind: str) -> str:
+    name = {"name": "date", "property": "article:published_time"}[kind]
+    return rf"""regexp_extract(html, '(?i)<meta\s[^>]*?{kind}=["'']{name}["''][^>]*?content=["'']([^"'']*)["'']', 1)"""
+
+
 def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dict[str, str]:
     """Name to SQL."""
     k = _kwic(term)
@@ -219,6 +237,14 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
         "framing_lexicons": _framing(vocab.FRAMES) + " SELECT * FROM fr",
         "framing_pivot": _framing(frames) + " " + _pivot("fr", "scope, mes", "frame", "por_mil", list(frames)),
         "term_freq_topk": f"WITH {TURNS}, pr AS (SELECT * FROM turns WHERE tipo = 'presidenta'), " + _topk("pr", "substr(fecha, 1, 7)", "texto", lexical),
+        "term_freq_lemmas": f"""WITH {TURNS}, fo AS (SELECT * FROM {_values(sorted(lemmas.table().items()), "form, lemma")}),
+            tk AS (SELECT tipo AS grp, unnest({_tokens("texto")}) AS w FROM turns), kept AS (SELECT * FROM tk WHERE NOT list_contains({_list(lexical)}, w)),
+            lm AS (SELECT grp, CASE WHEN lemma IS NOT NULL THEN lemma WHEN length(w) > 5 AND ends_with(w, 'iones') THEN left(w, length(w) - 5) || 'ión'
+              WHEN length(w) > 5 AND regexp_matches(w, '[dlrn]es$') THEN left(w, length(w) - 2) WHEN length(w) > 4 AND regexp_matches(w, '[aeo]s$') THEN left(w, length(w) - 1)
+              ELSE w END AS term FROM kept LEFT JOIN fo ON form = w),
+            c AS (SELECT grp, term, count(*) AS n FROM lm WHERE length(term) > 2 AND NOT list_contains({_list(lexical)}, term) GROUP BY ALL),
+            r AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, term) AS INTEGER) AS rank, term, n FROM c)
+            SELECT * FROM r WHERE rank <= 50""",
         "term_freq_by_source": "WITH " + _topk("documents", "source", "text", lexical),
         "tfidf_topk": f"""WITH {TURNS}, doc AS (SELECT substr(fecha, 1, 7) AS grp, list_filter({_tokens("string_agg(texto, ' ' ORDER BY fecha, conv_id, turno)")},
               lambda t: NOT list_contains({_list(lexical)}, t)) AS t FROM turns WHERE tipo = 'presidenta' GROUP BY 1),
@@ -251,28 +277,20 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
               THEN url || '#:~:text=' || {_ENC.format("frase")}
               ELSE url || '#:~:text=' || {_ENC.format(f"array_to_string({w}[1:8], ' ')")} || ',' || {_ENC.format(f"array_to_string({w}[-6:], ' ')")} END AS link FROM fr""",
         "kwic_highlight": k
-        + f""", f1 AS (SELECT conv_id, turno, min_by(ctx, "at") AS ctx FROM ctx GROUP BY ALL)
-            SELECT conv_id, turno, array_to_string(list_transform(regexp_extract_all(ctx, '(?i:{SQL_LETTERS}+)|[^a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+'),
-              lambda s: CASE WHEN lower(s) = {_str(term)} THEN '<mark>' || s || '</mark>' ELSE s END), '') AS marked FROM f1""",
+        + f""" SELECT conv_id, turno, "at", array_to_string(list_transform(regexp_extract_all(ctx, '(?i:{SQL_LETTERS}+)|[^a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+'),
+              lambda s: CASE WHEN lower(s) = {_str(term)} THEN '<mark>' || s || '</mark>' ELSE s END), '') AS marked FROM ctx""",
         "participants": _participants("n"),
         "participants_compat": _participants("n * n"),
         "question_count": f"WITH {TURNS} SELECT count(*) FILTER (tipo = 'pregunta') AS n_preguntas FROM turns",
-        **{
-            name: f"""WITH {EVENTS}, sp AS (SELECT DISTINCT substr(fecha, 1, {n}) AS periodo FROM ev),
-              o AS (SELECT substr(fecha, 1, {n}) AS periodo, count({what}) AS n FROM ev WHERE {who} GROUP BY 1)
-              SELECT periodo, coalesce(n, 0) AS n FROM sp LEFT JOIN o USING (periodo)"""
-            for name, n, what, who in (
-                ("actor_timeline_month", 7, "*", "actor % 10 = 3"),
-                ("actor_timeline_day", 10, "*", "actor % 10 = 3"),
-                ("actor_timeline_conferences", 4, "DISTINCT fecha", "actor = 7"),
-            )
-        },
+        "actor_timeline_month": f"WITH {EVENTS} SELECT actor, substr(fecha, 1, 7) AS periodo, count(*) AS n FROM ev GROUP BY ALL",
+        "actor_timeline_day": f"WITH {EVENTS} SELECT fecha AS periodo, count(*) AS n FROM ev GROUP BY ALL",
+        "actor_timeline_conferences": f"WITH {EVENTS} SELECT actor, substr(fecha, 1, 4) AS periodo, count(DISTINCT fecha) AS n FROM ev GROUP BY ALL",
         "actor_period_detail": f"""WITH {EVENTS} SELECT fecha, count(*) AS n, CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' intervención' ELSE ' intervenciones' END AS resumen
-            FROM ev WHERE actor = 7 AND substr(fecha, 1, 7) = '2024-01' GROUP BY fecha""",
+            FROM ev WHERE substr(fecha, 1, 4) = '2024' GROUP BY fecha""",
         "category_aggregate": f"WITH {EVENTS} SELECT categoria, count(DISTINCT actor) AS actores, count(*) AS eventos FROM ev GROUP BY categoria",
         "category_timeline": f"WITH {EVENTS} SELECT categoria, fecha AS periodo, count(*) AS n, count(DISTINCT actor) AS actores FROM ev GROUP BY ALL",
         **{
-            name: f"WITH lb AS (SELECT * FROM {_values([(x,) for x in fixtures.LABELS], 'label')}), {_names('lb', 'label')} SELECT {what} FROM lb JOIN nm ON lbl = {on}"
+            name: f"WITH {LABELLED}, {_names('lb', 'label')} SELECT conv_id, turno, {what} FROM lb JOIN nm ON lbl = {on}"
             for name, what, on in (
                 (
                     "name_split",
@@ -283,8 +301,8 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
                 ("merge_key", "label, estado, persona, clave", _NORM.format("label")),
             )
         },
-        "speaker_classify": f"""WITH lb AS (SELECT * FROM {_values([(x,) for x in fixtures.LABELS], "label")}), l2 AS (SELECT label, {_UP.format("label")} AS u FROM lb)
-            SELECT label, {_type("label")} AS tipo, CASE WHEN regexp_matches(u, 'GOBERNADOR|JEF[EA] DE GOBIERNO') THEN 'gobernadores' WHEN contains(u, 'DIRECTOR') THEN 'directores'
+        "speaker_classify": f"""WITH {LABELLED}, l2 AS (SELECT conv_id, turno, label, {_UP.format("label")} AS u FROM lb)
+            SELECT conv_id, turno, label, {_type("label")} AS tipo, CASE WHEN regexp_matches(u, 'GOBERNADOR|JEF[EA] DE GOBIERNO') THEN 'gobernadores' WHEN contains(u, 'DIRECTOR') THEN 'directores'
               WHEN contains(u, 'SECRETARI') AND NOT regexp_matches(u, 'SINDICATO|CONFEDERACION|SECRETARI[OA] GENERAL|ESTADOS UNIDOS DE AMERICA|{"|".join(vocab.STATES)}') THEN 'secretarios'
               ELSE 'otros' END AS categoria FROM l2""",
         "entity_groups": f"WITH RECURSIVE {_GROUPS} SELECT clave, grupo FROM cc",
@@ -304,34 +322,37 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
             g AS (SELECT file, turno, max(label) AS hablante, trim(string_agg(said, ' ' ORDER BY pos)) AS texto FROM t WHERE turno >= 0 GROUP BY ALL)
             SELECT file, turno, {_type("hablante")} AS tipo, hablante, texto FROM g""",
         "document_header": f"""WITH {_FILES} SELECT file, {_head("URL:")} AS url, {_head("Fecha:")} AS fecha, {_head("Título:")} AS titulo,
-            contains(value, '(CONTINÚA…)') AS incompleto, CAST(length(array_to_string(l[4:], chr(10))) AS INTEGER) AS n FROM ln""",
+            contains(value, '(CONTINÚA…)') AS incompleto, array_to_string(l[4:], chr(10)) AS body FROM ln""",
         "date_url_map": f"""WITH {_FILES}, h AS (SELECT file, {_head("URL:", 3)} AS url, {_head("Fecha:", 3)} AS fecha FROM ln)
             SELECT fecha, arg_max(url, file) AS url FROM h WHERE url <> '' AND fecha <> '' GROUP BY fecha""",
         "latest_document": f"WITH {_FILES} SELECT file, {_head('Fecha:')} AS fecha, {_head('Título:')} AS titulo FROM ln ORDER BY file DESC LIMIT 1",
         "paragraph_clean": f"WITH c AS (SELECT doc_id, {_CLEAN.format('text')} AS texto FROM documents) SELECT * FROM c WHERE length(texto) >= 500",
         "page_links": f"WITH {_FROM_LINKS} SELECT page_id, pos, href FROM lk",
         "url_dedup": f"WITH {_FROM_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS r FROM lk) SELECT href, page_id, pos FROM r WHERE r = 1",
-        "page_title_text": f"""WITH e AS (SELECT page_id, {_inner("h1")} AS titulo, {_inner("article")} AS art, {_inner("main")} AS mn, {_inner("body")} AS bd FROM pages),
+        "page_title_text": f"""WITH e AS (SELECT page_id, {_inner("h1")} AS titulo, {_inner("article")} AS art, {_inner("main")} AS mn, {_inner("body")} AS bd,
+              coalesce(nullif({_meta("name")}, ''), left({_meta("property")}, 10), '') AS fecha_meta FROM pages),
             t AS (SELECT *, coalesce(CASE WHEN length(art) > 300 THEN art END, CASE WHEN length(mn) > 300 THEN mn END, bd) AS x FROM e)
-            SELECT page_id, titulo, CAST(length({_CLEAN.format("x")}) AS INTEGER) AS n FROM t""",
+            SELECT page_id, titulo, fecha_meta, {_CLEAN.format("x")} AS texto FROM t""",
         "page_url_list": """SELECT range AS page, CASE WHEN range = 1 THEN 'https://example.org/archivo/articulos'
             ELSE 'https://example.org/archivo/articulos?filter_origin=archive&idiom=es&order=DESC&page=' || CAST(range AS VARCHAR) END AS url FROM range(1, 5)""",
-        "date_from_slug": f"""WITH s AS (SELECT href AS url FROM {_SLUGS}), t AS (SELECT url, {_SLUG_TEXT} AS texto FROM s)
-            SELECT url, texto, CAST(TRY_CAST(texto AS DATE) AS VARCHAR) AS fecha FROM t""",
-        "archive_articles": f"""WITH s AS (SELECT {_ABSOLUTE} AS url FROM {_SLUGS} WHERE contains(href, 'version-estenografica')),
+        "date_from_slug": f"""WITH {TURNS}, {_SLUGS}, s AS (SELECT page_id, pos, href AS url FROM sl), t AS (SELECT *, {_SLUG_TEXT} AS texto FROM s)
+            SELECT page_id, pos, url, texto, CAST(TRY_CAST(texto AS DATE) AS VARCHAR) AS fecha FROM t""",
+        "archive_articles": f"""WITH {TURNS}, {_SLUGS}, s AS (SELECT {_ABSOLUTE} AS url FROM sl WHERE contains(href, 'version-estenografica')),
             t AS (SELECT DISTINCT url, TRY_CAST({_SLUG_TEXT} AS DATE) AS d FROM s) SELECT url, CAST(d AS VARCHAR) AS fecha FROM t WHERE d >= DATE '2024-10-01'""",
-        "archive_latest": f"""WITH s AS (SELECT pos, {_ABSOLUTE} AS url FROM {_SLUGS} WHERE contains(href, 'version-estenografica-conferencia-de-prensa')),
-            t AS (SELECT pos, url, {_SLUG_TEXT} AS fecha FROM s) SELECT url, fecha FROM t WHERE fecha <> '' ORDER BY pos LIMIT 1""",
+        "archive_latest": f"""WITH {TURNS}, {_SLUGS}, s AS (SELECT page_id, pos, {_ABSOLUTE} AS url FROM sl WHERE contains(href, 'version-estenografica-conferencia-de-prensa')),
+            t AS (SELECT page_id, pos, url, {_SLUG_TEXT} AS fecha FROM s) SELECT url, fecha FROM t WHERE fecha <> '' ORDER BY page_id, pos LIMIT 1""",
         "pending_fetch": f"""WITH {EVENTS}, l AS (SELECT DISTINCT fecha, 'u/' || fecha AS url, day(CAST(fecha AS DATE)) AS dd FROM ev)
             SELECT fecha, url FROM l WHERE NOT (dd % 2 = 0 AND dd % 4 <> 0)""",
-        "document_upsert": f"""WITH a AS (SELECT *, 0 AS nw FROM {_values(fixtures.STORED, "file, url, fecha, titulo, incompleto, body")}
-              UNION ALL SELECT *, 1 FROM {_values(fixtures.FETCHED, "file, url, fecha, titulo, incompleto, body")} WHERE length(body) >= 500),
-            r AS (SELECT *, row_number() OVER (PARTITION BY fecha ORDER BY incompleto, CASE WHEN incompleto THEN nw ELSE -nw END, file DESC) AS r FROM a)
-            SELECT fecha, file, incompleto, titulo FROM r WHERE r = 1""",
+        "document_upsert": f"""WITH {_FILES},
+            st AS (SELECT file, {_head("Fecha:")} AS fecha, {_head("Título:")} AS titulo, contains(value, '(CONTINÚA…)') AS incompleto, array_to_string(l[4:], chr(10)) AS body, 0 AS nw FROM ln),
+            fe AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS file, CAST(DATE '2024-10-02' + CAST(doc_id % 500 AS INTEGER) AS VARCHAR) AS fecha, lang AS titulo,
+              doc_id % 3 = 0 AS incompleto, text AS body, 1 AS nw FROM documents WHERE length(text) >= 500),
+            r AS (SELECT *, row_number() OVER (PARTITION BY fecha ORDER BY incompleto, CASE WHEN incompleto THEN nw ELSE -nw END, file DESC) AS r FROM (SELECT * FROM st UNION ALL SELECT * FROM fe))
+            SELECT fecha, file, incompleto, titulo, body FROM r WHERE r = 1""",
         "period_labels": f"""WITH {TURNS}, d AS (SELECT DISTINCT fecha FROM turns)
             SELECT fecha, {_list([m[:3].capitalize() for m in vocab.MONTHS])}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' ' || substr(fecha, 1, 4) AS mes,
               CAST(CAST(substr(fecha, 9, 2) AS INTEGER) AS VARCHAR) || ' de ' || {_list(vocab.MONTHS)}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' de ' || substr(fecha, 1, 4) AS largo,
               substr(fecha, 1, 4) AS anio FROM d""",
-        "incremental_ingest": f"""WITH {_FILES} SELECT {_head("Fecha:")} AS fecha, file, {_head("Título:")} AS titulo, contains(value, '(CONTINÚA…)') AS incompleto
+        "incremental_ingest": f"""WITH {_LITERAL} SELECT {_head("Fecha:")} AS fecha, file, {_head("Título:")} AS titulo, contains(value, '(CONTINÚA…)') AS incompleto
             FROM ln""",
     }

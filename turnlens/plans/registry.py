@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens import vocab
-from turnlens.functions import dates, names
+from turnlens.functions import dates, lemmas, names
 from turnlens.functions import text as T
 from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
 from turnlens.plans import fixtures, oracle
@@ -21,7 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Frequent words of the synthetic texts, which the real lexicons rarely hit.
 TEST_FRAMES = {"articulos": ["the", "los", "las", "die", "les"], "enlaces": ["and", "que", "und", "of"], "crisis": vocab.FRAMES["crisis"]}
 TERM = "the"
-ACTORS = "actor % 10 = 3"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,6 +83,12 @@ def term_freq_topk(spark, d):
     return terms.top_terms(B.turns(spark, d).where("tipo = 'presidenta'"), dates.period(F.col("fecha")), "texto", vocab.lexical_stops())
 
 
+@query
+def term_freq_lemmas(spark, d):
+    turns = B.turns(spark, d)
+    return terms.top_terms(turns, F.col("tipo"), "texto", vocab.lexical_stops(), lemma=lemmas.lemmatiser())
+
+
 @query
 def term_freq_by_source(spark, d):
     return terms.top_terms(B.read(spark, d, "documents"), F.col("source"), "text", vocab.lexical_stops())
@@ -96,8 +101,9 @@ def tfidf_topk(spark, d):
 
 
 def _digest(spark, d):
-    docs = B.read(spark, d, "documents").where("lang = 'es'")
-    last = docs.agg(F.max("doc_id")).first()[0]
+    # the longest document stands for the latest
+    docs = B.read(spark, d, "documents")
+    last = docs.agg(F.max_by("doc_id", F.struct("n_chars", "doc_id"))).first()[0]
     return terms.distinctive(docs, F.col("doc_id") == last, "doc_id", "text", vocab.digest_stops())
 
 
@@ -157,7 +163,7 @@ def kwic_page(spark, d):
 @query
 def kwic_highlight(spark, d):
     found = kwic.hits(kwic.corpus(B.turns(spark, d)), TERM)
-    return found.groupBy("conv_id", "turno").agg(F.min_by("ctx", "at").alias("ctx")).select("conv_id", "turno", T.highlight(F.col("ctx"), TERM).alias("marked"))
+    return found.select("conv_id", "turno", "at", T.highlight(F.col("ctx"), TERM).alias("marked"))
 
 
 # --- actors -------------------------------------------------------------------
@@ -180,22 +186,22 @@ def question_count(spark, d):
 
 @query
 def actor_timeline_month(spark, d):
-    return timeline.timeline(B.actor_events(spark, d), F.expr(ACTORS))
+    return timeline.timelines(B.actor_events(spark, d))
 
 
 @query
 def actor_timeline_day(spark, d):
-    return timeline.timeline(B.actor_events(spark, d), F.expr(ACTORS), "day")
+    return timeline.timeline(B.actor_events(spark, d), F.lit(True), "day")
 
 
 @query
 def actor_timeline_conferences(spark, d):
-    return timeline.timeline(B.actor_events(spark, d), F.expr("actor = 7"), "year", "conferences")
+    return timeline.timelines(B.actor_events(spark, d), "year", "conferences")
 
 
 @query
 def actor_period_detail(spark, d):
-    return timeline.detail(B.actor_events(spark, d), F.expr("actor = 7"), "2024-01")
+    return timeline.detail(B.actor_events(spark, d), F.lit(True), "2024", "year")
 
 
 @query
@@ -211,28 +217,28 @@ def category_timeline(spark, d):
     )
 
 
-def _labels(spark):
-    return _literal(spark, [(x,) for x in fixtures.LABELS], "label string")
+def _labels(spark, d):
+    return B.labelled(spark, d, fixtures.LABELS)
 
 
 @query
 def speaker_classify(spark, d):
-    return _labels(spark).select("label", names.speaker_type(F.col("label")).alias("tipo"), names.category(F.col("label")).alias("categoria"))
+    return _labels(spark, d).select("conv_id", "turno", "label", names.speaker_type(F.col("label")).alias("tipo"), names.category(F.col("label")).alias("categoria"))
 
 
 @query
 def name_split(spark, d):
     x = names.normal_label(F.col("label"))
     role, name = names.display_name(F.col("label"))
-    return _labels(spark).select(
-        "label", names.name_segment(x).alias("nombre"), names.role_segment(x).alias("cargo"), role.alias("cargo_vista"), name.alias("nombre_vista")
+    return _labels(spark, d).select(
+        "conv_id", "turno", "label", names.name_segment(x).alias("nombre"), names.role_segment(x).alias("cargo"), role.alias("cargo_vista"), name.alias("nombre_vista")
     )
 
 
 @query
 def merge_key(spark, d):
     x = names.normal_label(F.col("label"))
-    return _labels(spark).select("label", names.state(x).alias("estado"), names.person_key(x).alias("persona"), names.merge_key(x).alias("clave"))
+    return _labels(spark, d).select("conv_id", "turno", "label", names.state(x).alias("estado"), names.person_key(x).alias("persona"), names.merge_key(x).alias("clave"))
 
 
 @query
@@ -260,28 +266,28 @@ def official_dates(spark, d):
 # --- documents and pages ------------------------------------------------------
 
 
-def _transcripts(spark):
-    return _literal(spark, fixtures.TRANSCRIPTS, "file string, value string")
+def _transcripts(spark, d):
+    return B.transcripts(spark, d, fixtures.LABELS)
 
 
 @query
 def turn_segmentation(spark, d):
-    return parsing.segment(_transcripts(spark))
+    return parsing.segment(_transcripts(spark, d))
 
 
 @query
 def document_header(spark, d):
-    return corpus.documents(_transcripts(spark)).select("file", "url", "fecha", "titulo", "incompleto", F.length("body").alias("n"))
+    return corpus.documents(_transcripts(spark, d)).select("file", "url", "fecha", "titulo", "incompleto", "body")
 
 
 @query
 def date_url_map(spark, d):
-    return corpus.date_urls(_transcripts(spark))
+    return corpus.date_urls(_transcripts(spark, d))
 
 
 @query
 def latest_document(spark, d):
-    return corpus.latest(corpus.documents(_transcripts(spark))).select("file", "fecha", "titulo")
+    return corpus.latest(corpus.documents(_transcripts(spark, d))).select("file", "fecha", "titulo")
 
 
 @query
@@ -303,7 +309,7 @@ def url_dedup(spark, d):
 @query
 def page_title_text(spark, d):
     out = pages.extract_documents(B.read(spark, d, "pages").select("page_id", "html"))
-    return out.select("page_id", "titulo", F.length("texto").alias("n"))
+    return out.select("page_id", "titulo", "fecha_meta", "texto")
 
 
 @query
@@ -314,22 +320,18 @@ def page_url_list(spark, d):
 @query
 def date_from_slug(spark, d):
     u = F.col("url")
-    slugs = _literal(spark, [(x,) for x in fixtures.SLUGS], "url string")
-    return slugs.select("url", dates.slug_date_text(u).alias("texto"), dates.slug_date(u).cast("string").alias("fecha"))
-
-
-def _archive_links(spark):
-    return _literal(spark, [(1, i, x) for i, x in enumerate(fixtures.SLUGS)], "page_id int, pos int, href string")
+    slugs = B.archive_links(spark, d).select("page_id", "pos", F.col("href").alias("url"))
+    return slugs.select("page_id", "pos", "url", dates.slug_date_text(u).alias("texto"), dates.slug_date(u).cast("string").alias("fecha"))
 
 
 @query
 def archive_articles(spark, d):
-    return pages.article_links(_archive_links(spark), "https://example.org").withColumn("fecha", F.col("fecha").cast("string"))
+    return pages.article_links(B.archive_links(spark, d), "https://example.org").withColumn("fecha", F.col("fecha").cast("string"))
 
 
 @query
 def archive_latest(spark, d):
-    return pages.latest_article(_archive_links(spark), "https://example.org")
+    return pages.latest_article(B.archive_links(spark, d), "https://example.org")
 
 
 @query
@@ -341,9 +343,8 @@ def pending_fetch(spark, d):
 
 @query
 def document_upsert(spark, d):
-    schema = "file string, url string, fecha string, titulo string, incompleto boolean, body string"
-    old, new = (_literal(spark, x, schema) for x in (fixtures.STORED, fixtures.FETCHED))
-    return corpus.upsert(old, new).select("fecha", "file", "incompleto", "titulo")
+    old, new = corpus.documents(_transcripts(spark, d)), B.fetched(spark, d)
+    return corpus.upsert(old, new).select("fecha", "file", "incompleto", "titulo", "body")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens import vocab
 from turnlens.functions.text import strings
 
 #: Labels dealt to the officials' turns.
@@ -41,3 +42,52 @@ def actor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("actor"), F.to_date("ts").cast("string").alias("fecha"), F.col("event_type").alias("categoria")
     )
+
+
+def labelled(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
+    """(conv_id, fecha, turno, label, texto): the turns with one of some labels dealt to each."""
+    label = F.get(strings(labels), ((F.col("conv_id") * 5 + F.col("turno")) % len(labels)).cast("int"))
+    return turns(spark, sf_dir).select("conv_id", "fecha", "turno", label.alias("label"), "texto")
+
+
+def transcripts(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
+    """(file, value): each conversation as a transcript file; every fifth one is cut off, every seventh ends before its last turns."""
+    said = F.concat_ws(": ", "label", "texto")
+    ended = F.when((F.col("conv_id") % 7 == 0) & (F.col("turno") == 2), F.concat(F.lit("—000—\n"), said)).otherwise(said)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turno", ended.alias("s")))), lambda x: x["s"])
+    whole = labelled(spark, sf_dir, labels).groupBy("conv_id", "fecha").agg(F.array_join(lines, "\n").alias("body"))
+    head = F.concat(
+        F.lit("URL: https://example.org/a/"), F.col("conv_id"), F.lit("\nFecha: "), F.col("fecha"), F.lit("\nTítulo: Conversación "), F.col("conv_id"), F.lit("\n\n")
+    )
+    cut = F.when(F.col("conv_id") % 5 == 0, F.lit("\n(CONTINÚA…)")).otherwise(F.lit(""))
+    return whole.select(F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".txt")).alias("file"), F.concat(head, F.col("body"), cut).alias("value"))
+
+
+def archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, href): links of an archive, one for each turn, of five forms."""
+    day = F.col("fecha").cast("date")
+    month = F.get(strings(vocab.MONTHS), F.month(day) - 1)
+    date = lambda m: F.concat(F.lit("del-"), F.dayofmonth(day), F.lit("-de-"), m, F.lit("-de-"), F.year(day))
+    press, other = F.lit("version-estenografica-conferencia-de-prensa-"), F.lit("version-estenografica-toma-de-protesta-")
+    form = F.col("conv_id") % 5
+    href = (
+        F.when(form == 0, F.concat(F.lit("/articulos/"), other, date(month)))
+        .when(form == 1, F.concat(F.lit("https://example.org/articulos/"), press, date(month)))
+        .when(form == 2, F.concat(F.lit("/articulos/"), press, date(F.lit("foo"))))
+        .when(form == 3, F.concat(F.lit("/articulos/"), press, date(month), F.lit("?x=1")))
+        .otherwise(F.concat(F.lit("/articulos/otra-cosa-"), date(month)))
+    )
+    return turns(spark, sf_dir).select(F.col("conv_id").alias("page_id"), F.col("turno").alias("pos"), href.alias("href"))
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, url, fecha, titulo, incompleto, body): the documents as fetches of dates; every third one is truncated."""
+    day = F.date_add(F.lit("2024-10-02").cast("date"), (F.col("doc_id") % 500).cast("int")).cast("string")
+    return read(spark, sf_dir, "documents").select(
+        F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("file"),
+        F.concat(F.lit("https://example.org/d/"), F.col("doc_id")).alias("url"),
+        day.alias("fecha"),
+        F.col("lang").alias("titulo"),
+        (F.col("doc_id") % 3 == 0).alias("incompleto"),
+        F.col("text").alias("body"),
+    )

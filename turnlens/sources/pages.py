@@ -13,6 +13,7 @@ PRESS_SLUG = "version-estenografica-conferencia-de-prensa"
 ANY_SLUG = "version-estenografica"
 START = "2024-10-01"
 BODY_LENGTH = 300
+SELECTORS = ("div.article-body", "div.content", "div.texto", "div.transcripcion", "article", "main")
 
 
 def page_urls(spark: SparkSession, site: str, n: int, first: str = "/archivo/articulos") -> DataFrame:
@@ -54,17 +55,44 @@ def latest_article(found: DataFrame, site: str, key: str = "page_id") -> DataFra
 def element_text(page: Column, tag: str) -> Column:
     """Text of the first element of a name, tags out, the common references decoded; empty if there is none."""
     inner = F.regexp_extract(page, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>", 1)
+    return _plain(inner)
+
+
+def _plain(inner: Column) -> Column:
+    """Text of a piece of markup: scripts and tags out, the common references decoded."""
     text = F.regexp_replace(F.regexp_replace(inner, "(?is)<(script|style)[^>]*>.*?</\\1>", ""), "<[^>]*>", " ")
     for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(code), F.lit(plain))
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
-def extract_documents(pages: DataFrame, page: str = "html", tags: tuple[str, ...] = ("article", "main")) -> DataFrame:
-    """All rows with ``titulo`` (first h1), ``fecha_meta`` and ``texto``: the first of some elements with enough text, else the body."""
+def division_text(page: Column, name: str) -> Column:
+    """Text of the first div of a class, up to the end tag that belongs to it; empty if there is none."""
+    start = f"(?is)^.*?<div\\s(?:[^>]*?\\s)?class\\s*=\\s*[\"'](?:[^\"']*\\s)?{name}(?:\\s[^\"']*)?[\"'][^>]*>"
+    rest = F.regexp_replace(page, start, "")
+    tag = "(?i)</?div(?=[\\s>])[^>]*>"
+    steps = F.arrays_zip(F.split(rest, tag, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(tag), F.lit(0)).alias("tag"))
+    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["n"] + F.length(x["gap"])
+        closes = F.startswith(x["tag"], F.lit("</"))
+        # -1: the end tag that belongs to the div was met
+        new = F.when(closes, acc["open"] - 1).otherwise(acc["open"] + 1)
+        size = F.when(new < 0, at).otherwise(at + F.length(F.coalesce(x["tag"], F.lit(""))))
+        return F.when(acc["open"] < 0, acc).otherwise(F.struct(F.when(x["tag"].isNull(), acc["open"]).otherwise(new).alias("open"), F.when(x["tag"].isNull(), at).otherwise(size).alias("n")))
+
+    inner = F.left(rest, F.aggregate(steps, zero, step, lambda a: a["n"]))
+    # most pages lack the name, and are spared the patterns
+    return F.when(page.contains(name) & page.rlike(start), _plain(inner)).otherwise(F.lit(""))
+
+
+def extract_documents(pages: DataFrame, page: str = "html", selectors: tuple[str, ...] = SELECTORS) -> DataFrame:
+    """All rows with ``titulo`` (first h1), ``fecha_meta`` and ``texto``: the first of some elements, by tag or by ``div.`` and class, with enough text, else the body."""
     html = F.col(page)
+    chosen = [division_text(html, s.removeprefix("div.")) if s.startswith("div.") else element_text(html, s) for s in selectors]
     meta = lambda name: F.regexp_extract(html, f"(?i)<meta\\s[^>]*?{name}[^>]*?content=[\"']([^\"']*)[\"']", 1)
-    long_enough = [F.when(F.length(element_text(html, t)) > BODY_LENGTH, element_text(html, t)) for t in tags]
+    long_enough = [F.when(F.length(text) > BODY_LENGTH, text) for text in chosen]
     return pages.withColumns(
         {
             "titulo": element_text(html, "h1"),
