@@ -120,6 +120,28 @@ def test_secrets(spark, docs, texts, empty):
     assert secrets.digest(empty).count() == 0
 
 
+def test_all_spans(docs, texts):
+    """Weak spans of the whole table by comparing every candidate with every part."""
+
+    def brute(t):
+        parts = []
+        for rank, kind in enumerate(secrets.KINDS):
+            pattern, group, least = secrets.STRONG[kind] if kind in secrets.STRONG else (secrets.WEAK[kind].replace("\\x20", " "), 0, 0)
+            parts += [(m.start(), rank, m.end()) for m in re.finditer(pattern, t, re.A) if len(m[group]) >= least]
+        cover = [p for p in parts if secrets.KINDS[p[1]] in ("assign", "named_secret")]
+        bare = secrets.KINDS.index("bare_secret")
+        parts = [p for p in parts if p[1] != bare or not any(c[0] <= p[0] and p[2] <= c[2] for c in cover)]
+        found = []
+        for p in parts:
+            kind = secrets.KINDS[p[1]]
+            near = {secrets.ROLE[secrets.KINDS[q[1]]] for q in parts if abs(q[0] - p[0]) <= secrets.SCOPE}
+            if kind in secrets.STRONG or near.issuperset(secrets.NEEDS[kind]):
+                found.append(p)
+        return (",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)),)
+
+    assert rows_of(secrets.digest(docs), "spans") == expected(texts, brute)
+
+
 def test_linked_secrets(spark):
     bare = "Ab1+" * 10
     near, far = "x " * 20, "x " * 300

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from turnlens.llm import licenses
+from turnlens.llm import licenses, rules
 
 _LOW = f"translate({{0}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _ALNUM = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -70,9 +70,27 @@ WITH d AS (SELECT doc_id, {_BLANK.format(_TEXT)} AS w FROM documents),
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
+_BITS = " + ".join(f"CASE WHEN {rule.fails} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(rules.RULES))
+_COUNT = "length(t) - length(regexp_replace(t, '[{0}]', '', 'g'))"
+RULES = f"""
+WITH d AS (SELECT doc_id, {_TEXT} AS t, {_BLANK.format(_TEXT)} AS w, {_ALNUM.format(_TEXT)} AS a,
+    list_filter(string_split({_TEXT}, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+  g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+  x AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+  p AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM x) GROUP BY 1),
+  m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      {_COUNT.format("#*$%&|<>")} AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      length(t) AS n_chars_all, len(l) AS n_lines, {_COUNT.format("A-Z")} AS n_upper, {_COUNT.format("a-z")} AS n_lower, {_COUNT.format("0-9")} AS n_digits,
+      {_COUNT.format("!")} AS n_bangs, len(a) AS n_alnum_words, len(list_distinct(a)) AS n_distinct_words,
+      coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS max_word_chars FROM d LEFT JOIN p USING (doc_id)),
+  b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, fail_bits & {rules.BASE.mask} <> 0 AS base_failed,
+  fail_bits & {rules.V1.mask} = 0 AS kept, fail_bits FROM b"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE,
     "op3_jaccard_join": JACCARD,
     "op4_license_scan": LICENSES,
+    "op6_quality_rules": RULES,
     "op9_substring_dedup": SUBSTRINGS,
 }
