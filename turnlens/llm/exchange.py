@@ -316,11 +316,11 @@ def repeated(
         kernel.release()
 
     packed = docs.mapInArrow(pack, _PACKED)
-    # a part or chunk after the other, so that each task has as many
-    by_chunk = F.pmod(F.xxhash64("chunk"), F.lit(n_tasks)).cast("int")
+    # one part after the other, and chunks by the task they come from, so that each task has about as many
+    by_chunk = ((F.shiftright("chunk", 32) + 31 * F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF))) % n_tasks).cast("int")
     dealt = packed.repartitionById(n_tasks, F.when(F.col("part") < 0, by_chunk).otherwise(F.col("part")))
     judged = dealt.sortWithinPartitions("part").mapInArrow(judge, _PACKED)
-    return judged.repartition(n_tasks, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(unpack, schema)
+    return judged.repartitionById(n_tasks, by_chunk).sortWithinPartitions("chunk", "part").mapInArrow(unpack, schema)
 
 
 def n_words(docs: DataFrame, text_col: str) -> int:
