@@ -184,6 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                     "items": pa.array(items, pa.list_(pa.string())),
                 }
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+            kernel.release()
 
         out = (checkpointed(out) if b else out).mapInArrow(run, schema)
     return out

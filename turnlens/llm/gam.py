@@ -182,6 +182,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [own.score(features(rules.measure(part))) for part in kernel.slices(batch.column(names.index(text_col)))]
             new = {"score": pa.array(np.concatenate(found))} if found else {}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+        kernel.release()
 
     return out.mapInArrow(run, out.schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

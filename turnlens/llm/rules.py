@@ -174,6 +174,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             found = [measure(part) for part in kernel.slices(batch.column(names.index(text_col)))]
             new = {m: pa.array(np.concatenate([f[m] for f in found])) for m in MEASURES} if found else {}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+        kernel.release()
 
     return out.mapInArrow(run, out.schema)
 

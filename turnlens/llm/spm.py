@@ -234,6 +234,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", decode: boo
                     lists = [values[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     new["decoded"] = pa.array(encoder.decode(lists), pa.string())
                 yield pa.RecordBatch.from_arrays([new.get(c, rows.column(i)) for i, c in enumerate(names)], names=names)
+        kernel.release()
 
     return out.mapInArrow(run, out.schema)
 

@@ -145,6 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
                     tokens[part.lo : part.hi] = [len(e.ids) for e in counter.tokenizer.encode_batch(held, add_special_tokens=False)]
             new = {"n_bytes": pa.array(size), "n_tokens": pa.array(tokens)}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+        kernel.release()
 
     return out.mapInArrow(run, out.schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
