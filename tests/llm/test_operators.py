@@ -496,10 +496,84 @@ def test_deep_pages(depth):
     for close in ("</div>" * depth, ""):
         page = f"<article><p>first</p>{'<div>' * depth}{inner}{close}<p>last</p></article><p>foot</p>"
         assert wrapper.extract(page) == "first text last"
-        path = next(k for k, v in wrapper.slots(page).items() if v)
+        path = next(k for k, v in wrapper.slots(wrapper.outline(page)).items() if v)
         assert len(path) <= wrapper.LONG_PATH
 
 
+def test_wrappers_decide_without_hints(spark):
+    """Pages of bare elements: only the alignment tells menu and terms from the article."""
+    page = "<body><div><div>Home</div><div>News</div></div><div><div>Title {0}</div><div>lead {0}</div><div>text {0}</div>{1}<div>last {0}</div></div><div>Terms apply</div></body>"
+    rows = [(i, f"http://h.com/{i}", page.format(i, f"<div>more {i}</div>" * (i % 4))) for i in range(20)]
+    found = {r["page_id"]: r["text"] for r in wrapper.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: " ".join([f"Title {i} lead {i} text {i}", *[f"more {i}"] * (i % 4), f"last {i}"]) for i in range(20)}
+    assert wrapper.extract(rows[0][2]) == "Home News Title 0 lead 0 text 0 last 0 Terms apply"
+
+
+def test_tree_matching():
+    """The size of a matching against the plain recursion over all pairs of siblings."""
+    import random
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        return (rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+
+    def flat(t):
+        out = []
+
+        def walk(x, above):
+            here = len(out)
+            out.append((above, x[0], 0))
+            for c in x[1]:
+                walk(c, here)
+
+        walk(t, -1)
+        return out
+
+    def brute(x, y):
+        if x[0] != y[0]:
+            return 0
+        m = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, c in enumerate(x[1]):
+            for j, d in enumerate(y[1]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute(c, d))
+        return 1 + m[-1][-1]
+
+    for _ in range(300):
+        x, y = tree(4), tree(4)
+        a, b = flat(x), flat(y)
+        pairs = wrapper.tree_match(a, b)
+        assert len(pairs) == len(set(pairs)) == brute(x, y)
+        assert all(a[i][1] == b[j][1] and ((i, j) == (0, 0) or (a[i][0], b[j][0]) in pairs) for i, j in pairs)
+    wide = [(-1, "a", 0), *[(0, "ab"[i % 2], 0) for i in range(2000)]]
+    assert wrapper.tree_match(wide, [wide[0], *wide[2:]]) == []  # too large: paths vote alone
+
+
+def test_malformed_pages():
+    """Nothing is tried twice, so odd pages take no longer than others."""
+    import time
+
+    big = 10**6
+    pages = {
+        "<a " + '"' * big: None,
+        "<p>x</p><a " + '"" ' * (big // 3) + "<p>y</p>": "x y",
+        '<a ">" ' * (big // 8): None,
+        "<a " * (big // 4): None,
+        "<div class=ad>" * 20_000 + "<main>hello</main>": "hello",
+        "<a " + "x" * big + ">t": "t",
+        "<!--" * (big // 4): "",
+        "</div " * (big // 6): "",
+        "<p title='it" * 100_000 + "<p>z</p>": "z",
+        "t<" * 1000: "t<" * 1000,
+        "<p title='a>b'>c</p>": "c",
+    }
+    for page, text in pages.items():
+        began = time.process_time()
+        assert text is None or wrapper.extract(page) == text
+        wrapper.outline(page)
+        assert time.process_time() - began < 15
+
+
 def test_pages_of_the_table(spark):
     import html
 
