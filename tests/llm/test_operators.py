@@ -338,6 +338,23 @@ def test_wrapped_licenses(spark):
     assert found[10 * names.index("bsd_grant") + 5] == ([""], 0.0)
 
 
+def test_license_texts(spark):
+    """Whole texts of several paragraphs, among many other words; a text of which a third is missing isn't one."""
+    rows = []
+    for i, name in enumerate(n for n, (_, t) in licenses.TEMPLATES.items() if len(licenses.words_of(t)) > licenses.LONG):
+        words = licenses.TEMPLATES[name][1].split()
+        parts = [" ".join(words[j : j + 40]) for j in range(0, len(words), 40)]
+        for j, n in enumerate((0, 300, 5000)):
+            rows.append((100 * i + j, "\n\n".join([*["other matter"] * n, *parts, *["and more"] * n])))
+        rows.append((100 * i + 9, "\n\n".join(parts[: len(parts) // 2])))
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r["doc_id"]: {t["template"]: t["containment"] for t in r["templates"] or []} for r in licenses.scan(frame).collect()}
+    names = [n for n, (_, t) in licenses.TEMPLATES.items() if len(licenses.words_of(t)) > licenses.LONG]
+    assert len(names) == 3
+    for i, name in enumerate(names):
+        assert all(found[100 * i + j].get(name) == 1.0 for j in range(3)) and name not in found[100 * i + 9]
+
+
 def test_token_counts(docs, texts, empty):
     from tokenizers import Tokenizer
 

@@ -2,8 +2,9 @@
 
 A block matches a template if it holds at least THRESHOLD of the template's
 distinct words. Blocks are the lines of a text and, since grants are wrapped,
-stretches of a paragraph (up to a blank line): a word and as many words on either
-side as a template that holds it needs. Template words are ordered by how many documents
+stretches of a paragraph (up to a blank line), or of the whole text for license
+texts, which have several paragraphs: a word and as many words on either side as
+a template that holds it needs. Template words are ordered by how many documents
 have them, rarest first; a matching block must hold one of the first
 ``n - ceil(THRESHOLD * n) + 1`` of a template's n words, so only documents with
 such a word are taken apart, and only blocks with such a word, enough words and
@@ -25,10 +26,12 @@ FEW = 20_000
 #: Percent of a template's words that a block must hold.
 THRESHOLD = 80
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Templates of more words than this are looked for across paragraphs.
+LONG = 80
 #: Phrases and their labels are fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates are the notices by which the licenses are usually named or granted.
+#: Templates are the notices by which the licenses are usually named or granted, and the texts of the short ones, fixed values all.
 TEMPLATES = {
     "mit_notice": ("mit", "Released under the MIT License."),
     "mit_grant": (
@@ -55,6 +58,42 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met",
     ),
+    "mit_text": (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        "AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "isc_text": (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS "
+        "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "bsd_text": (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER "
+        "OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     "cc_by_nc_notice": ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     "cc_by_notice": ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 }
@@ -128,21 +167,33 @@ def matches(docs: DataFrame, key: list[str], text_col: str = "text", templates:
     )
     able = first.where(F.least(F.col("size") - F.col("place"), F.col("left")) >= F.col("need"))
     exact = able.withColumn("n", F.size(F.array_intersect("held", "own"))).where(F.col("n") >= F.col("need"))
-    exact = exact.select(*key, "template", "label", "n", "size").unionByName(_wrapped(texts, key, table, prefix, max(length.values(), default=0)))
+    exact = exact.select(*key, "template", "label", "n", "size")
+    paragraphs = texts.select(*key, F.explode(F.split("_t", r"\n\s*\n", -1)).alias("_b")).where(F.contains("_b", F.lit("\n")))
+    for units, some in ((paragraphs, lambda n: n <= LONG), (texts.select(*key, F.col("_t").alias("_b")), lambda n: n > LONG)):
+        own = {name for name, n in length.items() if some(n)}
+        if own:
+            first = sorted({row[2] for row in index if row[0] in own})
+            exact = exact.unionByName(_stretches(units, key, table.where(F.col("template").isin(sorted(own))), first, max(length[n] for n in own)))
     return exact.groupBy(*key, "template", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
-def _wrapped(texts: DataFrame, key: list[str], table: DataFrame, prefix: list[str], longest: int) -> DataFrame:
-    """(key, template, label, n, size) of stretches of paragraphs of several lines around each prefix word."""
-    paragraphs = texts.select(*key, F.explode(F.split("_t", r"\n\s*\n", -1)).alias("_b")).where(F.contains("_b", F.lit("\n")))
-    words = paragraphs.select(*key, _words(F.col("_b")).alias("_w"))
-    # only the words around each hit are copied
-    before = lambda i, n: F.least(i, F.lit(n) - 1)
-    around = lambda w, i: F.struct(
-        w.alias("word"), before(i, longest).alias("at"), F.slice("_w", i - before(i, longest) + 1, before(i, longest) + longest).alias("near")
+def _stretches(units: DataFrame, key: list[str], table: DataFrame, prefix: list[str], longest: int) -> DataFrame:
+    """(key, template, label, n, size) of stretches of texts (``_b``) around each prefix word.
+
+    Texts are cut into pieces of ``longest`` words, each with its neighbours, so
+    that a row stays small however long a text is.
+    """
+    words = units.select(*key, _words(F.col("_b")).alias("_w")).where(F.size("_w") > 0)
+    piece = lambda k: F.struct(
+        (F.least(k, F.lit(1)) * longest).alias("lead"), F.slice("_w", F.greatest(k - 1, F.lit(0)) * longest + 1, (F.least(k, F.lit(1)) + 2) * longest).alias("s")
     )
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(prefix), around(w, i))), lambda x: x.isNotNull())
-    found = words.select(*key, F.explode(hits).alias("c")).select(*key, "c.*").join(F.broadcast(table), "word")
+    pieces = F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("_w") / longest).cast("int") - 1), piece))
+    pieces = words.select(*key, pieces.alias("c")).select(*key, "c.*").where(F.arrays_overlap(F.slice("s", F.col("lead") + 1, longest), _strings(prefix)))
+    before = lambda i: F.least(i, F.lit(longest) - 1)
+    around = lambda w, i: F.struct(w.alias("word"), before(i).alias("at"), F.slice("s", i - before(i) + 1, before(i) + longest).alias("near"))
+    mine = lambda w, i: (i >= F.col("lead")) & (i < F.col("lead") + longest) & w.isin(prefix)
+    hits = F.filter(F.transform("s", lambda w, i: F.when(mine(w, i), around(w, i))), lambda x: x.isNotNull())
+    found = pieces.select(*key, F.explode(hits).alias("c")).select(*key, "c.*").join(F.broadcast(table), "word")
     lead = F.least(F.col("at"), F.col("length") - 1)
     block = F.slice("near", F.col("at") - lead + 1, lead + F.col("length"))
     held = found.select(*key, "template", "label", "size", "need", F.size(F.array_intersect(block, F.col("own"))).alias("n"))
