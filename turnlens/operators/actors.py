@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnlens import vocab
 from turnlens.functions import names
 from turnlens.functions.text import strings, strip_accents
+from turnlens.session import checkpointed
 
 OFFICE_SHARE = 0.6
 TOP = 100
@@ -23,7 +24,7 @@ def variants(turns: DataFrame) -> DataFrame:
 def participants(turns: DataFrame, compat_squared: bool = False) -> DataFrame:
     """(nombre, cargo, categoria, intervenciones): one row an official, under the commonest spelling (ties: the first by name).
 
-    ``compat_squared`` counts each turn as often as its spelling has turns.
+    The most interventions come first, then by name. ``compat_squared`` counts each turn as often as its spelling has turns.
     """
     n = F.col("n") * F.col("n") if compat_squared else F.col("n")
     canon = F.min_by("variante", F.struct(-F.col("n"), "variante"))
@@ -31,7 +32,7 @@ def participants(turns: DataFrame, compat_squared: bool = False) -> DataFrame:
     c = F.col("canon")
     return merged.select(
         names.name_segment(c).alias("nombre"), names.role_segment(c).alias("cargo"), names.category(c).alias("categoria"), "intervenciones"
-    )
+    ).orderBy(F.desc("intervenciones"), "nombre")
 
 
 def question_count(turns: DataFrame) -> DataFrame:
@@ -55,22 +56,19 @@ def containment_edges(found: DataFrame) -> DataFrame:
     return pairs.where((F.size(short) >= 2) & (F.size(F.array_except(short, long)) == 0)).select("a", "b")
 
 
-def _keep(frame: DataFrame) -> DataFrame:
-    """A frame of spellings, small by its nature, computed once: checkpointed where a checkpoint folder is set, else cached."""
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
-
-
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(clave, grupo): the smallest key each group is connected with.
 
     Nodes are spellings of officials' names, so labels travel a few steps; each
-    step is checkpointed where a checkpoint folder is set, which cuts lineage.
+    step is checkpointed, which cuts lineage. Without edges there is nothing to do.
     """
-    both = _keep(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _keep(nodes.select("clave", F.col("clave").alias("grupo")))
+    both = checkpointed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = nodes.select("clave", F.col("clave").alias("grupo"))
+    if both.isEmpty():
+        return labels
     while True:
         near = both.join(labels.select(F.col("clave").alias("b"), F.col("grupo").alias("g")), "b").groupBy(F.col("a").alias("clave")).agg(F.min("g").alias("g"))
-        new = _keep(labels.join(near, "clave", "left").select("clave", F.col("grupo").alias("old"), F.least("grupo", "g").alias("grupo")))
+        new = checkpointed(labels.join(near, "clave", "left").select("clave", F.col("grupo").alias("old"), F.least("grupo", "g").alias("grupo")))
         labels = new.select("clave", "grupo")
         if new.where("old <> grupo").isEmpty():
             return labels
@@ -111,11 +109,11 @@ def resolve(turns: DataFrame) -> DataFrame:
     Spellings merge by key, groups by contained names, groups without a name
     with their office holder.
     """
-    found = _keep(variants(turns))
-    merged = _keep(groups(found))
+    found = checkpointed(variants(turns))
+    merged = checkpointed(groups(found))
     linked = connected(merged, containment_edges(merged))
-    first = _keep(found.join(linked, "clave").select("variante", "n", F.col("grupo").alias("clave")))
-    people = _keep(groups(first))
+    first = checkpointed(found.join(linked, "clave").select("variante", "n", F.col("grupo").alias("clave")))
+    people = checkpointed(groups(first))
     match = office_match(people).select("clave", "titular")
     final = first.join(match, "clave", "left").select("variante", "n", F.coalesce("titular", "clave").alias("clave"))
     canon = final.groupBy("clave").agg(F.min_by("variante", F.struct(-F.col("n"), "variante")).alias("nombre"))
@@ -123,10 +121,10 @@ def resolve(turns: DataFrame) -> DataFrame:
 
 
 def ranking(resolved: DataFrame, top: int = TOP) -> DataFrame:
-    """(nombre, apariciones, categoria): all governors and secretaries, and the ``top`` officials of all."""
+    """(nombre, apariciones, categoria): all governors and secretaries, and the ``top`` officials of all, the most frequent first, then by name."""
     total = resolved.groupBy("nombre").agg(F.sum("n").alias("apariciones")).withColumn("categoria", names.category(F.col("nombre")))
     always = total.where(F.col("categoria").isin("gobernadores", "secretarios"))
-    return always.union(total.orderBy(F.desc("apariciones"), "nombre").limit(top)).distinct()
+    return always.union(total.orderBy(F.desc("apariciones"), "nombre").limit(top)).distinct().orderBy(F.desc("apariciones"), "nombre")
 
 
 def actor_dates(turns: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from turnlens.functions import dates, lemmas, names
 from turnlens.functions import text as T
 from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
 from turnlens.plans import fixtures, oracle
+from turnlens.session import shared_folder
 from turnlens.sources import bindings as B
 from turnlens.sources import corpus, pages
 
@@ -386,9 +386,7 @@ def topic_share_month(spark, d):
 def incremental_ingest(spark, d):
     from turnlens.streaming.ingest import ingest
 
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlens-")
-    base = f"{folder.rstrip('/')}/ingest-{context.applicationId}-{fixtures.stamp()}"
+    base = f"{shared_folder(spark).rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{fixtures.stamp()}"
     for file, value in fixtures.TRANSCRIPTS:
         name = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in/{file}")
         out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name)
