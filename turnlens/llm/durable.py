@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where spark.checkpoint.dir is unset a temporary one is set, but only in a session without other machines."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="turnlens-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a frame in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+from turnlens.session import checkpointed as checkpointed
+from turnlens.session import shared_folder as shared_folder
 
 
 def small(frame: DataFrame, most: int) -> DataFrame:

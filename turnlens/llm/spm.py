@@ -28,7 +28,7 @@ from turnlens.llm import kernel
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONGEST = 64
 THREADS = 2
 
@@ -143,8 +143,6 @@ class Encoder(dict):
     def __init__(self, data: bytes):
         super().__init__()
         self.model = parse(data)
-        self.whole = build(self.model)
-        self.bare = build(self.model, normalise=False)
         marked = re.compile(f"[^{MARK}]{MARK}")
         self.by_word = (
             not self.model.charsmap
@@ -152,11 +150,13 @@ class Encoder(dict):
             and not self.model.trim_spaces
             and not any(marked.search(p) for p, _, kind in self.model.pieces if kind == NORMAL)
         )
+        # one of the two is enough
+        self.backend = build(self.model, normalise=not self.by_word)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.bytes_of = [_bytes(p, kind) for p, _, kind in self.model.pieces]
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        out = [np.array(e.ids, dtype="<i4").tobytes() for e in self.bare.encode_batch(words, add_special_tokens=False)]
+        out = [np.array(e.ids, dtype="<i4").tobytes() for e in self.backend.encode_batch(words, add_special_tokens=False)]
         if len(self) > REMEMBERED:
             self.clear()
         self.update((w, b) for w, b in zip(words, out, strict=True) if len(w) <= LONGEST)
@@ -168,7 +168,7 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_word:
-            return [np.array(e.ids, dtype="<i4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, dtype="<i4").tobytes() for e in self.backend.encode_batch(texts, add_special_tokens=False)]
         prefix = MARK if self.model.dummy_prefix else ""
         cut = [self.words(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*cut).difference(self.keys()) if cut else set()
