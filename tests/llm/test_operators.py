@@ -559,11 +559,11 @@ def test_tree_matching():
     for _ in range(300):
         x, y = tree(4), tree(4)
         a, b = flat(x), flat(y)
-        pairs = wrapper.tree_match(a, b)
+        pairs = wrapper.tree_match(wrapper.Shape(a), wrapper.Shape(b))
         assert len(pairs) == len(set(pairs)) == brute(x, y)
         assert all(a[i][1] == b[j][1] and ((i, j) == (0, 0) or (a[i][0], b[j][0]) in pairs) for i, j in pairs)
     wide = [(-1, "a", 0), *[(0, "ab"[i % 2], 0) for i in range(2000)]]
-    assert wrapper.tree_match(wide, [wide[0], *wide[2:]]) == []  # too large: paths vote alone
+    assert wrapper.tree_match(wrapper.Shape(wide), wrapper.Shape([wide[0], *wide[2:]])) == []  # too large: paths vote alone
 
 
 def test_malformed_pages():
