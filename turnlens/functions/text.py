@@ -58,17 +58,18 @@ def without(tokens: Column, stops: Iterable[str]) -> Column:
 def adjacent_bigrams(tokens: Column, stops: Iterable[str]) -> Column:
     """Pairs of neighbours neither of which is a stop word."""
     known = list(stops)
-    pair = F.transform(
-        tokens,
-        lambda t, i: F.when(~t.isin(known) & ~F.get(tokens, i + 1).isin(known), F.concat_ws(" ", t, F.get(tokens, i + 1))),
-    )
-    return F.filter(pair, lambda p: p.isNotNull() & (F.size(F.split(p, " ")) == 2))
+    pair = F.zip_with(tokens, _rest(tokens), lambda a, b: F.when(~a.isin(known) & ~b.isin(known), F.concat_ws(" ", a, b)))
+    return F.filter(pair, lambda p: p.isNotNull())
 
 
 def bigrams(tokens: Column) -> Column:
     """Pairs of neighbours."""
-    pair = F.transform(tokens, lambda t, i: F.concat(t, F.lit(" "), F.get(tokens, i + 1)))
-    return F.filter(pair, lambda p: p.isNotNull())
+    return F.filter(F.zip_with(tokens, _rest(tokens), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+
+
+def _rest(tokens: Column) -> Column:
+    """All but the first, to be zipped with all: asking for a place inside a lambda would find the tokens anew for each."""
+    return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
 
 
 def strip_accents(x: Column) -> Column:

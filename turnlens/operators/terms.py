@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.dates import period
-from turnlens.functions.text import adjacent_bigrams, bigrams, capitalise, letter_tokens, without
+from turnlens.functions.text import bigrams, capitalise, letter_tokens, without
 
 VOCABULARY = 5000
 MIN_DF = 2
@@ -76,11 +76,19 @@ def tfidf(texts: DataFrame, group: Column, part: Column, seq: Column, text: str,
     return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") > 0)).select("grp", "rank", "term", "score")
 
 
-def grams(text: Column, stops: Iterable[str]) -> Column:
-    """Unigrams that aren't stop words, and neighbours neither of which is one."""
+def grams(docs: DataFrame, key: str, text: str, stops: Iterable[str]) -> DataFrame:
+    """(key, term), one row for each: unigrams that aren't stop words, and neighbours neither of which is one.
+
+    Pairs of neighbours are set apart first, so that the tokens are found once
+    and the tests are compiled.
+    """
+    tokens = F.col("_t")
+    found = docs.select(key, F.explode(F.array(letter_tokens(F.col(text), 3))).alias("_t"))
+    pairs = found.select(key, F.inline(F.arrays_zip(tokens.alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"))))
     known = list(stops)
-    tokens = letter_tokens(text, 3)
-    return F.concat(without(tokens, known), adjacent_bigrams(tokens, known))
+    a, b = ~F.col("a").isin(known), ~F.col("b").isin(known)
+    terms = F.explode(F.array(F.when(a, F.col("a")), F.when(a & b, F.concat_ws(" ", "a", "b"))))
+    return pairs.select(key, terms.alias("term")).where("term IS NOT NULL")
 
 
 def distinctive(docs: DataFrame, target: Column, key: str, text: str, stops: Iterable[str]) -> DataFrame:
@@ -91,11 +99,11 @@ def distinctive(docs: DataFrame, target: Column, key: str, text: str, stops: Ite
     by term.
     """
     n_docs = docs.count()
-    gram = grams(F.col(text), stops)
-    own = docs.where(target).select(F.explode(gram).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    own = grams(docs.where(target), key, text, stops).groupBy("term").agg(F.count("*").alias("n"))
     two = F.col("term").contains(" ")
     own = own.where(F.col("n") >= F.when(two, MIN_BIGRAM).otherwise(MIN_UNIGRAM))
-    found = docs.select(F.explode(F.array_distinct(gram)).alias("term")).join(own.select("term"), "term")
+    # the terms of one document leave few rows to be counted
+    found = grams(docs, key, text, stops).join(own.select("term"), "term").distinct()
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     score = F.round(F.col("n") * F.log(F.lit(float(n_docs)) / F.col("df")) * F.when(two, BIGRAM_WEIGHT).otherwise(1.0), 6)
     scored = own.join(df, "term").withColumn("score", score)

@@ -77,7 +77,8 @@ def archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 3, F.concat(F.lit("/articulos/"), press, date(month), F.lit("?x=1")))
         .otherwise(F.concat(F.lit("/articulos/otra-cosa-"), date(month)))
     )
-    return turns(spark, sf_dir).select(F.col("conv_id").alias("page_id"), F.col("turno").alias("pos"), href.alias("href"))
+    # set apart by a generator, or every use of the link would compute it anew
+    return turns(spark, sf_dir).select(F.col("conv_id").alias("page_id"), F.col("turno").alias("pos"), F.explode(F.array(href)).alias("href"))
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
