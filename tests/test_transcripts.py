@@ -258,3 +258,45 @@ def test_actor_choice(spark):
     assert months == {"2024-01": 2, "2024-02": 0, "2025-01": 1}
     detail = timeline.detail(events, F.col("actor") == 7, "2024-01").collect()
     assert [(r["fecha"], r["resumen"]) for r in detail] == [("2024-01-02", "2 intervenciones")]
+
+
+SLUGS = [
+    "/articulos/version-estenografica-conferencia-de-prensa-del-5-de-mayo-de-2026?x=1",
+    "/articulos/version-estenografica-conferencia-de-prensa-del-5-de-foo-de-2026",
+    "/articulos/version-estenografica-toma-de-protesta-del-1-de-octubre-de-2024",
+    "/articulos/version-estenografica-conferencia-de-prensa-del-31-de-febrero-de-2025",
+    "/articulos/version-estenografica-conferencia-de-prensa-del-30-de-septiembre-de-2024",
+    "https://example.org/articulos/version-estenografica-conferencia-de-prensa-del-17-de-diciembre-de-2025",
+    "/articulos/otra-cosa-del-3-de-enero-de-2026",
+    "/sin-fecha",
+]
+STORED = [
+    ("2025-01-01.txt", "u1", "2025-01-01", "whole", False, "x" * 600),
+    ("2025-01-02.txt", "u2", "2025-01-02", "cut", True, "x" * 600),
+    ("2025-01-03.txt", "u3", "2025-01-03", "cut", True, "x" * 600),
+]
+FETCHED = [
+    ("b.txt", "v1", "2025-01-01", "still cut", True, "y" * 700),
+    ("b.txt", "v2", "2025-01-02", "now whole", False, "y" * 700),
+    ("b.txt", "v3", "2025-01-03", "too short", False, "y" * 10),
+    ("b.txt", "v4", "2025-01-04", "first", False, "y" * 700),
+    ("c.txt", "v5", "2025-01-04", "second", False, "y" * 700),
+]
+
+
+def test_archive_corners(spark):
+    links = spark.createDataFrame([(1, i, x) for i, x in enumerate(SLUGS)], "page_id int, pos int, href string")
+    found = pages.article_links(links, "https://example.org").collect()
+    assert [(str(r["fecha"]), r["url"].rsplit("-del-", 1)[0].rsplit("/", 1)[1]) for r in found] == [
+        ("2024-10-01", "version-estenografica-toma-de-protesta"),
+        ("2025-12-17", "version-estenografica-conferencia-de-prensa"),
+        ("2026-05-05", "version-estenografica-conferencia-de-prensa"),
+    ]
+    assert pages.latest_article(links, "https://example.org").first()["fecha"] == "2026-05-05"
+
+
+def test_upsert_corners(spark):
+    schema = "file string, url string, fecha string, titulo string, incompleto boolean, body string"
+    old, new = (spark.createDataFrame(x, schema) for x in (STORED, FETCHED))
+    found = {r["fecha"]: r["titulo"] for r in corpus.upsert(old, new).collect()}
+    assert found == {"2025-01-01": "whole", "2025-01-02": "now whole", "2025-01-03": "cut", "2025-01-04": "second"}

@@ -24,18 +24,6 @@ LABELS = [
     "SUBSECRETARIA DE PAZ, DRA ELENA DE LA FUENTE ÁVILA",
 ]
 
-SLUGS = [
-    "/articulos/version-estenografica-conferencia-de-prensa-del-5-de-mayo-de-2026?x=1",
-    "/articulos/version-estenografica-conferencia-de-prensa-del-5-de-foo-de-2026",
-    "/articulos/version-estenografica-toma-de-protesta-del-1-de-octubre-de-2024",
-    "/articulos/version-estenografica-conferencia-de-prensa-del-31-de-febrero-de-2025",
-    "/articulos/version-estenografica-conferencia-de-prensa-del-30-de-septiembre-de-2024",
-    "https://example.org/articulos/version-estenografica-conferencia-de-prensa-del-17-de-diciembre-de-2025",
-    "/articulos/otra-cosa-del-3-de-enero-de-2026",
-    "/sin-fecha",
-]
-
-
 def _file(date: str, lines: list[str], title: str = "Conferencia", url: str = "https://example.org/") -> tuple[str, str]:
     return f"{date}.txt", "\n".join([f"URL: {url}{date}", f"Fecha: {date}", f"Título: {title} {date}", "", *lines]) + "\n"
 
@@ -61,16 +49,3 @@ TRANSCRIPTS = [
     _file("2025-03-05", ["VOZ MUJER: Sí.", "Más.", "(CONTINÚA…)"]),
     _file("2025-04-01", ["sin turnos"]),
 ]
-
-STORED = [
-    ("2025-01-01.txt", "u1", "2025-01-01", "whole", False, "x" * 600),
-    ("2025-01-02.txt", "u2", "2025-01-02", "cut", True, "x" * 600),
-    ("2025-01-03.txt", "u3", "2025-01-03", "cut", True, "x" * 600),
-]
-FETCHED = [
-    ("b.txt", "v1", "2025-01-01", "still cut", True, "y" * 700),
-    ("b.txt", "v2", "2025-01-02", "now whole", False, "y" * 700),
-    ("b.txt", "v3", "2025-01-03", "too short", False, "y" * 10),
-    ("b.txt", "v4", "2025-01-04", "first", False, "y" * 700),
-    ("c.txt", "v5", "2025-01-04", "second", False, "y" * 700),
-]
