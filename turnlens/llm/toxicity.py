@@ -25,7 +25,7 @@ from turnlens.llm.durable import checkpointed
 #: At most this many labelled rows, those with the smallest hashes of their ids, are fitted on.
 SAMPLE = 20_000
 #: Buckets that the classifier keeps, and the fewest documents that hold one of them.
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 LEAST = 3
 BITS = 20
 LENGTHS = (2, 3, 4, 5, 6)
@@ -63,8 +63,8 @@ def _characters(part: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], owner[keep]
 
 
-def buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For stretches of texts: (first text, behind the last one, owner and bucket of each n-gram), in several goes for long ones.
+def buckets(column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """For stretches of texts, in several goes for long ones: for each n the ascending texts and the buckets of the n-grams.
 
     Texts without letters and digits, null and empty ones among them, have no n-grams.
     """
@@ -82,18 +82,20 @@ def buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
                     inside = np.flatnonzero(own[: len(own) - n + 1] == own[n - 1 :])
                     inside = inside[inside < BLOCK]
                     hashes.append((kernel.mix(rolled[inside] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64))
-                    owners.append(own[inside])
-            if hashes:
-                yield part.lo, part.hi, np.concatenate(owners), np.concatenate(hashes)
+                    owners.append(own[inside] + part.lo)
+            yield owners, hashes
 
 
 def counted(column: pa.Array, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, count) of a column of texts, by text and feature; ``place`` gives the feature of a bucket or -1."""
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, _, owner, bucket in buckets(column):
-        feature = place[bucket]
-        known = feature >= 0
-        key, n = np.unique((owner[known] + lo) * size + feature[known], return_counts=True)
+    for owners, hashes in buckets(column):
+        found = []
+        for owner, bucket in zip(owners, hashes, strict=True):
+            feature = place[bucket]
+            known = np.flatnonzero(feature >= 0)
+            found.append(owner[known] * size + feature[known])
+        key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
         keys.append(key)
         counts.append(n)
     keys, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -167,13 +169,21 @@ def _sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, samp
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, toxic, n): how many documents of a task hold a bucket."""
     held = np.zeros((2, 1 << BITS), np.int32)
+    # the last text that held a bucket, and where it last stood in that
+    last, at, before = np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
-        seen = [np.zeros(0, np.int64)]
-        for lo, _, owner, bucket in buckets(batch.column(1)):
-            seen.append(np.unique(((owner + lo) << BITS) + bucket))
-        one = np.unique(np.concatenate(seen))
-        np.add.at(held.reshape(-1), (toxic[one >> BITS].astype(np.int64) << BITS) + (one & ((1 << BITS) - 1)), 1)
+        for owners, hashes in buckets(batch.column(1)):
+            cuts = [np.searchsorted(o, np.arange(batch.num_rows + 1)) for o in owners]
+            for text in np.flatnonzero(np.any([c[1:] > c[:-1] for c in cuts], axis=0)) if cuts else []:
+                one = np.concatenate([h[c[text] : c[text + 1]] for h, c in zip(hashes, cuts, strict=True)])
+                one = one[last[one] != before + text]
+                place = np.arange(len(one))
+                at[one] = place
+                one = one[at[one] == place]
+                last[one] = before + text
+                held[toxic[text], one] += 1
+        before += batch.num_rows
     for label in (0, 1):
         at = np.flatnonzero(held[label])
         for lo in range(0, len(at), 1 << 16):
@@ -223,9 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     # bounded by sample and FEATURES; sorted, so that sums don't depend on the order of tasks
     table = sorted((r["toxic"], bytes(r["features"]), bytes(r["counts"])) for r in rows.mapInArrow(sparse, "toxic int, features binary, counts binary").collect())
-    feature, n = (np.frombuffer(b"".join(r[i] for r in table), "<i4") for i in (1, 2))
     bounds = np.r_[0, np.cumsum([len(r[1]) // 4 for r in table])].astype(np.int64)
     y = np.array([r[0] for r in table], np.float64)
+    feature, n = (np.frombuffer(b"".join(r[i] for r in table), "<i4") for i in (1, 2))
+    del table
     weights, intercept = logistic(bounds, feature.astype(np.int64), np.log1p(n) * ratio[feature] if len(feature) else np.zeros(0), y, len(ratio))
     return Model(place, weights * ratio, intercept)
 
