@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, toxicity, wrapper
+from turnlens.llm import align, anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, toxicity, wrapper
 from turnlens.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -60,6 +60,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.digest(_read(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(_read(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), token_file("piece_bpe_32k.model"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_substring_dedup,
         op10_html_extraction,
+        op11_tokenizer_alignment,
         op13_toxicity,
     )
 }
