@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlens.llm import align, anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, toxicity, wrapper
+from turnlens.llm import align, anchors, decontaminate, gam, jaccard, licenses, rules, secrets, spm, tokencount, toxicity, trie, wrapper
 from turnlens.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -64,6 +64,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(_read(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), token_file("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(_read(spark, sf_dir, "conversations"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_html_extraction,
         op11_tokenizer_alignment,
+        op12_prefix_trie,
         op13_toxicity,
     )
 }
