@@ -20,7 +20,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +81,11 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.nda
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's sorted rows: the state at the end of its first conversation and that of its last one."""
-    first, state = None, State()
+    first, state, task = None, State(), 0
     for batch in batches:
         if batch.num_rows:
             conv, keys, size = _arrays(batch)
-            before = state
+            before, task = state, _task(batch)
             state, (n, p1, p2, w) = _advance(state, conv, keys, size)
             start = before.conv if first is None and before.conv is not None else int(conv[0])
             end = int(np.searchsorted(conv != start, True)) if conv[-1] != start else len(conv)
@@ -96,7 +95,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [first or state, state]
         # hashes as signed numbers
         signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-        columns = {"task": [TaskContext.get().partitionId()] * 2, "last": [False, True], "one": [first is None] * 2}
+        columns = {"task": [task] * 2, "last": [False, True], "one": [first is None] * 2}
         columns |= {c: [signed(getattr(r, c)) for r in rows] for c in State._fields}
         yield pa.RecordBatch.from_pydict(columns, pa.schema([("task", pa.int32()), ("last", pa.bool_()), ("one", pa.bool_()), *[(c, pa.int64()) for c in State._fields]]))
 
@@ -116,17 +115,25 @@ def running(rows: DataFrame) -> DataFrame:
     new = ("n", "p1", "p2", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = shared.value.get(TaskContext.get().partitionId(), State())
+        state = None
         for batch in batches:
             if batch.num_rows:
+                state = state or shared.value[_task(batch)]
                 state, out = _advance(state, *_arrays(batch))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x.view(np.int64)) for x in out]], names=[*batch.schema.names, *new])
+                columns = [(c, batch.column(i)) for i, c in enumerate(batch.schema.names) if c != "task"] + [(c, pa.array(x.view(np.int64))) for c, x in zip(new, out, strict=True)]
+                yield pa.RecordBatch.from_arrays([x for _, x in columns], names=[c for c, _ in columns])
 
-    return rows.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} bigint" for c in new]))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "task"]
+    return rows.mapInArrow(run, ", ".join([*kept, *[f"{c} bigint" for c in new]]))
 
 
 def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
-    return checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    """A checkpoint sorted by range, with the number of the task of each row: later plans may number tasks otherwise."""
+    return checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("task", F.spark_partition_id()))
+
+
+def _task(batch: pa.RecordBatch) -> int:
+    return batch.column(batch.schema.names.index("task"))[0].as_py()
 
 
 def turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -157,16 +164,18 @@ def _blocks(seq: DataFrame) -> DataFrame:
     return out.where(F.size("path") > 2).distinct()
 
 
-def _partings(batches: Iterator[pa.RecordBatch], before: tuple[int, list[int]] | None) -> Iterator[pa.RecordBatch]:
-    """(p1, p2) of the nodes up to which neighbours in the order of blocks agree."""
+def _partings(batches: Iterator[pa.RecordBatch], ends: list[tuple[int, int, list[int]]]) -> Iterator[pa.RecordBatch]:
+    """(p1, p2) of the nodes up to which neighbours in the order of blocks agree; ``ends`` has the last block of each task."""
     width = 2 * BLOCK + 2
+    before = None
     for batch in batches:
-        level, paths = batch.column(0).to_pylist(), batch.column(1)
-        lists = paths.to_pylist()
-        if before:
-            level, lists = [before[0], *level], [before[1], *lists]
+        level, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         if not lists:
             continue
+        if before is None:
+            before = next((e[1:] for e in reversed(ends) if e[0] < _task(batch)), None)
+        if before:
+            level, lists = [before[0], *level], [before[1], *lists]
         size = np.array([len(x) for x in lists])
         table = np.zeros((len(lists), width), np.int64)
         table[np.arange(width) < size[:, None]] = np.concatenate([np.asarray(x, np.int64) for x in lists])
@@ -189,15 +198,14 @@ def branches(seq: DataFrame) -> DataFrame:
             if batch.num_rows:
                 kept = batch.slice(batch.num_rows - 1)
         if kept is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *kept.columns], names=["task", "j", "path"])
+            yield kept
 
     # one block of each task
-    ends = sorted((r["task"], r["j"], r["path"]) for r in blocks.mapInArrow(last, "task int, j bigint, path array<bigint>").collect())
+    ends = sorted((r["task"], r["j"], r["path"]) for r in blocks.mapInArrow(last, blocks.schema).collect())
     shared = blocks.sparkSession.sparkContext.broadcast(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earlier = [e for e in shared.value if e[0] < TaskContext.get().partitionId()]
-        return _partings(batches, earlier[-1][1:] if earlier else None)
+        return _partings(batches, shared.value)
 
     return blocks.mapInArrow(run, "p1 bigint, p2 bigint").where("p1 <> 0 OR p2 <> 0").distinct()
 
