@@ -1,17 +1,8 @@
-"""A lemmatiser by lookup: regular conjugations are built by rule, irregular forms are listed.
-
-It is a stand-in for a language model behind the ``lemma`` hook of the term
-frequencies: verbs and plurals of the forms it knows go to their lemmas, other
-words stay as they are.
-"""
+"""Verb forms: regular conjugations are built by rule, irregular forms are listed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from collections.abc import Iterable
 
 # --- Fixed values -----------------------------------------------------------
 
@@ -44,27 +35,3 @@ def table(regular: Iterable[str] = REGULAR, irregular: dict[str, str] = IRREGULA
     built = {verb[:-2] + end: verb for verb in regular for end in ENDINGS[verb[-2:]].split()}
     listed = {form: verb for verb, forms in irregular.items() for form in forms.split()}
     return built | {verb: verb for verb in [*regular, *irregular]} | listed
-
-
-def lemma_of(word: str, forms: dict[str, str]) -> str:
-    """The lemma of a known form; else a regular plural's singular; else the word."""
-    if word in forms:
-        return forms[word]
-    if len(word) > 5 and word.endswith("iones"):
-        return word[:-5] + "ión"
-    if len(word) > 5 and word.endswith("es") and word[-3] in "dlrn":
-        return word[:-2]
-    if len(word) > 4 and word[-1] == "s" and word[-2] in "aeo":
-        return word[:-1]
-    return word
-
-
-def lemmatiser(forms: dict[str, str] | None = None) -> Callable[[Column], Column]:
-    """A function of a column of tokens (arrays) that gives their lemmas; a null stays null."""
-    known = table() if forms is None else forms
-
-    @pandas_udf("array<string>")
-    def lemmas(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: None if ts is None else [lemma_of(t, known) for t in ts])
-
-    return lemmas

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlens.functions import morphology
 from turnlens.functions.dates import period
 from turnlens.functions.text import bigrams, capitalise, letter_tokens, without
 
@@ -15,17 +16,41 @@ MIN_DF = 2
 MIN_UNIGRAM, MIN_BIGRAM, BIGRAM_WEIGHT, TERMS = 4, 2, 1.4, 6
 
 
-def top_terms(texts: DataFrame, group: Column, text: str, stops: Iterable[str], k: int = 50, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(grp, rank, term, n): the k commonest terms of each group, ties by term.
+def top_terms(texts: DataFrame, group: Column, text: str, stops: Iterable[str], k: int = 50) -> DataFrame:
+    """(grp, rank, term, n): the k commonest words of three letters or more of each group, ties by term.
 
-    ``lemma`` maps a column of tokens (arrays) to their lemmas, of which stop words
-    and those of less than three letters go; without one each token is its own.
-    Stop words go after the tokens are set apart, where the test is compiled. The counts are partial before the shuffle, and the rank
-    keeps k rows a group before sorting.
+    Stop words go after the tokens are set apart, where the test is compiled.
     """
-    tokens = letter_tokens(F.col(text), 3)
-    terms = texts.select(group.alias("grp"), F.explode(lemma(without(tokens, stops)) if lemma else tokens).alias("term"))
-    terms = terms.where(~F.col("term").isin(list(stops)) & (F.length("term") > 2))
+    terms = texts.select(group.alias("grp"), F.explode(letter_tokens(F.col(text), 3)).alias("term"))
+    return _top(terms.where(~F.col("term").isin(list(stops))), k)
+
+
+def tagged_words(texts: DataFrame, keys: list[Column | str], text: str, tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, sentence, pos, word, lemma, tag) of each word of each text.
+
+    ``tagger`` gives (lemma, tag) of the words of a sentence; the default one is
+    that of :mod:`turnlens.functions.morphology`. Nothing is shuffled.
+    """
+    found = texts.select(*keys, F.posexplode(morphology.sentences(F.col(text))).alias("sentence", "_w"))
+    tags = found.withColumn("_t", (tagger or morphology.tagger())(F.col("_w")))
+    names = [c for c in found.columns if c not in ("sentence", "_w")]
+    long = tags.select(*names, "sentence", F.posexplode(F.arrays_zip(F.col("_w").alias("word"), F.col("_t").alias("t"))).alias("pos", "x"))
+    return long.select(*names, "sentence", "pos", "x.word", "x.t.lemma", "x.t.tag")
+
+
+def top_lemmas(texts: DataFrame, group: Column, text: str, stops: Iterable[str], k: int = 50, tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(grp, rank, term, n): the k commonest lemmas of nouns, verbs, adjectives and adverbs of each group, ties by term.
+
+    Words and lemmas that are stop words, and lemmas of less than three letters, go.
+    """
+    known = list(stops)
+    words = tagged_words(texts, [group.alias("grp")], text, tagger)
+    content = words.where(F.col("tag").isin(*morphology.CONTENT) & ~F.lower("word").isin(known) & ~F.col("lemma").isin(known) & (F.length("lemma") > 2))
+    return _top(content.select("grp", F.col("lemma").alias("term")), k)
+
+
+def _top(terms: DataFrame, k: int) -> DataFrame:
+    """The k commonest of (grp, term) rows; counts are partial before the shuffle, and the rank keeps k rows a group before sorting."""
     counts = terms.groupBy("grp", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "term"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "rank", "term", "n")

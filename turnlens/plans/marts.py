@@ -54,14 +54,14 @@ def digest(docs: DataFrame, turns: DataFrame, compat_squared: bool = False) -> D
     return last.select("fecha", "titulo", "url", "incompleto").join(asked).join(temas).join(who)
 
 
-def marts(docs: DataFrame, turns: DataFrame, lemma: Callable | None = None) -> dict[str, DataFrame]:
-    """Name to table. ``lemma`` is a plug-in for term frequencies; without it tokens stand for themselves."""
+def marts(docs: DataFrame, turns: DataFrame, tagger: Callable | None = None) -> dict[str, DataFrame]:
+    """Name to table. ``tagger`` is a plug-in that finds lemmas and parts of speech in place of the one that is there."""
     pres = kwic.corpus(turns)
     stops = vocab.lexical_stops()
     resolved = actors.resolve(turns)
     out = {
         "corpus_stats": stats.by_date(turns),
-        "word_freq_monthly": terms.top_terms(pres, period(F.col("fecha")), "texto", stops, lemma=lemma),
+        "word_freq_monthly": terms.top_lemmas(pres, period(F.col("fecha")), "texto", stops, tagger=tagger),
         "tfidf_monthly": terms.tfidf(pres, period(F.col("fecha")), F.col("fecha"), F.struct("file", "turno"), "texto", stops),
         "speakers": actors.ranking(resolved),
         "actor_fechas": actors.actor_dates(turns, resolved),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnlens import vocab
-from turnlens.functions import lemmas
+from turnlens.functions import morphology as M
 from turnlens.plans import fixtures
 from turnlens.sources.bindings import LABELS
 
@@ -74,6 +74,45 @@ def _topk(source: str, group: str, text: str, stops) -> str:
   SELECT * FROM r WHERE rank <= 50"""
 
 
+def _tagged() -> str:
+    """CTEs ending in tagged(conv_id, turno, fecha, tipo, sentence, pos, word, lemma, tag): the path of least cost, place after place, and back."""
+    k = {tag: i for i, tag in enumerate(M.TAGS)}
+    lex = [(w, k[t], lemma, cost) for w, found in M.lexicon().items() for t, (lemma, cost) in found.items()]
+    end = [(e, k[t], lemma, cost) for e, found in M.endings().items() for t, (lemma, cost) in found.items()]
+    after = [(a, b, c) for a, row in enumerate(M.AFTER) for b, c in enumerate(row)]
+    split = M.SENTENCE_ENDS.replace("\n", "\\n")
+    return f"""WITH RECURSIVE {TURNS},
+  lx AS (SELECT * FROM {_values(lex, "w, t, lemma, cost")}), en AS (SELECT * FROM {_values(end, "e, t, lemma, cost")}),
+  af AS (SELECT * FROM {_values(after, "t, u, cost")}), st AS (SELECT * FROM {_values(list(enumerate(M.START)), "t, cost")}), fi AS (SELECT * FROM {_values(list(enumerate(M.END)), "t, cost")}),
+  s0 AS (SELECT conv_id, turno, fecha, tipo, list_filter(list_transform(regexp_split_to_array(texto, '{split}'), lambda x: regexp_extract_all(x, '{M.WORD}')), lambda x: len(x) > 0) AS p FROM turns),
+  s1 AS (SELECT conv_id, turno, fecha, tipo, unnest(p) AS w, generate_subscripts(p, 1) - 1 AS sentence FROM s0),
+  s2 AS (SELECT row_number() OVER () AS id, * FROM s1),
+  wd AS (SELECT id, conv_id, turno, fecha, tipo, sentence, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM s2),
+  vo AS (SELECT DISTINCT lower(word) AS w FROM wd),
+  ru AS (SELECT w, t, left(w, length(w) - length(e)) || en.lemma AS lemma, cost, row_number() OVER (PARTITION BY w, t ORDER BY length(e) DESC) AS r
+    FROM vo JOIN en ON ends_with(w, e) AND length(e) <= greatest(length(w) - {M.LEAST_STEM}, 0) WHERE w NOT IN (SELECT w FROM lx)),
+  an AS (SELECT w, t, lemma, cost FROM ru WHERE r = 1 UNION ALL SELECT lx.* FROM lx JOIN vo USING (w)),
+  ca AS (SELECT *, pos > 0 AND regexp_matches(word, '^[A-ZÁÉÍÓÚÜÑ]') AND lower(word) NOT IN (SELECT w FROM lx) AS name FROM wd),
+  em AS (SELECT id, pos, t, an.cost + CASE WHEN name THEN {M.CAPITAL} ELSE 0 END AS cost FROM ca JOIN an ON an.w = lower(word) WHERE NOT (name AND t = {k["PROPN"]})
+    UNION ALL SELECT id, pos, {k["PROPN"]}, 0 FROM ca WHERE name),
+  vi AS (SELECT id, pos, em.t, CAST(em.cost + st.cost AS BIGINT) AS score, CAST(NULL AS BIGINT) AS prev FROM em JOIN st USING (t) WHERE pos = 0
+    UNION ALL SELECT em.id, em.pos, em.t, CAST(min(vi.score + af.cost) + any_value(em.cost) AS BIGINT), CAST(min((vi.score + af.cost) * 16 + vi.t) % 16 AS BIGINT)
+      FROM vi JOIN em ON em.id = vi.id AND em.pos = vi.pos + 1 JOIN af ON af.t = vi.t AND af.u = em.t GROUP BY em.id, em.pos, em.t),
+  la AS (SELECT vi.id, vi.pos, arg_min(vi.t, (vi.score + fi.cost) * 16 + vi.t) AS t FROM vi JOIN fi USING (t) JOIN (SELECT DISTINCT id, n FROM wd) USING (id) WHERE vi.pos = n - 1 GROUP BY ALL),
+  ba AS (SELECT la.id, la.pos, la.t, prev FROM la JOIN vi USING (id, pos, t)
+    UNION ALL SELECT vi.id, vi.pos, vi.t, vi.prev FROM ba JOIN vi ON vi.id = ba.id AND vi.pos = ba.pos - 1 AND vi.t = ba.prev),
+  tagged AS (SELECT conv_id, turno, fecha, tipo, CAST(sentence AS INTEGER) AS sentence, CAST(pos AS INTEGER) AS pos, word, coalesce(an.lemma, lower(word)) AS lemma,
+      {_list(M.TAGS)}[ba.t + 1] AS tag FROM wd JOIN ba USING (id, pos) LEFT JOIN an ON an.w = lower(word) AND an.t = ba.t)"""
+
+
+def _top_lemmas(group: str, stops, tipo: str | None = None) -> str:
+    own = f"AND tipo = {_str(tipo)}" if tipo else ""
+    return f"""c AS (SELECT {group} AS grp, lemma AS term, count(*) AS n FROM tagged WHERE tag IN ({_list(M.CONTENT)[1:-1]}) AND length(lemma) > 2 {own}
+    AND NOT list_contains({_list(stops)}, lemma) AND NOT list_contains({_list(stops)}, lower(word)) GROUP BY ALL),
+  r AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, term) AS INTEGER) AS rank, term, n FROM c)
+  SELECT * FROM r WHERE rank <= 50"""
+
+
 def _digest(stops) -> str:
     keep = f"NOT list_contains({_list(stops)}, {{0}})"
     return f"""WITH es AS (SELECT doc_id, {_tokens("text")} AS t FROM documents),
@@ -237,14 +276,9 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
         "framing_lexicons": _framing(vocab.FRAMES) + " SELECT * FROM fr",
         "framing_pivot": _framing(frames) + " " + _pivot("fr", "scope, mes", "frame", "por_mil", list(frames)),
         "term_freq_topk": f"WITH {TURNS}, pr AS (SELECT * FROM turns WHERE tipo = 'presidenta'), " + _topk("pr", "substr(fecha, 1, 7)", "texto", lexical),
-        "term_freq_lemmas": f"""WITH {TURNS}, fo AS (SELECT * FROM {_values(sorted(lemmas.table().items()), "form, lemma")}),
-            tk AS (SELECT tipo AS grp, unnest({_tokens("texto")}) AS w FROM turns), kept AS (SELECT * FROM tk WHERE NOT list_contains({_list(lexical)}, w)),
-            lm AS (SELECT grp, CASE WHEN lemma IS NOT NULL THEN lemma WHEN length(w) > 5 AND ends_with(w, 'iones') THEN left(w, length(w) - 5) || 'ión'
-              WHEN length(w) > 5 AND regexp_matches(w, '[dlrn]es$') THEN left(w, length(w) - 2) WHEN length(w) > 4 AND regexp_matches(w, '[aeo]s$') THEN left(w, length(w) - 1)
-              ELSE w END AS term FROM kept LEFT JOIN fo ON form = w),
-            c AS (SELECT grp, term, count(*) AS n FROM lm WHERE length(term) > 2 AND NOT list_contains({_list(lexical)}, term) GROUP BY ALL),
-            r AS (SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, term) AS INTEGER) AS rank, term, n FROM c)
-            SELECT * FROM r WHERE rank <= 50""",
+        "tagged_words": f"{_tagged()} SELECT conv_id, turno, sentence, pos, word, lemma, tag FROM tagged",
+        "term_freq_lemmas": f"{_tagged()}, {_top_lemmas('tipo', lexical)}",
+        "word_freq_monthly": f"{_tagged()}, {_top_lemmas('substr(fecha, 1, 7)', lexical, 'presidenta')}",
         "term_freq_by_source": "WITH " + _topk("documents", "source", "text", lexical),
         "tfidf_topk": f"""WITH {TURNS}, doc AS (SELECT substr(fecha, 1, 7) AS grp, list_filter({_tokens("string_agg(texto, ' ' ORDER BY fecha, conv_id, turno)")},
               lambda t: NOT list_contains({_list(lexical)}, t)) AS t FROM turns WHERE tipo = 'presidenta' GROUP BY 1),

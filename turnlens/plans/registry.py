@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens import vocab
-from turnlens.functions import dates, lemmas, names
+from turnlens.functions import dates, names
 from turnlens.functions import text as T
 from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
 from turnlens.plans import fixtures, oracle
@@ -83,10 +83,19 @@ def term_freq_topk(spark, d):
     return terms.top_terms(B.turns(spark, d).where("tipo = 'presidenta'"), dates.period(F.col("fecha")), "texto", vocab.lexical_stops())
 
 
+@query
+def tagged_words(spark, d):
+    return terms.tagged_words(B.turns(spark, d), ["conv_id", "turno"], "texto")
+
+
 @query
 def term_freq_lemmas(spark, d):
-    turns = B.turns(spark, d)
-    return terms.top_terms(turns, F.col("tipo"), "texto", vocab.lexical_stops(), lemma=lemmas.lemmatiser())
+    return terms.top_lemmas(B.turns(spark, d), F.col("tipo"), "texto", vocab.lexical_stops())
+
+
+@query
+def word_freq_monthly(spark, d):
+    return terms.top_lemmas(B.turns(spark, d).where("tipo = 'presidenta'"), dates.period(F.col("fecha")), "texto", vocab.lexical_stops())
 
 
 @query
