@@ -33,7 +33,7 @@ from turnlens.llm.durable import shared_folder
 from turnlens.llm.exchange import pack_numbers, unpack_numbers
 
 #: Stretches a worker remembers; beyond it forgets them all and goes on. Longer ones than LONGEST are not remembered.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 LONGEST = 64
 #: Bytes of texts whose links are packed together; one longer text is a chunk of its own.
 CHUNK = 4 << 20
@@ -78,13 +78,14 @@ def _ints(values) -> bytes:
 
 
 class Aligner:
-    """Aligns texts stretch by stretch and remembers what it found for each distinct one."""
+    """Aligns texts stretch by stretch and remembers what it found for each distinct one: the alignment itself if ``whole``, else its digest and links."""
 
-    def __init__(self, a_model: str, b_model: bytes):
+    def __init__(self, a_model: str, b_model: bytes, whole: bool = True):
         import sentencepiece
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.whole = whole
         self.a = Tokenizer.from_str(a_model)
         self.a.no_truncation()
         self.a.no_padding()
@@ -142,7 +143,7 @@ class Aligner:
         at = len(self.names)
         self.place.update((name, at + i) for i, name in enumerate(names))
         self.names += names
-        a = [e.ids for e in self.a.encode_batch([" " + x for x in names], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in names], add_special_tokens=False)]
         b = self.b.encode(names, num_threads=1)
         raw = [(" " + x).encode("utf-8") for x in names]
         good = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
@@ -159,6 +160,9 @@ class Aligner:
         while len(self.stats) < len(self.names):
             self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
         self.stats[at : len(self.names)] = np.stack([n_a, n_b, groups, n_links, np.array(good, np.int64)], 1)
+        if self.whole:
+            self._keep_parts(names, own, ids_a, ids_b, n_a, n_b, groups)
+            return
         group, key, times = linked(own, ids_a, ids_b, self.n_a, self.n_b)
         bounds = np.searchsorted(of_group[group], np.arange(len(names) + 1)) * 16
         blob = np.stack([key, times], 1).astype("<i8").tobytes()
@@ -169,6 +173,8 @@ class Aligner:
         printed[np.arange(len(ids_b)) + np.cumsum(own.size_a)[own.group_b]] = np.where(last_b, self.printed[";"][ids_b], self.printed[","][ids_b])
         ends = np.r_[0, np.cumsum(n_a + n_b)]
         self.printed_groups += ["".join(printed[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _keep_parts(self, names: list[str], own: Owners, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, groups: np.ndarray) -> None:
         ends_a, ends_b, ends_g = (np.r_[0, np.cumsum(x)] for x in (n_a, n_b, groups))
         ends_o = np.searchsorted(np.repeat(np.arange(len(names)), n_a)[own.overlap_a], np.arange(len(names) + 1))
         for i in range(len(names)):
@@ -195,9 +201,9 @@ class Aligner:
 
 
 @lru_cache(maxsize=1)
-def _aligner(a_model: str, b_model: bytes) -> Aligner:
+def _aligner(a_model: str, b_model: bytes, whole: bool) -> Aligner:
     """A worker's aligner, kept from task to task."""
-    return Aligner(a_model, b_model)
+    return Aligner(a_model, b_model, whole)
 
 
 def _models(docs: DataFrame, a_path: str, b_path: str):
@@ -222,7 +228,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") ->
     out = docs.drop(*_PARTS).withColumns({c: F.array().cast("array<int>") for c in _PARTS})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*shared.value)
+        aligner = _aligner(*shared.value, True)
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index(text_col))
@@ -261,7 +267,7 @@ def _packed(docs: DataFrame, a_path: str, b_path: str, text_col: str, id_col: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*shared.value)
+        aligner = _aligner(*shared.value, False)
         room = aligner.n_a * aligner.n_b
         first = TaskContext.get().partitionId() << 33
         made = 0
@@ -321,7 +327,7 @@ def _pairs(packed: DataFrame) -> DataFrame:
 
 
 def _sizes(a_path: str, b_path: str) -> tuple[int, int]:
-    aligner = _aligner(Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes())
+    aligner = _aligner(Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes(), False)
     return aligner.n_a, aligner.n_b
 
 
