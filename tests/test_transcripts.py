@@ -74,7 +74,13 @@ def test_sample_marts(sample, tmp_path):
     assert digest["participantes"] == [{"nombre": "L. MARES", "cargo": "SECRETARIA DE OBRAS", "categoria": "secretarios", "intervenciones": 1}]
     assert {r["mes"]: r["pct"] for r in rows("voice_share") if r["tipo"] == "presidenta"} == {"2025-03": 38.3, "2025-04": 45.5}
     assert len(rows("speakers")) == 3 and len(rows("turns")) == 14 and len(rows("stopwords")) == 313
-    assert [(r["fecha"], r["turno"]) for r in tables["corpus_presidenta"].collect()] == [("2025-03-04", 0), ("2025-03-04", 6), ("2025-03-04", 8), ("2025-04-02", 0), ("2025-04-02", 4)]
+    # newest first, within a date in the order of turns, and the order is a column
+    assert [(r["orden"], r["fecha"], r["turno"]) for r in tables["corpus_presidenta"].collect()] == [
+        (0, "2025-04-02", 0), (1, "2025-04-02", 4), (2, "2025-03-04", 0), (3, "2025-03-04", 6), (4, "2025-03-04", 8),
+    ]
+    chosen = {r["nombre"] for r in tables["speakers"].collect()}
+    spoken = [(r["nombre"], r["fecha"]) for r in tables["actor_fechas"].collect()]
+    assert {n for n, _ in spoken} == chosen and spoken == sorted(spoken)
     assert tables["tfidf_monthly"].count() == 0  # no term of both months
     sizes = {r["tabla"]: r["bytes"] for r in marts.sizes(docs.sparkSession, str(tmp_path)).collect()}
     assert set(sizes) == set(tables) and sizes["corpus_stats"] > 0 and sizes["tfidf_monthly"] == 0
@@ -165,23 +171,49 @@ def test_topics_invariants(spark):
     assert topics.fit(few, []) is None
 
 
-def test_ingest_twice(spark, tmp_path):
+def test_ingest_keeps_state_by_date(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
 
-    def put(day, text):
-        (source / f"{day}.txt").write_text(f"URL: u\nFecha: {day}\nTítulo: t\n\n{text}\n", encoding="utf-8")
+    def put(name, day, text):
+        (source / f"{name}.txt").write_text(f"URL: u\nFecha: {day}\nTítulo: {name}\n\n{text}\n", encoding="utf-8")
 
-    put("2025-01-01", "a" * 600 + " (CONTINÚA…)")
-    put("2025-01-02", "b" * 20)
     seen = []
-    run = lambda: ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck"), on_batch=lambda b: seen.append(b.count()))
-    run()
-    put("2025-01-03", "c" * 600)
-    run()
-    run()
-    assert sorted(str(r["fecha"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["2025-01-01", "2025-01-03"]
-    assert seen == [1, 1]
+    run = lambda: ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck"), on_batch=lambda b: seen.append(sorted(r["titulo"] for r in b.collect())))
+    stored = lambda: {str(r["fecha"]): r["titulo"] for r in spark.read.parquet(str(tmp_path / "out/documentos")).collect()}
+    put("a", "2025-01-01", "a" * 600 + " (CONTINÚA…)")
+    put("b", "2025-01-02", "b" * 20)
+    put("c", "2025-01-03", "c" * 600)
+    put("d", "", "d" * 600)
+    assert run() == {"ok": 2, "fallo": 1, "presente": 0}
+    # a whole date again; a truncated one still truncated, then whole, then again; a failed one now long enough
+    put("e", "2025-01-03", "another " * 100)
+    put("f", "2025-01-01", "f" * 600 + " (CONTINÚA…)")
+    put("g", "2025-01-01", "g" * 600)
+    put("h", "2025-01-01", "h" * 600)
+    put("i", "2025-01-02", "i" * 600)
+    assert run() == {"ok": 2, "fallo": 1, "presente": 2}
+    assert stored() == {"2025-01-01": "g", "2025-01-02": "i", "2025-01-03": "c"}
+    assert run() == {"ok": 0, "fallo": 0, "presente": 0} and seen == [["a", "c"], ["g", "i"]]
+    log = marts.outcome(spark.read.parquet(str(tmp_path / "out/registro")))
+    assert {r["status"]: r["n"] for r in log.collect()} == {"ok": 4, "fallo": 2, "presente": 2}
+    # a stream that starts anew over what is stored
+    again = ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck2"))
+    assert again == {"ok": 0, "fallo": 0, "presente": 8} and stored() == {"2025-01-01": "g", "2025-01-02": "i", "2025-01-03": "c"}
+
+
+def test_a_failed_batch_is_taken_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("URL: u\nFecha: 2025-01-01\nTítulo: t\n\n" + "a" * 600, encoding="utf-8")
+    run = lambda f: ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), on_batch=f)
+
+    def refuse(batch):
+        raise RuntimeError("no notice was sent")
+
+    with pytest.raises(Exception, match="no notice"):
+        run(refuse)
+    sent = []
+    assert run(lambda b: sent.append(b.count()))["ok"] == 1 and sent == [1]
 
 
 def test_chain_of_names_is_one_group(spark):
@@ -290,3 +322,22 @@ def test_upsert_corners(spark):
     old, new = (spark.createDataFrame(x, schema) for x in (STORED, FETCHED))
     found = {r["fecha"]: r["titulo"] for r in corpus.upsert(old, new).collect()}
     assert found == {"2025-01-01": "whole", "2025-01-02": "now whole", "2025-01-03": "cut", "2025-01-04": "second"}
+
+
+def test_dates_of_selected_officials_only(spark):
+    rows = [("SECRETARIO DE PAZ, ANA DÍAZ", "2025-01-02"), ("SECRETARIO DE PAZ, ANA DÍAZ", "2025-01-01"), ("TITULAR DE LUZ, EVA MAR", "2025-01-01"), ("TITULAR DE LUZ, EVA MAR", "2025-01-03"), ("TITULAR DE SOL, LUIS PAZ", "2025-01-01")]
+    turns = spark.createDataFrame(rows, "hablante string, fecha string").withColumn("tipo", F.lit("funcionario"))
+    resolved = actors.resolve(turns)
+    found = actors.actor_dates(turns, resolved, actors.ranking(resolved, 1))
+    # the secretary always, and the most frequent one (of two with equal turns the first by name)
+    assert {r["nombre"] for r in found.collect()} == {"SECRETARIO DE PAZ, ANA DÍAZ"}
+    assert actors.actor_dates(turns, resolved).count() == 5
+
+
+def test_timelines_are_zero_filled(spark):
+    rows = [("a", "2025-01-01"), ("a", "2025-01-01"), ("a", "2025-03-01"), ("b", "2025-02-01"), ("c", "")]
+    events = spark.createDataFrame(rows, "actor string, fecha string")
+    got = {(r["actor"], r["periodo"]): r["n"] for r in timeline.timelines(events).collect()}
+    assert len(got) == 12 and {k: n for k, n in got.items() if n} == {("a", "2025-01"): 2, ("a", "2025-03"): 1, ("b", "2025-02"): 1, ("c", ""): 1}
+    assert {r["n"] for r in timeline.timelines(events, "year", "conferences").where("actor = 'a' AND periodo = '2025'").collect()} == {2}
+    assert timeline.timelines(events.limit(0)).collect() == []

@@ -127,8 +127,11 @@ def ranking(resolved: DataFrame, top: int = TOP) -> DataFrame:
     return always.union(total.orderBy(F.desc("apariciones"), "nombre").limit(top)).distinct().orderBy(F.desc("apariciones"), "nombre")
 
 
-def actor_dates(turns: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(nombre, fecha), one row a turn."""
+def actor_dates(turns: DataFrame, resolved: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(nombre, fecha), one row a turn, of all officials or of those ``selected`` (nombre)."""
     label = names.normal_label(F.col("hablante"))
     said = turns.where("tipo = 'funcionario'").select(label.alias("variante"), "fecha")
-    return said.join(resolved.select("variante", "nombre"), "variante").select("nombre", "fecha")
+    chosen = resolved.select("variante", "nombre")
+    if selected is not None:
+        chosen = chosen.join(selected.select("nombre").distinct(), "nombre", "left_semi")
+    return said.join(chosen, "variante").select("nombre", "fecha")

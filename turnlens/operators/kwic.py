@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens import vocab
@@ -30,6 +30,20 @@ def corpus(turns: DataFrame, tipo: str = "presidenta") -> DataFrame:
     return turns.where(F.col("tipo") == tipo)
 
 
+def newest_first(turns: DataFrame) -> DataFrame:
+    """All columns with ``orden``, from 0: newest date first, within a date in the order of documents and turns.
+
+    Readers of a written table don't keep the order of its rows, so it is a
+    column: the rank within the date behind the turns of all later dates. The
+    only window over everything is that over the dates.
+    """
+    dates = turns.groupBy("fecha").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.desc("fecha"))) - F.col("_n")
+    placed = turns.join(F.broadcast(dates.select("fecha", before.alias("_before"))), "fecha")
+    within = F.row_number().over(Window.partitionBy("fecha").orderBy("conv_id", "turno"))
+    return placed.withColumn("orden", F.col("_before") + within - 1).drop("_before")
+
+
 def hits(turns: DataFrame, term: str, around: int = WINDOW) -> DataFrame:
     """All columns of ``turns`` with ``at`` (from 0) and ``ctx`` of each whole-word match. A cheap search for the string goes first."""
     found = turns.where(F.contains(F.lower("texto"), F.lit(term))).select("*", F.explode(T.offsets(F.col("texto"), term)).alias("at"))

@@ -24,9 +24,18 @@ def timeline(events: DataFrame, who: Column, grain: str = "month", metric: str =
 
 
 def timelines(events: DataFrame, grain: str = "month", metric: str = "turns") -> DataFrame:
-    """(actor, periodo, n) of every actor, one row for each period that has events of the actor."""
+    """(actor, periodo, n) of every actor on the spine of all periods, 0 where the actor has no events.
+
+    An actor's counts become a map, of as many entries as there are periods, and
+    the spine, one row with an array of them, goes to every task.
+    """
     n = F.count("*") if metric == "turns" else F.count_distinct("fecha")
-    return events.groupBy("actor", period(F.col("fecha"), grain).alias("periodo")).agg(n.alias("n"))
+    counts = events.groupBy("actor", period(F.col("fecha"), grain).alias("periodo")).agg(n.alias("n"))
+    own = counts.groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("periodo", "n"))).alias("held"))
+    every = events.agg(F.sort_array(F.collect_set(period(F.col("fecha"), grain))).alias("spine"))
+    # one row
+    rows = own.join(F.broadcast(every)).select("actor", "held", F.explode("spine").alias("periodo"))
+    return rows.select("actor", "periodo", F.coalesce(F.try_element_at("held", F.col("periodo")), F.lit(0)).alias("n"))
 
 
 def detail(events: DataFrame, who: Column, periodo: str, grain: str = "month") -> DataFrame:

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import time
-
 from turnlens.sources.bindings import LABELS as OFFICIALS
 
 
-def stamp() -> str:
-    return str(time.time_ns())
-
-
 LABELS = [
     *OFFICIALS,
     "PRESIDENTA DE MÉXICO, CLAUDIA SHEINBAUM PARDO",
@@ -23,29 +17,3 @@ LABELS = [
     "LA DRA. ROSA DÍAZ",
     "SUBSECRETARIA DE PAZ, DRA ELENA DE LA FUENTE ÁVILA",
 ]
-
-def _file(date: str, lines: list[str], title: str = "Conferencia", url: str = "https://example.org/") -> tuple[str, str]:
-    return f"{date}.txt", "\n".join([f"URL: {url}{date}", f"Fecha: {date}", f"Título: {title} {date}", "", *lines]) + "\n"
-
-
-TRANSCRIPTS = [
-    _file(
-        "2025-03-04",
-        [
-            "se pierde antes del primer turno",
-            "PRESIDENTA DE MÉXICO, CLAUDIA SHEINBAUM PARDO: Buenos días.",
-            "  Sigue la misma persona.  ",
-            "(INICIA VIDEO)",
-            "PREGUNTA:",
-            "PREGUNTA: ¿Qué sigue?",
-            "VIH: dato",
-            "IMSS: otro dato",
-            "—Rommel—.",
-            "SECRETARIO DE SALUD, DAVID PAZ: Con gusto: hay avance.",
-            "—000—",
-            "PREGUNTA: después del final",
-        ],
-    ),
-    _file("2025-03-05", ["VOZ MUJER: Sí.", "Más.", "(CONTINÚA…)"]),
-    _file("2025-04-01", ["sin turnos"]),
-]

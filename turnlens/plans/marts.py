@@ -59,16 +59,17 @@ def marts(docs: DataFrame, turns: DataFrame, tagger: Callable | None = None) ->
     pres = kwic.corpus(turns)
     stops = vocab.lexical_stops()
     resolved = actors.resolve(turns)
+    speakers = actors.ranking(resolved)
     out = {
         "corpus_stats": stats.by_date(turns),
         "word_freq_monthly": terms.top_lemmas(pres, period(F.col("fecha")), "texto", stops, tagger=tagger),
         "tfidf_monthly": terms.tfidf(pres, period(F.col("fecha")), F.col("fecha"), F.struct("file", "turno"), "texto", stops),
-        "speakers": actors.ranking(resolved),
-        "actor_fechas": actors.actor_dates(turns, resolved),
+        "speakers": speakers,
+        "actor_fechas": actors.actor_dates(turns, resolved, speakers).orderBy("nombre", "fecha"),
         "voice_share": stats.voice_share(turns),
         "framing": stats.framing(turns),
         "turns": turns.select("file", "fecha", "turno", "tipo", "hablante", "texto"),
-        "corpus_presidenta": pres.select("fecha", "turno", "texto").orderBy("fecha", "turno"),
+        "corpus_presidenta": kwic.newest_first(pres).select("orden", "fecha", "turno", "texto").orderBy("orden"),
         "fecha_url": docs.where("url <> '' AND fecha <> ''").groupBy("fecha").agg(F.max_by("url", "file").alias("url")),
         "stopwords": turns.sparkSession.createDataFrame([(w,) for w in vocab.functional_stops()], "termino string"),
         "resumen_ultima": digest(docs, turns),

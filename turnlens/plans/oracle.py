@@ -213,7 +213,6 @@ def _type(x: str) -> str:
 
 
 LABELLED = f"{TURNS}, lb AS (SELECT conv_id, fecha, turno, {_list(fixtures.LABELS)}[((conv_id * 5 + turno) % {len(fixtures.LABELS)}) + 1] AS label, texto FROM turns)"
-_LITERAL = f"f AS (SELECT * FROM {_values(fixtures.TRANSCRIPTS, 'file, value')}), ln AS (SELECT file, value, string_split(rtrim(value, chr(10)), chr(10)) AS l FROM f)"
 _FILES = f"""{LABELLED},
   sd AS (SELECT conv_id, fecha, string_agg(CASE WHEN conv_id % 7 = 0 AND turno = 2 THEN '—000—' || chr(10) ELSE '' END || label || coalesce(': ' || texto, ''), chr(10) ORDER BY turno) AS body
     FROM lb GROUP BY ALL),
@@ -259,6 +258,26 @@ def _meta(kind: str) -> str:
     return rf"""regexp_extract(html, '(?i)<meta\s[^>]*?{kind}=["'']{name}["''][^>]*?content=["'']([^"'']*)["'']', 1)"""
 
 
+def _timelines(period: str, n: str) -> str:
+    return f"""WITH {EVENTS}, sp AS (SELECT DISTINCT {period} AS periodo FROM ev), ac AS (SELECT DISTINCT actor FROM ev),
+  c AS (SELECT actor, {period} AS periodo, {n} AS n FROM ev GROUP BY ALL) SELECT actor, periodo, coalesce(n, 0) AS n FROM ac CROSS JOIN sp LEFT JOIN c USING (actor, periodo)"""
+
+
+#: CTEs with the pages pg(archive, page, ok, n), their links ln(archive, page, pos, url, d), and rs and sp, in which scans stop.
+_ARCHIVE = f"""pg AS (SELECT conv_id // 10 AS archive, conv_id % 10 * 8 + turn + 1 AS page, NOT (((conv_id // 10) % 4 = 1 AND conv_id % 10 * 8 + turn + 1 BETWEEN 17 AND 30) OR (conv_id % 10 * 8 + turn + 1) % 13 = 5) AS ok,
+    CASE WHEN (conv_id // 10) % 4 = 2 AND conv_id % 10 * 8 + turn + 1 > 45 THEN 0 ELSE 1 + (conv_id % 10 * 8 + turn + 1) % 3 END AS n FROM conversations),
+  ar AS (SELECT archive, page, unnest(range(0, n)) AS pos FROM pg WHERE ok),
+  dy AS (SELECT *, DATE '2026-06-01' - CAST(page * CASE archive % 4 WHEN 0 THEN 12 WHEN 2 THEN 5 ELSE 3 END AS INTEGER) - CAST(pos AS INTEGER) AS d FROM ar),
+  ln AS (SELECT archive, page, pos, d, 'https://example.org/articulos/' || CASE WHEN (page + pos) % 5 = 4 THEN 'version-estenografica-toma-de-protesta' ELSE 'version-estenografica-conferencia-de-prensa' END ||
+    '-del-' || day(d) || '-de-' || {_list(vocab.MONTHS)}[month(d)] || '-de-' || year(d) AS url FROM dy WHERE NOT (archive % 4 = 3 AND page > 60)),
+  pl AS (SELECT archive, page, min(d) AS lo, max(d) AS hi FROM ln GROUP BY ALL),
+  ru AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY page) - row_number() OVER (PARTITION BY archive, ok ORDER BY page) AS run FROM pg WHERE page <= 200),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY archive, ok, run ORDER BY page) AS i FROM ru),
+  rs AS (SELECT rn.archive, rn.page, ok, CASE WHEN NOT ok AND i >= 5 THEN 'sin respuesta' WHEN NOT ok THEN NULL WHEN n = 0 THEN 'sin artículos' WHEN lo < DATE '2024-10-01' THEN 'anteriores'
+    WHEN NOT coalesce(hi >= DATE '2024-10-01', false) AND rn.page > 1 THEN 'sin resultados' END AS motivo FROM rn LEFT JOIN pl ON pl.archive = rn.archive AND pl.page = rn.page),
+  sp AS (SELECT archive, min(page) FILTER (motivo IS NOT NULL) AS parada FROM rs GROUP BY archive)"""
+
+
 def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dict[str, str]:
     """Name to SQL."""
     k = _kwic(term)
@@ -316,9 +335,9 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
         "participants": _participants("n"),
         "participants_compat": _participants("n * n"),
         "question_count": f"WITH {TURNS} SELECT count(*) FILTER (tipo = 'pregunta') AS n_preguntas FROM turns",
-        "actor_timeline_month": f"WITH {EVENTS} SELECT actor, substr(fecha, 1, 7) AS periodo, count(*) AS n FROM ev GROUP BY ALL",
+        "actor_timeline_month": _timelines("substr(fecha, 1, 7)", "count(*)"),
         "actor_timeline_day": f"WITH {EVENTS} SELECT fecha AS periodo, count(*) AS n FROM ev GROUP BY ALL",
-        "actor_timeline_conferences": f"WITH {EVENTS} SELECT actor, substr(fecha, 1, 4) AS periodo, count(DISTINCT fecha) AS n FROM ev GROUP BY ALL",
+        "actor_timeline_conferences": _timelines("substr(fecha, 1, 4)", "count(DISTINCT fecha)"),
         "actor_period_detail": f"""WITH {EVENTS} SELECT fecha, count(*) AS n, CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' intervención' ELSE ' intervenciones' END AS resumen
             FROM ev WHERE substr(fecha, 1, 4) = '2024' GROUP BY fecha""",
         "category_aggregate": f"WITH {EVENTS} SELECT categoria, count(DISTINCT actor) AS actores, count(*) AS eventos FROM ev GROUP BY categoria",
@@ -367,8 +386,14 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
               coalesce(nullif({_meta("name")}, ''), left({_meta("property")}, 10), '') AS fecha_meta FROM pages),
             t AS (SELECT *, coalesce(CASE WHEN length(art) > 300 THEN art END, CASE WHEN length(mn) > 300 THEN mn END, bd) AS x FROM e)
             SELECT page_id, titulo, fecha_meta, {_CLEAN.format("x")} AS texto FROM t""",
-        "page_url_list": """SELECT range AS page, CASE WHEN range = 1 THEN 'https://example.org/archivo/articulos'
-            ELSE 'https://example.org/archivo/articulos?filter_origin=archive&idiom=es&order=DESC&page=' || CAST(range AS VARCHAR) END AS url FROM range(1, 5)""",
+        "page_meta_date": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN CAST(DATE '2025-01-01' + CAST(page_id % 300 AS INTEGER) AS VARCHAR) ELSE '' END AS fecha_meta FROM pages""",
+        "page_url_list": f"""WITH {_ARCHIVE} SELECT archive, page, CASE WHEN page = 1 THEN 'https://example.org/archivo/articulos'
+            ELSE 'https://example.org/archivo/articulos?filter_origin=archive&idiom=es&order=DESC&page=' || CAST(page AS VARCHAR) END AS url FROM pg""",
+        "archive_scan": f"""WITH {_ARCHIVE}, k AS (SELECT ln.* FROM ln JOIN sp USING (archive) WHERE (parada IS NULL OR page <= parada) AND d >= DATE '2024-10-01'),
+            r AS (SELECT *, row_number() OVER (PARTITION BY archive, url ORDER BY page, pos) AS r FROM k)
+            SELECT archive, url, CAST(d AS VARCHAR) AS fecha, page, CAST(pos AS INTEGER) AS pos FROM r WHERE r = 1""",
+        "archive_stops": f"""WITH {_ARCHIVE} SELECT archive, count(*) AS paginas, count(*) FILTER (NOT ok) AS sin_respuesta, any_value(parada) AS parada, max(motivo) FILTER (page = parada) AS motivo
+            FROM rs JOIN sp USING (archive) WHERE parada IS NULL OR page <= parada GROUP BY archive""",
         "date_from_slug": f"""WITH {TURNS}, {_SLUGS}, s AS (SELECT page_id, pos, href AS url FROM sl), t AS (SELECT *, {_SLUG_TEXT} AS texto FROM s)
             SELECT page_id, pos, url, texto, CAST(TRY_CAST(texto AS DATE) AS VARCHAR) AS fecha FROM t""",
         "archive_articles": f"""WITH {TURNS}, {_SLUGS}, s AS (SELECT {_ABSOLUTE} AS url FROM sl WHERE contains(href, 'version-estenografica')),
@@ -387,6 +412,16 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
             SELECT fecha, {_list([m[:3].capitalize() for m in vocab.MONTHS])}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' ' || substr(fecha, 1, 4) AS mes,
               CAST(CAST(substr(fecha, 9, 2) AS INTEGER) AS VARCHAR) || ' de ' || {_list(vocab.MONTHS)}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' de ' || substr(fecha, 1, 4) AS largo,
               substr(fecha, 1, 4) AS anio FROM d""",
-        "incremental_ingest": f"""WITH {_LITERAL} SELECT {_head("Fecha:")} AS fecha, file, {_head("Título:")} AS titulo, contains(value, '(CONTINÚA…)') AS incompleto
-            FROM ln""",
+        "incremental_ingest": f"""WITH {_FILES}, dr AS (SELECT 0 AS k, file, value FROM f UNION ALL SELECT 1, 'b-' || file, replace(value, '(CONTINÚA…)', '') FROM f WHERE CAST(left(file, 12) AS BIGINT) % 2 = 0
+              UNION ALL SELECT 2, 'c-' || file, value FROM f),
+            l0 AS (SELECT k, file, value, string_split(regexp_replace(value, '\\n$', ''), chr(10)) AS l FROM dr),
+            h AS (SELECT *, {_head("Fecha:")} AS fecha, {_head("Título:")} AS titulo, contains(value, '(CONTINÚA…)') AS cut, length(array_to_string(l[4:], chr(10))) >= 500 AS good FROM l0),
+            o AS (SELECT *, row_number() OVER (PARTITION BY fecha ORDER BY k, file) AS i FROM h),
+            w AS (SELECT *, min(CASE WHEN good AND NOT cut THEN i END) OVER (PARTITION BY fecha) AS whole, min(CASE WHEN good AND cut THEN i END) OVER (PARTITION BY fecha) AS part FROM o),
+            s AS (SELECT *, CASE WHEN i > whole THEN 'presente' WHEN i = whole OR (i = part AND i < coalesce(whole, i + 1)) THEN 'ok' ELSE 'fallo' END AS status, i = coalesce(whole, part) AS held FROM w)
+            SELECT fecha, file, status, CASE WHEN held THEN titulo END AS titulo, CASE WHEN held THEN cut END AS incompleto FROM s""",
+        "actor_dates_selected": f"""WITH RECURSIVE {_RESOLVED}, tt AS (SELECT nombre, sum(n) AS n FROM rs GROUP BY 1), ct AS (SELECT tt.*, categoria FROM tt JOIN nm ON lbl = tt.nombre),
+            sl AS (SELECT nombre FROM ct WHERE categoria IN ('gobernadores', 'secretarios') UNION SELECT nombre FROM (SELECT nombre FROM ct ORDER BY n DESC, nombre LIMIT 3))
+            SELECT rs.nombre, fecha, count(*) AS turnos FROM oficial JOIN rs ON rs.variante = {_NORM.format("hablante")} WHERE rs.nombre IN (SELECT nombre FROM sl) GROUP BY 1, 2""",
+        "corpus_newest_first": f"""WITH {TURNS} SELECT row_number() OVER (ORDER BY fecha DESC, conv_id, turno) - 1 AS orden, fecha, conv_id, turno FROM turns WHERE tipo = 'presidenta'""",
     }

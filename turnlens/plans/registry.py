@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, to
 from turnlens.plans import fixtures, oracle
 from turnlens.session import shared_folder
 from turnlens.sources import bindings as B
-from turnlens.sources import corpus, pages
+from turnlens.sources import archive, corpus, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -321,9 +322,24 @@ def page_title_text(spark, d):
     return out.select("page_id", "titulo", "fecha_meta", "texto")
 
 
+@query
+def page_meta_date(spark, d):
+    return pages.extract_documents(B.dated_pages(spark, d)).select("page_id", "fecha_meta")
+
+
 @query
 def page_url_list(spark, d):
-    return pages.page_urls(spark, "https://example.org", 4)
+    return B.archive_pages(spark, d).select("archive", "page", archive.page_url(F.col("page"), "https://example.org").alias("url"))
+
+
+@query
+def archive_scan(spark, d):
+    return archive.scan(B.archive_pages(spark, d), "https://example.org").withColumn("fecha", F.col("fecha").cast("string"))
+
+
+@query
+def archive_stops(spark, d):
+    return archive.stops(B.archive_pages(spark, d), "https://example.org")
 
 
 @query
@@ -393,16 +409,28 @@ def topic_share_month(spark, d):
 
 @query
 def incremental_ingest(spark, d):
-    from turnlens.streaming.ingest import ingest
-
-    base = f"{shared_folder(spark).rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{fixtures.stamp()}"
-    for file, value in fixtures.TRANSCRIPTS:
-        name = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in/{file}")
-        out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name)
-        out.write(bytearray(value.encode("utf-8")))
-        out.close()
-    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", least=1)
-    return spark.read.parquet(f"{base}/out").select(F.col("fecha").cast("string").alias("fecha"), "file", "titulo", "incompleto")
+    # three drops, each taken by a run of its own
+    from turnlens.streaming.ingest import ingest_stream
+
+    base = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    for files in B.dropped(spark, d, fixtures.LABELS):
+        files.write.mode("append").parquet(f"{base}/in")
+        ingest_stream(spark.readStream.schema("file string, value string").parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
+    stored = spark.read.parquet(f"{base}/out/documentos").select("file", "titulo", "incompleto")
+    return spark.read.parquet(f"{base}/out/registro").select("fecha", "file", "status").join(stored, "file", "left")
+
+
+@query
+def actor_dates_selected(spark, d):
+    turns = B.official_turns(spark, d)
+    resolved = actors.resolve(turns)
+    found = actors.actor_dates(turns, resolved, actors.ranking(resolved, 3))
+    return found.groupBy("nombre", "fecha").agg(F.count("*").alias("turnos"))
+
+
+@query
+def corpus_newest_first(spark, d):
+    return kwic.newest_first(kwic.corpus(B.turns(spark, d))).select("orden", "fecha", "conv_id", "turno")
 
 
 ORACLE_SQL = oracle.build(vocab.lexical_stops(), vocab.digest_stops(), TEST_FRAMES, TERM)

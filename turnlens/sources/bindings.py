@@ -92,3 +92,47 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 3 == 0).alias("incompleto"),
         F.col("text").alias("body"),
     )
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(archive, page, status, html): ten conversations as an archive, a turn as a listing page; each of the rules of a scan stops some archive."""
+    rows = read(spark, sf_dir, "conversations").select(
+        F.expr("conv_id div 10").alias("archive"), (F.col("conv_id") % 10 * 8 + F.col("turn") + 1).alias("page"), F.col("conv_id"), F.col("turn")
+    )
+    kind, page = F.col("archive") % 4, F.col("page")
+    silent = ((kind == 1) & page.between(17, 30)) | (page % 13 == 5)
+    step = F.when(kind == 0, 12).when(kind == 2, 5).otherwise(3)
+    latest = F.date_sub(F.lit("2026-06-01").cast("date"), (page * step).cast("int"))
+    n = F.when((kind == 2) & (page > 45), 0).otherwise(1 + page % 3).cast("int")
+    months = strings(vocab.MONTHS)
+
+    def article(i):
+        day = F.date_sub(latest, i)
+        slug = F.when((kind == 3) & (page > 60), "otra-cosa").when((page + i) % 5 == 4, "version-estenografica-toma-de-protesta").otherwise("version-estenografica-conferencia-de-prensa")
+        date = F.concat(F.lit("-del-"), F.dayofmonth(day), F.lit("-de-"), F.get(months, F.month(day) - 1), F.lit("-de-"), F.year(day))
+        site = F.when((page + i) % 2 == 0, "https://example.org").otherwise("")
+        return F.concat(F.lit('<article class="post">\n<h2>x</h2><a class="small" href="'), site, F.lit("/articulos/"), slug, date, F.lit('">Continuar leyendo</a></article>'))
+
+    inner = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), article), "\n")).otherwise("")
+    outside = '<nav><a href="/articulos/version-estenografica-otra-del-1-de-enero-de-2020">x</a></nav>'
+    html = F.concat(F.lit(f"<html><body>{outside}"), inner, F.lit("</body></html>"))
+    return rows.select("archive", "page", F.when(silent, "timeout").otherwise("ok").alias("status"), F.when(~silent, html).alias("html"))
+
+
+def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): the pages, two of three with a date among their metadata, in one of two forms."""
+    day = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string")
+    meta = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta name="date" content="'), day, F.lit('">'))).when(
+        F.col("page_id") % 3 == 1, F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T08:00:00Z">'))
+    )
+    head = F.concat(F.lit("<head>"), F.coalesce(meta, F.lit("")))
+    return read(spark, sf_dir, "pages").select("page_id", F.replace(F.col("html"), F.lit("<head>"), head).alias("html"))
+
+
+def dropped(spark: SparkSession, sf_dir: str, labels: list[str]) -> list[DataFrame]:
+    """Three drops of (file, value): all transcripts, every second one again and whole, and all again."""
+    files = transcripts(spark, sf_dir, labels)
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("file"))
+    whole = F.replace("value", F.lit("(CONTINÚA…)"), F.lit(""))
+    second = files.where(F.substring("file", 1, 12).cast("long") % 2 == 0)
+    return [files, second.select(named("b-").alias("file"), whole.alias("value")), files.select(named("c-").alias("file"), "value")]
