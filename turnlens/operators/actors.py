@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlens import vocab
@@ -46,14 +46,25 @@ def groups(found: DataFrame) -> DataFrame:
 
 
 def containment_edges(found: DataFrame) -> DataFrame:
-    """(a, b), a < b: groups of one category and first token of which one's tokens, two at least, contain the other's."""
+    """(a, b), a < b: groups of one category and first token of which one's tokens, two at least, contain the other's.
+
+    What contains a set contains its rarest token, so each set is looked for only
+    among those that hold that token: names that share a first token, however
+    many, meet by their rare ones.
+    """
     side = found.where(F.size("tokens") > 0).select("clave", "categoria", F.get("tokens", F.lit(0)).alias("primero"), F.array_distinct("tokens").alias("t"))
-    a = side.select(F.col("clave").alias("a"), "categoria", "primero", F.col("t").alias("x"))
-    b = side.select(F.col("clave").alias("b"), "categoria", "primero", F.col("t").alias("y"))
-    pairs = a.join(b, ["categoria", "primero"]).where("a < b")
-    short = F.when(F.size("x") <= F.size("y"), F.col("x")).otherwise(F.col("y"))
-    long = F.when(F.size("x") <= F.size("y"), F.col("y")).otherwise(F.col("x"))
-    return pairs.where((F.size(short) >= 2) & (F.size(F.array_except(short, long)) == 0)).select("a", "b")
+    side = checkpointed(side.where(F.size("t") >= 2))
+    held = side.select("clave", "categoria", "primero", F.explode("t").alias("token"), F.size("t").alias("size")).where("token <> primero")
+    often = held.groupBy("categoria", "primero", "token").agg(F.count("*").alias("n"))
+    ranked = held.join(often, ["categoria", "primero", "token"])
+    rare = ranked.groupBy("clave").agg(F.min_by(F.struct("categoria", "primero", "token", "size"), F.struct("n", "token")).alias("r"))
+    short = rare.select(F.col("clave").alias("s"), "r.categoria", "r.primero", "r.token", F.col("r.size").alias("s_size"))
+    long = held.select(F.col("clave").alias("l"), "categoria", "primero", "token", F.col("size").alias("l_size"))
+    pairs = short.join(long, ["categoria", "primero", "token"]).where("s <> l AND s_size <= l_size").select("s", "l")
+    sets = side.select("clave", "t")
+    both = pairs.join(sets.select(F.col("clave").alias("s"), F.col("t").alias("x")), "s").join(sets.select(F.col("clave").alias("l"), F.col("t").alias("y")), "l")
+    edges = both.where(F.size(F.array_except("x", "y")) == 0)
+    return edges.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,7 +96,8 @@ def office_match(people: DataFrame) -> DataFrame:
 
     ``people``: clave, canon, total, categoria. At least OFFICE_SHARE of the
     holder's role words; ties go to the holder with more turns, then by name.
-    Commas are no part of a word, and only named groups are holders.
+    Commas are no part of a word, and only named groups are holders. Groups and
+    holders meet by the rarest role words, of which a match must hold one.
     """
     nameless = names.has_role(names.name_segment(F.col("canon")))
     lone = people.where(nameless).select("clave", "categoria", _role_words(F.col("canon")).alias("own"))
@@ -96,11 +108,19 @@ def office_match(people: DataFrame) -> DataFrame:
         "categoria",
         F.array_except(_role_words(F.col("canon")), _role_words(names.name_segment(F.col("canon")))).alias("role"),
     )
-    pairs = lone.join(holder.where(F.size("role") > 0), "categoria")
+    # of a holder's r role words at least m must be covered, so one of any r - m + 1; the rarest ones are indexed
+    words = lone.select("clave", "categoria", F.explode("own").alias("word"))
+    often = words.groupBy("categoria", "word").agg(F.count("*").alias("n"))
+    role = holder.where(F.size("role") > 0).select("titular", "categoria", F.size("role").alias("r"), F.explode("role").alias("word"))
+    role = role.join(often, ["categoria", "word"], "left").groupBy("titular", "categoria", "r").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
+    least = F.ceil(F.col("r") * int(OFFICE_SHARE * 10) / 10).cast("int")
+    index = role.select("titular", "categoria", F.explode(F.slice("w", F.lit(1), F.col("r") - least + 1)).alias("s")).select("titular", "categoria", "s.word")
+    pairs = words.join(index, ["categoria", "word"]).select("clave", "titular").distinct()
+    both = pairs.join(lone.select("clave", "own"), "clave").join(holder.select("titular", "t_total", "t_canon", "role"), "titular")
     score = F.size(F.array_intersect("own", "role")) / F.size("role")
-    rank = F.row_number().over(Window.partitionBy("clave").orderBy(F.desc("score"), F.desc("t_total"), "t_canon"))
-    best = pairs.withColumn("score", score).where(F.col("score") >= OFFICE_SHARE).withColumn("r", rank).where("r = 1")
-    return best.select("clave", "titular", F.round("score", 4).alias("score"))
+    found = both.withColumn("score", score).where(F.col("score") >= OFFICE_SHARE)
+    best = found.groupBy("clave").agg(F.min_by(F.struct("titular", "score"), F.struct(-F.col("score"), -F.col("t_total"), "t_canon", "titular")).alias("b"))
+    return best.select("clave", "b.titular", F.round("b.score", 4).alias("score"))
 
 
 def resolve(turns: DataFrame) -> DataFrame:
