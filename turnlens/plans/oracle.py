@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from turnlens import vocab
 from turnlens.functions import morphology as M
 from turnlens.plans import fixtures
@@ -126,12 +128,19 @@ def _digest(stops) -> str:
   ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, length(term) DESC, term) AS INTEGER) AS rank, term, n, df, CAST(score AS DOUBLE) AS score FROM sc)"""
 
 
+def _phrase_tiles(term: str) -> str:
+    """The tile at hand and as many after it as a phrase's words and gaps take, joined."""
+    n = len(re.findall(f"{SQL_LETTERS}+|[^a-záéíóúüñ]+", term))
+    return " || ".join(["s", *[f"coalesce(lead(s, {k}) OVER (PARTITION BY conv_id, turno ORDER BY i), '')" for k in range(1, n)]])
+
+
 def _kwic(term: str) -> str:
     return f"""WITH RECURSIVE {TURNS}, p AS (SELECT * FROM turns WHERE tipo = 'presidenta' AND contains(lower(texto), {_str(term)})),
   tile AS (SELECT conv_id, fecha, turno, texto, unnest(x) AS s, generate_subscripts(x, 1) AS i
     FROM (SELECT *, regexp_extract_all(lower(texto), '{SQL_LETTERS}+|[^a-záéíóúüñ]+') AS x FROM p)),
   pos AS (SELECT *, CAST(sum(length(s)) OVER (PARTITION BY conv_id, turno ORDER BY i) - length(s) AS INTEGER) AS "at" FROM tile),
-  hit AS (SELECT conv_id, fecha, turno, texto, "at", greatest(0, "at" - 120) AS lo, least(length(texto), "at" + {len(term)} + 120) AS hi FROM pos WHERE s = {_str(term)}),
+  nxt AS (SELECT *, {_phrase_tiles(term)} AS run FROM pos),
+  hit AS (SELECT conv_id, fecha, turno, texto, "at", greatest(0, "at" - 120) AS lo, least(length(texto), "at" + {len(term)} + 120) AS hi FROM nxt WHERE run = {_str(term)}),
   ctx AS (SELECT *, CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(texto, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)) || CASE WHEN hi < length(texto) THEN '…' ELSE '' END AS ctx FROM hit)"""
 
 
@@ -278,7 +287,7 @@ _ARCHIVE = f"""pg AS (SELECT conv_id // 10 AS archive, conv_id % 10 * 8 + turn +
   sp AS (SELECT archive, min(page) FILTER (motivo IS NOT NULL) AS parada FROM rs GROUP BY archive)"""
 
 
-def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dict[str, str]:
+def build(lexical: list[str], digest: list[str], frames: dict, term: str, phrase: str) -> dict[str, str]:
     """Name to SQL."""
     k = _kwic(term)
     size = len(term)
@@ -320,6 +329,8 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str) -> dic
             CAST(len({_tokens("text")}) AS BIGINT) AS n_letters3, CAST(greatest(len({_tokens("text")}) - 1, 0) AS BIGINT) AS n_bigrams FROM documents""",
         "kwic_trend": f"""WITH {TURNS}, p AS (SELECT substr(fecha, 1, 7) AS mes, {_tokens("texto", "+")} AS t FROM turns WHERE tipo = 'presidenta')
             SELECT mes, CAST(sum(len(list_filter(t, lambda x: x = {_str(term)}))) AS BIGINT) AS n FROM p GROUP BY mes""",
+        "kwic_indexed": f'{_kwic(term)} SELECT conv_id, fecha, turno, "at", ctx FROM ctx',
+        "kwic_indexed_phrase": f'{_kwic(phrase)} SELECT conv_id, fecha, turno, "at", ctx FROM ctx',
         "kwic_context": k + ' SELECT conv_id, fecha, turno, "at", ctx FROM ctx',
         "kwic_page": k + ' SELECT conv_id, fecha, turno, "at", ctx FROM ctx ORDER BY fecha DESC, conv_id, turno, "at" LIMIT 15 OFFSET 15',
         "kwic_links": k

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnlens import vocab
 from turnlens.functions import dates, names
 from turnlens.functions import text as T
-from turnlens.operators import actors, kwic, parsing, stats, terms, timeline, topics
+from turnlens.operators import actors, index, kwic, parsing, stats, terms, timeline, topics
 from turnlens.plans import fixtures, oracle
 from turnlens.session import shared_folder
 from turnlens.sources import bindings as B
@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Frequent words of the synthetic texts, which the real lexicons rarely hit.
 TEST_FRAMES = {"articulos": ["the", "los", "las", "die", "les"], "enlaces": ["and", "que", "und", "of"], "crisis": vocab.FRAMES["crisis"]}
-TERM = "the"
+TERM, PHRASE = "the", "of the"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -165,6 +165,23 @@ def kwic_links(spark, d):
     return found.select("conv_id", "turno", "at", "frase", "link")
 
 
+def _indexed(spark, d, term):
+    turns = kwic.corpus(B.turns(spark, d))
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write(turns, ["conv_id", "turno"], path)
+    return index.search(spark.read.parquet(path), turns, ["conv_id", "turno"], term).select("conv_id", "fecha", "turno", "at", "ctx")
+
+
+@query
+def kwic_indexed(spark, d):
+    return _indexed(spark, d, TERM)
+
+
+@query
+def kwic_indexed_phrase(spark, d):
+    return _indexed(spark, d, PHRASE)
+
+
 @query
 def kwic_page(spark, d):
     return kwic.page(kwic.hits(kwic.corpus(B.turns(spark, d)), TERM), 1).select("conv_id", "fecha", "turno", "at", "ctx")
@@ -433,4 +450,4 @@ def corpus_newest_first(spark, d):
     return kwic.newest_first(kwic.corpus(B.turns(spark, d))).select("orden", "fecha", "conv_id", "turno")
 
 
-ORACLE_SQL = oracle.build(vocab.lexical_stops(), vocab.digest_stops(), TEST_FRAMES, TERM)
+ORACLE_SQL = oracle.build(vocab.lexical_stops(), vocab.digest_stops(), TEST_FRAMES, TERM, PHRASE)
