@@ -341,3 +341,59 @@ def test_timelines_are_zero_filled(spark):
     assert len(got) == 12 and {k: n for k, n in got.items() if n} == {("a", "2025-01"): 2, ("a", "2025-03"): 1, ("b", "2025-02"): 1, ("c", ""): 1}
     assert {r["n"] for r in timeline.timelines(events, "year", "conferences").where("actor = 'a' AND periodo = '2025'").collect()} == {2}
     assert timeline.timelines(events.limit(0)).collect() == []
+
+
+def test_every_stored_page_is_that_of_the_offset(spark, tmp_path):
+    turns = spark.createDataFrame([(f"c{i % 7}", f"2025-01-{1 + i % 5:02d}", i, "agua " * (i % 6)) for i in range(60)], "conv_id string, fecha string, turno int, texto string")
+    found = kwic.hits(turns, "agua")
+    kwic.store_pages(found, str(tmp_path / "p"), 5)
+    rows = lambda frame: [(r["conv_id"], r["turno"], r["at"]) for r in frame.collect()]
+    for number in range(12):
+        assert rows(kwic.stored_page(spark, str(tmp_path / "p"), number)) == rows(kwic.page(found, number))
+    plan = kwic.stored_page(spark, str(tmp_path / "p"), 3)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+    kwic.store_pages(found.limit(0), str(tmp_path / "none"))
+
+
+def test_marts_are_published_whole(spark, tmp_path):
+    path = str(tmp_path / "marts")
+    table = lambda *values: spark.createDataFrame([(v,) for v in values], "x int")
+    values = lambda: {name: sorted(r["x"] for r in t.collect()) for name, t in marts.published(spark, path).items()}
+    assert marts.published(spark, path) == {}
+    marts.publish({"a": table(1), "b": table(2), "old": table(9)}, path)
+    reader = marts.published(spark, path)
+    broken = table(3).select(F.raise_error(F.lit("killed midway")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="killed midway"):
+        marts.publish({"a": table(4), "b": broken}, path)
+    assert values() == {"a": [1], "b": [2], "old": [9]}
+    marts.publish({"a": table(5), "b": table(6)}, path)
+    assert values() == {"a": [5], "b": [6]}
+    marts.publish({"a": table(7)}, path, form="json")
+    assert values() == {"a": [7]} and len(list((tmp_path / "marts/versions").iterdir())) == 2
+    with pytest.raises(Exception):
+        reader["a"].collect()
+
+
+def test_marks_of_any_letter_go(spark):
+    import unicodedata
+
+    words = ["áÉñü", "Ǻǖ", "ắộ", "ё й", "ώ", "n\u0303", "ßø", "日本", "İı"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").select(F.upper("w").alias("u"), T.strip_accents(F.col("w")).alias("x"))
+    for r in frame.collect():
+        assert r["x"] == "".join(c for c in unicodedata.normalize("NFD", r["u"]) if unicodedata.category(c) != "Mn")
+
+
+def test_nested_elements(spark):
+    html = "<body><article class=a>one <article>two</article> <!-- </article> --> three</article><article>four</article></body>"
+    frame = spark.createDataFrame([(html,), ("<article>open <b>end",), ("<articles>x</articles>",), (None,)], "h string")
+    assert [r["x"] for r in frame.select(pages.element_text(F.col("h"), "article").alias("x")).collect()] == ["one two three", "open end", "", None]
+
+
+def test_topic_words_have_a_defined_order(spark):
+    texts = ["uno dos tres", "uno dos tres", "uno dos tres", "uno dos tres", "uno dos tres"]
+    frame = spark.createDataFrame([("2025-01-01", t) for t in texts], "fecha string, texto string")
+    vectorizer, model, _ = topics.fit(frame, [], 2)
+    for topic in (0, 1):
+        rows = topics.labels(vectorizer, model, 3).where(F.col("topico") == topic).orderBy("rank").collect()
+        weight = {w: model.topicsMatrix().toArray()[i, topic] for i, w in enumerate(vectorizer.vocabulary)}
+        assert [r["termino"] for r in rows] == sorted(weight, key=lambda w: (-weight[w], w)) and [r["rank"] for r in rows] == [1, 2, 3]

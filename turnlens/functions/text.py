@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,15 +74,21 @@ def _rest(tokens: Column) -> Column:
     return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
 
 
+@cache
+def _bases() -> tuple[str, str]:
+    """The letters that are a single letter and marks, and these letters, from the character data."""
+    found = []
+    for code in range(0xA0, 0x3000):
+        letter = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn")
+        if base != letter and len(base) == 1:
+            found.append((letter, base))
+    return "".join(x for x, _ in found), "".join(y for _, y in found)
+
+
 def strip_accents(x: Column) -> Column:
-    """Upper case without marks: for the Latin letters in use, a base letter for each accented one, combining marks dropped."""
-    table = {
-        "A": "ÁÀÂÃÄÅĀĂĄ", "C": "ÇĆĈĊČ", "D": "Ď", "E": "ÉÈÊËĒĔĖĘĚ", "G": "ĜĞĠĢ", "H": "Ĥ", "I": "ÍÌÎÏĨĪĬĮİ", "J": "Ĵ", "K": "Ķ", "L": "ĹĻĽ",
-        "N": "ÑŃŅŇ", "O": "ÓÒÔÕÖŌŎŐ", "R": "ŔŖŘ", "S": "ŚŜŞŠ", "T": "ŢŤ", "U": "ÚÙÛÜŨŪŬŮŰŲ", "W": "Ŵ", "Y": "ÝŸŶ", "Z": "ŹŻŽ",
-    }
-    source = "".join(table.values())
-    target = "".join(k * len(v) for k, v in table.items())
-    return F.regexp_replace(F.translate(F.upper(x), source, target), r"\p{Mn}", "")
+    """Upper case without marks: a base letter for each letter with marks of the alphabets below U+3000, combining marks dropped."""
+    return F.regexp_replace(F.translate(F.upper(x), *_bases()), r"\p{Mn}", "")
 
 
 def capitalise(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlens import vocab
@@ -61,6 +61,29 @@ def page(found: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return found.orderBy(F.desc("fecha"), "conv_id", "turno", "at").offset(number * size).limit(size)
 
 
+_ORDER = ("conv_id", "turno", "at")
+
+
+def store_pages(found: DataFrame, path: str, parts: int = 64) -> None:
+    """Hits in the order of pages, in a folder for each range of them, so that a page reads its own ranges only."""
+    rows = found.repartitionByRange(parts, F.desc("fecha"), *_ORDER).sortWithinPartitions(F.desc("fecha"), *_ORDER)
+    rows.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored_page(spark: SparkSession, path: str, number: int, size: int = PAGE) -> DataFrame:
+    """One page of stored hits, as page gives it: the ranges' sizes say in which of them it lies, and the others are not read."""
+    stored = spark.read.parquet(path)
+    first, before, chosen, skip = number * size, 0, [], 0
+    # a row for each range, from the files' footers
+    for r in stored.groupBy("part").count().orderBy("part").collect():
+        if before < first + size and before + r["count"] > first:
+            if not chosen:
+                skip = first - before
+            chosen.append(r["part"])
+        before += r["count"]
+    return stored.where(F.col("part").isin(chosen)).drop("part").orderBy(F.desc("fecha"), *_ORDER).offset(max(skip, 0)).limit(size)
+
+
 def trend(turns: DataFrame, term: str) -> DataFrame:
     """(mes, n): matches by month on the spine of all months, 0 included."""
     own = turns.where(F.contains(F.lower("texto"), F.lit(term)))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.functions.dates import period
@@ -34,10 +34,13 @@ def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountV
 
 
 def labels(vectorizer: CountVectorizerModel, model: LDAModel, words: int = WORDS) -> DataFrame:
-    """(topico, rank, termino): the heaviest words of each topic."""
-    names = F.array(*[F.lit(w) for w in vectorizer.vocabulary])
-    found = model.describeTopics(words).select("topic", F.posexplode("termIndices").alias("rank", "i"))
-    return found.select(F.col("topic").alias("topico"), F.col("rank") + 1, F.get(names, "i").alias("termino")).toDF("topico", "rank", "termino")
+    """(topico, rank, termino): the heaviest words of each topic, equal ones by name; the matrix has at most VOCABULARY rows."""
+    names, weights = vectorizer.vocabulary, model.topicsMatrix().toArray()
+    rows = []
+    for topic in range(weights.shape[1]):
+        order = sorted(range(len(names)), key=lambda i: (-weights[i, topic], names[i]))
+        rows += [(topic, rank + 1, names[i]) for rank, i in enumerate(order[:words])]
+    return SparkSession.active().createDataFrame(rows, "topico int, rank int, termino string")
 
 
 def by_date(model: LDAModel, counted: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +105,52 @@ def write(tables: dict[str, DataFrame], path: str, form: str = "parquet", obsole
             system.delete(found, True)
 
 
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    """A file takes another's place; on a file system in which renaming is one step, so is this."""
+    jvm = spark._jvm
+    found, place = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(found.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(found), context.makeQualified(place), options)
+
+
+def publish(tables: dict[str, DataFrame], path: str, form: str = "parquet", keep: int = 2) -> str:
+    """All marts as one version, which readers see whole or not at all; the version's name.
+
+    The tables are written to a folder of the version; only then a manifest that
+    names it takes the place of the one before. A build that fails or is killed
+    leaves the old version as it is. Of the versions before this one, ``keep`` - 1
+    stay for readers that began with them, so what is no longer among the tables goes with its version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.format(form).save(f"{path}/versions/{version}/{name}")
+    found, system = _path(spark, f"{path}/manifest-{version}")
+    out = system.create(found)
+    out.write(bytearray(f"{version} {form}\n".encode()))
+    out.close()
+    _rename(spark, f"{path}/manifest-{version}", f"{path}/MANIFEST")
+    folder, system = _path(spark, f"{path}/versions")
+    # unfinished versions that are older go as well
+    older = sorted(s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName() < version)
+    for name in older[: max(len(older) - keep + 1, 0)]:
+        system.delete(_path(spark, f"{path}/versions/{name}")[0], True)
+    return version
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The marts of the version that the manifest names, by name; none if nothing was published."""
+    if not _there(spark, f"{path}/MANIFEST"):
+        return {}
+    version, form = spark.read.text(f"{path}/MANIFEST").first()[0].split(" ")
+    folder, system = _path(spark, f"{path}/versions/{version}")
+    names = sorted(s.getPath().getName() for s in system.listStatus(folder))
+    return {name: spark.read.format(form).load(f"{path}/versions/{version}/{name}") for name in names}
+
+
 def sizes(spark: SparkSession, path: str) -> DataFrame:
     """(tabla, bytes) of each mart that has been written."""
     found, system = _path(spark, path)

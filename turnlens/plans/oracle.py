@@ -333,6 +333,7 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str, phrase
         "kwic_indexed_phrase": f'{_kwic(phrase)} SELECT conv_id, fecha, turno, "at", ctx FROM ctx',
         "kwic_context": k + ' SELECT conv_id, fecha, turno, "at", ctx FROM ctx',
         "kwic_page": k + ' SELECT conv_id, fecha, turno, "at", ctx FROM ctx ORDER BY fecha DESC, conv_id, turno, "at" LIMIT 15 OFFSET 15',
+        "kwic_stored_page": k + ' SELECT conv_id, fecha, turno, "at", ctx FROM ctx ORDER BY fecha DESC, conv_id, turno, "at" LIMIT 15 OFFSET 15',
         "kwic_links": k
         + f""", fr AS (SELECT *, trim(regexp_extract(left(texto, "at"), '[^.?!…]*$') || substr(texto, "at" + 1, {size}) ||
               regexp_extract(substr(texto, "at" + {size + 1}), '^[^.?!…]*[.?!…]?'), ' ' || chr(10) || chr(9) || chr(13)) AS frase,

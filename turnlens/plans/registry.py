@@ -187,6 +187,13 @@ def kwic_page(spark, d):
     return kwic.page(kwic.hits(kwic.corpus(B.turns(spark, d)), TERM), 1).select("conv_id", "fecha", "turno", "at", "ctx")
 
 
+@query
+def kwic_stored_page(spark, d):
+    path = f"{shared_folder(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    kwic.store_pages(kwic.hits(kwic.corpus(B.turns(spark, d)), TERM), path)
+    return kwic.stored_page(spark, path, 1).select("conv_id", "fecha", "turno", "at", "ctx")
+
+
 @query
 def kwic_highlight(spark, d):
     found = kwic.hits(kwic.corpus(B.turns(spark, d)), TERM)

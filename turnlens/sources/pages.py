@@ -47,9 +47,9 @@ def latest_article(found: DataFrame, site: str, key: str = "page_id") -> DataFra
 
 
 def element_text(page: Column, tag: str) -> Column:
-    """Text of the first element of a name, tags out, the common references decoded; empty if there is none."""
-    inner = F.regexp_extract(page, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>", 1)
-    return _plain(inner)
+    """Text of the first element of a name, up to the end tag that belongs to it, tags out, the common references decoded; empty if there is none, null for a null page."""
+    start = f"(?is)^.*?<{tag}(?:\\s[^>]*)?>"
+    return F.when(page.rlike(start), _plain(_inside(F.regexp_replace(page, start, ""), tag))).when(page.isNotNull(), F.lit(""))
 
 
 def _plain(inner: Column) -> Column:
@@ -63,22 +63,26 @@ def _plain(inner: Column) -> Column:
 def division_text(page: Column, name: str) -> Column:
     """Text of the first div of a class, up to the end tag that belongs to it; empty if there is none."""
     start = f"(?is)^.*?<div\\s(?:[^>]*?\\s)?class\\s*=\\s*[\"'](?:[^\"']*\\s)?{name}(?:\\s[^\"']*)?[\"'][^>]*>"
-    rest = F.regexp_replace(page, start, "")
-    tag = "(?i)</?div(?=[\\s>])[^>]*>"
+    # most pages lack the name, and are spared the patterns
+    return F.when(page.contains(name) & page.rlike(start), _plain(_inside(F.regexp_replace(page, start, ""), "div"))).otherwise(F.lit(""))
+
+
+def _inside(rest: Column, name: str) -> Column:
+    """What stands before the end tag that belongs to an element whose start tag is in front; all, if it is never closed. Comments hold no tags."""
+    rest = F.regexp_replace(rest, "(?s)<!--.*?-->", "")
+    tag = f"(?i)</?{name}(?=[\\s>/])[^>]*>"
     steps = F.arrays_zip(F.split(rest, tag, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(tag), F.lit(0)).alias("tag"))
     zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["n"] + F.length(x["gap"])
         closes = F.startswith(x["tag"], F.lit("</"))
-        # -1: the end tag that belongs to the div was met
+        # -1: the end tag that belongs to the element was met
         new = F.when(closes, acc["open"] - 1).otherwise(acc["open"] + 1)
         size = F.when(new < 0, at).otherwise(at + F.length(F.coalesce(x["tag"], F.lit(""))))
         return F.when(acc["open"] < 0, acc).otherwise(F.struct(F.when(x["tag"].isNull(), acc["open"]).otherwise(new).alias("open"), F.when(x["tag"].isNull(), at).otherwise(size).alias("n")))
 
-    inner = F.left(rest, F.aggregate(steps, zero, step, lambda a: a["n"]))
-    # most pages lack the name, and are spared the patterns
-    return F.when(page.contains(name) & page.rlike(start), _plain(inner)).otherwise(F.lit(""))
+    return F.left(rest, F.aggregate(steps, zero, step, lambda a: a["n"]))
 
 
 def extract_documents(pages: DataFrame, page: str = "html", selectors: tuple[str, ...] = SELECTORS) -> DataFrame:
