@@ -75,6 +75,15 @@ NOISE = set(
     "pagination pager contentinfo complementary search dialog paywall login hidden".split()
 )
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story"}
+#: Words that say where or what kind of part a compound name means: with these alone a word above keeps its meaning.
+PARTS = set(
+    "site page main top bottom left right upper lower list lists box bar bars block container wrapper wrap section area inner outer item items link links "
+    "button buttons btn slot unit space holder panel global primary secondary tertiary mobile desktop sticky fixed floating post posts article articles "
+    "entry story news body content text title form icon icons row col column group zone region module component js the this to us in up".split()
+)
+#: Words that make of a compound name a state or kind of layout.
+STATES = set("has no not with without is open closed enabled disabled layout free hoc".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 _NAMED = re.compile(r"[^\s/>]+")
@@ -87,19 +96,31 @@ _DIGIT = re.compile(r"\d").search
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _noise_words(name: str) -> set[str]:
+    """The words by which one class, id or role declares a part not to be text: it is such a word, or made of such words, places and numbers only.
+
+    A name that tells a state or layout (has-sidebar, comments-open) or means
+    something else (market-share, ad-hoc) declares nothing.
+    """
+    words = {w.lower() for w in _NAME.findall(name)}
+    return words & NOISE if not words & STATES and words <= NOISE | PARTS else set()
+
+
 class Node:
-    """An element: tag, sorted class words, whether it is hidden or holds an article, its declared words, and texts and elements in order."""
+    """An element: tag, sorted class words, whether it is hidden or holds an article, its declared words, those that declare noise, and texts and elements in order."""
 
-    __slots__ = ("tag", "names", "hidden", "holds", "words", "items")
+    __slots__ = ("tag", "names", "hidden", "holds", "words", "noise", "items")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.items, self.hidden, self.holds, self.names, self.words = tag, [], False, False, "", frozenset()
+        self.tag, self.items, self.hidden, self.holds, self.names, self.words, self.noise = tag, [], False, False, "", frozenset(), frozenset()
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             named = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
             if named.strip():
                 self.names = " ".join(sorted(html.unescape(found.get("class", "")).split()))
                 self.words = frozenset(w.lower() for w in _NAME.findall(named))
+                if self.words & NOISE:
+                    self.noise = frozenset().union(*map(_noise_words, named.split()))
             style = found.get("style", "").replace(" ", "").lower()
             self.hidden = "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden", "").lower() == "true"
             self.hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
@@ -180,7 +201,7 @@ def parse(page: str) -> Node:
                     break
             node = Node(tag, attributes)
             main |= tag in ("article", "main")
-            if tag in INLINE and not node.hidden and not node.words & NOISE:
+            if tag in INLINE and not node.hidden and not node.noise:
                 continue
             stack[-1].items.append(node)
             if tag in RAW:
@@ -211,9 +232,9 @@ def _noise(node: Node, in_article: bool) -> bool:
         return True
     if node.tag == "header" and not in_article:
         return True
-    if not node.words & NOISE or node.tag in ("html", "body", "main"):
+    if not node.noise or node.tag in ("html", "body", "main"):
         return False
-    if in_article and node.words & NOISE <= {"header", "banner"} and any(c.tag in ("h1", "h2") for c in node.children):
+    if in_article and node.noise <= {"header", "banner"} and any(c.tag in ("h1", "h2") for c in node.children):
         return False
     return not node.holds
 
@@ -231,7 +252,9 @@ def _texts(node: Node, constant: set[tuple[str, int]], path: str, out: list[str]
         else:
             child, below = step
             out.append(" ")
-            if not _noise(child, in_article) and not (constant and (below, _hash(child)) in constant):
+            # a heading that many articles have is still part of each
+            stays = not constant or in_article and child.tag in HEADINGS or (below, _hash(child)) not in constant
+            if stays and not _noise(child, in_article):
                 stack.append(iter(_walk(child, below)))
 
 
@@ -258,10 +281,16 @@ def _hash(node: Node) -> int:
     return crc32(own.encode()) if own else 0
 
 
-def _plain(node: Node) -> str:
-    out: list[str] = []
-    _texts(node, set(), "", out, True)
-    return " ".join("".join(out).split())
+def _sizes(root: Node) -> dict[int, int]:
+    """How many characters but white space the text of each element has, were it the article; by identity, in one pass from below."""
+    order = [root]
+    for node in order:
+        order += node.children
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len("".join(html.unescape(x).split())) for x in node.items if isinstance(x, str))
+        size[id(node)] = own + sum(size[id(c)] for c in node.children if not _noise(c, True))
+    return size
 
 
 def main_part(root: Node) -> tuple[Node, bool]:
@@ -285,8 +314,8 @@ def main_part(root: Node) -> tuple[Node, bool]:
             left.append(x)
     for group in (found, mains, named):
         if group:
-            best = max(group, key=lambda g: len(_plain(g))) if len(group) > 1 else group[0]
-            return best, True
+            size = _sizes(root) if len(group) > 1 else {}
+            return max(group, key=lambda g: size.get(id(g), 0)), True
     return root, False
 
 
@@ -497,27 +526,29 @@ def extract_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "ur
     null, and hosts of few pages have no wrapper: only their markup is used.
     Repeated rows are each extracted. Other columns are kept.
     """
-    spark = pages.sparkSession
-    kernel.tune(spark)
+    kernel.tune(pages.sparkSession)
     constant = checkpointed(induce(pages, key_col, url_col, html_col))
     few = constant.count() <= FEW
     wrappers = constant.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("path", "text")).alias("_constant"))
-    base = pages.drop("text", "n_chars").withColumn("_host", _host(url_col))
-    out = base.join(F.broadcast(wrappers) if few else wrappers.hint("merge"), "_host", "left").drop("_host")
+    base = pages.drop("text", "n_chars")
+    own, html_own = kernel.shielded(base, html_col)
+    own = own.withColumn("_host", _host(f"_own{base.columns.index(url_col)}"))
+    out = own.join(F.broadcast(wrappers) if few else wrappers.hint("merge"), "_host", "left").drop("_host")
     names = [c for c in out.columns if c != "_constant"]
-    schema = out.select(*names).withColumn("text", F.lit("").cast("string")).schema
+    schema = out.select(*names).withColumn("_text", F.lit("").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names
             sets = batch.column(at.index("_constant")).to_pylist()
             texts = [
-                extract(x.as_py(), {(c["path"], c["text"]) for c in s or ()}) for x, s in zip(batch.column(at.index(html_col)), sets, strict=True)
+                extract(x.as_py(), {(c["path"], c["text"]) for c in s or ()}) for x, s in zip(batch.column(at.index(html_own)), sets, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at.index(c)) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(at.index(c)) for c in names), pa.array(texts, pa.string())], names=[*names, "_text"])
         kernel.release()
 
-    return out.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    found = out.mapInArrow(run, schema).withColumn("_n", F.length("_text").cast("long"))
+    return found.toDF(*base.columns, "text", "n_chars")
 
 
 def digest(pages: DataFrame) -> DataFrame:
