@@ -7,13 +7,15 @@ from collections.abc import Iterable
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.functions.dates import period
 from turnlens.functions.text import letter_tokens, without
 
 TOPICS, ITERATIONS, SEED, VOCABULARY, MIN_DF, WORDS = 10, 20, 42, 3000, 5, 12
+#: Of topics that are given: the weight of their own words, the prior of each, and the steps towards a turn's shares.
+OWN, PRIOR, STEPS = 0.9, 0.1, 8
 
 
 def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountVectorizerModel, LDAModel, DataFrame] | None:
@@ -45,13 +47,57 @@ def labels(vectorizer: CountVectorizerModel, model: LDAModel, words: int = WORDS
 
 def by_date(model: LDAModel, counted: DataFrame) -> DataFrame:
     """(fecha, topico, peso): the mean over a date's turns, four digits; a turn without a known word is spread evenly."""
-    found = model.transform(counted).select("fecha", vector_to_array("topicDistribution").alias("v"))
+    return means(model.transform(counted).select("fecha", vector_to_array("topicDistribution").alias("v")))
+
+
+def means(shares: DataFrame) -> DataFrame:
+    """(fecha, topico, peso): the mean over a date of turns' shares ``v``, four digits; a turn without any is spread evenly."""
     known = F.exists("v", lambda p: p > 0)
     even = F.transform("v", lambda p: F.lit(1.0) / F.size("v"))
-    long = found.select("fecha", F.posexplode(F.when(known, F.col("v")).otherwise(even)).alias("topico", "p"))
+    long = shares.select("fecha", F.posexplode(F.when(known, F.col("v")).otherwise(even)).alias("topico", "p"))
     return long.groupBy("fecha", "topico").agg(F.round(F.avg("p"), 4).alias("peso"))
 
 
+def matrix(lexicons: dict[str, list[str]], own: float = OWN) -> tuple[list[str], list[list[float]]]:
+    """(words, a row for each topic): topics given by lists of words; ``own`` of a topic's weight is spread over its list, the rest over the other words."""
+    words = sorted({w for found in lexicons.values() for w in found})
+    rows = []
+    for found in lexicons.values():
+        held, others = len(set(found)), len(words) - len(set(found))
+        rows.append([(own if others else 1.0) / held if w in found else (1 - own) / others for w in words])
+    return words, rows
+
+
+def infer(turns: DataFrame, words: list[str], weights: list[list[float]], prior: float = PRIOR, iterations: int = STEPS) -> DataFrame:
+    """All columns of ``turns`` with ``v``, the shares of topics that are given by their words' weights.
+
+    From even shares on, each step deals every word of a turn among the topics by
+    share times weight, and the sums, the prior added, are the next shares; array
+    functions within the row, for a fixed number of steps. A turn without any of
+    the words has equal shares.
+    """
+    tokens = letter_tokens(F.col("texto"))
+    # set apart by a generator, or each step would count anew
+    count = F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter("_t", lambda t: t == w)).cast("double"))
+    rows = turns.select("*", F.explode(F.array(tokens)).alias("_t")).select(*turns.columns, F.explode(F.array(count)).alias("_n"))
+    table = F.array(*[F.array(*map(F.lit, row)) for row in weights])
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    k = len(weights)
+
+    def step(shares: Column, _: Column) -> Column:
+        mixed = [total(F.zip_with(shares, F.transform(table, _at(w)), lambda s, b: s * b)) for w in range(len(words))]
+        part = F.zip_with("_n", F.array(*mixed), lambda n, m: n / m)
+        taken = F.zip_with(shares, table, lambda s, row: s * total(F.zip_with(part, row, lambda p, b: p * b)) + prior)
+        return F.transform(taken, lambda x: x / (total("_n") + k * prior))
+
+    even = F.array(*[F.lit(1.0 / k)] * k)
+    return rows.withColumn("v", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), even, step)).drop("_n")
+
+
+def _at(place: int):
+    return lambda row: F.get(row, place)
+
+
 def by_month(dates: DataFrame) -> DataFrame:
     """(mes, topico, peso): the mean of the dates' rounded means, each date once."""
     return dates.groupBy(period(F.col("fecha")).alias("mes"), "topico").agg(F.round(F.avg("peso"), 4).alias("peso"))

@@ -6,6 +6,7 @@ import re
 
 from turnlens import vocab
 from turnlens.functions import morphology as M
+from turnlens.operators import topics
 from turnlens.plans import fixtures
 from turnlens.sources.bindings import LABELS
 
@@ -267,6 +268,20 @@ def _meta(kind: str) -> str:
     return rf"""regexp_extract(html, '(?i)<meta\s[^>]*?{kind}=["'']{name}["''][^>]*?content=["'']([^"'']*)["'']', 1)"""
 
 
+def _given_topics(frames: dict) -> str:
+    """CTEs ending in dia(fecha, topico, peso): shares of given topics, step by step."""
+    words, rows = topics.matrix(frames)
+    table = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in rows) + "]"
+    ks, ws, k = f"range(1, {len(rows) + 1})", f"range(1, {len(words) + 1})", len(rows)
+    return f"""WITH RECURSIVE {TURNS}, tk AS (SELECT conv_id, turno, fecha, {_tokens("texto", "+")} AS t FROM turns WHERE tipo = 'presidenta'),
+  cn AS (SELECT *, {table} AS b, list_transform({_list(words)}, lambda w: CAST(len(list_filter(t, lambda x: x = w)) AS DOUBLE)) AS n FROM tk),
+  em AS (SELECT conv_id, turno, fecha, b, n, list_sum(n) AS total, 0 AS i, [{", ".join([f"{1.0 / k!r}::DOUBLE"] * k)}] AS th FROM cn
+    UNION ALL SELECT conv_id, turno, fecha, b, n, total, i + 1, list_transform({ks}, lambda k: (th[k] * list_sum(list_transform({ws}, lambda w: n[w] / de[w] * b[k][w])) + {topics.PRIOR}::DOUBLE) / (total + {k * topics.PRIOR!r}::DOUBLE))
+      FROM (SELECT *, list_transform({ws}, lambda w: list_sum(list_transform({ks}, lambda k: th[k] * b[k][w]))) AS de FROM em WHERE i < {topics.STEPS})),
+  lo AS (SELECT fecha, unnest(th) AS p, generate_subscripts(th, 1) - 1 AS topico FROM em WHERE i = {topics.STEPS}),
+  dia AS (SELECT fecha, CAST(topico AS INTEGER) AS topico, round(avg(p), 4) AS peso FROM lo GROUP BY 1, 2)"""
+
+
 def _timelines(period: str, n: str) -> str:
     return f"""WITH {EVENTS}, sp AS (SELECT DISTINCT {period} AS periodo FROM ev), ac AS (SELECT DISTINCT actor FROM ev),
   c AS (SELECT actor, {period} AS periodo, {n} AS n FROM ev GROUP BY ALL) SELECT actor, periodo, coalesce(n, 0) AS n FROM ac CROSS JOIN sp LEFT JOIN c USING (actor, periodo)"""
@@ -424,6 +439,9 @@ def build(lexical: list[str], digest: list[str], frames: dict, term: str, phrase
             SELECT fecha, {_list([m[:3].capitalize() for m in vocab.MONTHS])}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' ' || substr(fecha, 1, 4) AS mes,
               CAST(CAST(substr(fecha, 9, 2) AS INTEGER) AS VARCHAR) || ' de ' || {_list(vocab.MONTHS)}[CAST(substr(fecha, 6, 2) AS INTEGER)] || ' de ' || substr(fecha, 1, 4) AS largo,
               substr(fecha, 1, 4) AS anio FROM d""",
+        "given_topic_share_date": f"{_given_topics(frames)} SELECT fecha, topico, peso FROM dia",
+        "given_topic_share_month": f"""{_given_topics(frames)}, mm AS (SELECT substr(fecha, 1, 7) AS mes, 't' || topico AS t, CAST(round(round(avg(peso), 4) * 100) AS INTEGER) AS pct FROM dia GROUP BY 1, 2)
+            {_pivot("mm", "mes", "t", "pct", [f"t{i}" for i in range(len(frames))], "0")}""",
         "incremental_ingest": f"""WITH {_FILES}, dr AS (SELECT 0 AS k, file, value FROM f UNION ALL SELECT 1, 'b-' || file, replace(value, '(CONTINÚA…)', '') FROM f WHERE CAST(left(file, 12) AS BIGINT) % 2 = 0
               UNION ALL SELECT 2, 'c-' || file, value FROM f),
             l0 AS (SELECT k, file, value, string_split(regexp_replace(value, '\\n$', ''), chr(10)) AS l FROM dr),

@@ -431,6 +431,20 @@ def topic_share_month(spark, d):
     return _literal(spark, [], "mes string, t0 int") if found is None else topics.percent_pivot(topics.by_month(topics.by_date(found[1], found[2])))
 
 
+def _given_topics(spark, d):
+    return topics.means(topics.infer(B.turns(spark, d).where("tipo = 'presidenta'"), *topics.matrix(TEST_FRAMES)))
+
+
+@query
+def given_topic_share_date(spark, d):
+    return _given_topics(spark, d)
+
+
+@query
+def given_topic_share_month(spark, d):
+    return topics.percent_pivot(topics.by_month(_given_topics(spark, d)), len(TEST_FRAMES))
+
+
 @query
 def incremental_ingest(spark, d):
     # three drops, each taken by a run of its own
