@@ -248,7 +248,8 @@ _ABSOLUTE = "CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example
 
 
 def _inner(tag: str) -> str:
-    inner = f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1)"
+    # an element that is never closed takes the rest of the page
+    inner = f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)(?:</{tag}\\s*>|$)', 1)"
     text = f"regexp_replace(regexp_replace(regexp_replace({inner}, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]*>', ' ', 'g')"
     for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         text = f"replace({text}, '{code}', '{plain}')"
