@@ -2,15 +2,20 @@
 
 Strong spans are found in each text by itself. Weak candidates (an identifier, a
 40-character secret, an endpoint, a value named as a secret key) are reported only where the parts that would
-complete a credential stand within SCOPE characters. The interval join that
-decides this is an equi-join on (text, stretch of SCOPE characters): the parts of
-a stretch are first reduced to the smallest and largest start of each role, so no
-pair of parts is ever formed.
+complete a credential stand in one scope: within SCOPE characters, with no blank
+line, section head or rule between them. The interval join that decides this is an
+equi-join on (text, section, stretch of SCOPE characters): the parts of a stretch
+are first reduced to the smallest and largest start of each role, so no pair of
+parts is ever formed. Offsets are running sums over pieces of an array, and over
+the pieces' own sums, so a text with very many spans takes little more than time in
+proportion to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.llm import kernel
@@ -33,8 +38,12 @@ KINDS = [*STRONG, *WEAK]
 ROLE = {"assign": "secret", "hex": "secret", "bare_secret": "secret", "access": "identifier", "ident": "identifier", "endpoint": "endpoint", "named_secret": "secret"}
 #: The roles that must be near a weak candidate.
 NEEDS = {"ident": ["secret"], "bare_secret": ["identifier"], "endpoint": ["identifier", "secret"], "named_secret": ["identifier"]}
-#: Two parts belong to one scope if their starts are at most this many characters apart.
+#: Two parts belong to one scope if their starts are at most this many characters apart, and nothing that ends a scope is between them.
 SCOPE = 400
+#: What ends a scope: a blank line, or a line that is a section head in brackets or a rule.
+BREAK = r"\n(?=[\x20\t\r]*\n|\[[^\]\n]*\][\x20\t\r]*(?:\n|$)|-{3,}[\x20\t\r]*(?:\n|$))"
+#: Texts are cut for redaction in pieces of this many characters.
+PIECE = 1024
 #: Texts with linked candidates are broadcast up to this many, else joined by a shuffle.
 FEW = 20_000
 
@@ -49,34 +58,60 @@ def _long_enough(kind: str) -> str:
     return STRONG[kind][0] if kind == "assign" else r"AKIA[A-Z0-9]{16}"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(items: Column, start: int, out: str, step: Callable[[Column, Column], Column], gather: Callable[[Column, Column], Column], shift: Callable[[Column, Column], Column]) -> Column:
+    """(at, out): a running value over an array, and what ``step`` appends to ``out`` for each item.
+
+    Arrays can only grow by copying, so the array is cut into pieces of about the
+    cube root of its size, each is run through by itself, and ``gather`` and
+    ``shift`` carry the value of the pieces before over to a piece.
+    """
+    zero = lambda kind: F.struct(F.lit(start).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+    def pieces(x: Column) -> Column:
+        most = F.ceil(F.cbrt(F.greatest(F.size(x), F.lit(1)))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), most), lambda i: F.slice(x, i + 1, most))
+
+    def lay(acc: Column, piece: Column) -> Column:
+        moved = F.transform(piece["out"], lambda o: shift(o, acc["at"]))
+        return F.struct(gather(acc["at"], piece["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    laid = F.aggregate(F.transform(_let(items, pieces), lambda p: F.aggregate(p, zero(out), step)), zero(f"array<{out}>"), lay)
+    return _let(laid, lambda r: F.struct(r["at"].alias("at"), F.flatten(r["out"]).alias("out")))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Spans of a kind in code points: what lies between the matches, and the matches, give every offset in one pass."""
-    rank = KINDS.index(kind)
     if kind in STRONG:
         pattern, group, least = STRONG[kind]
         if kind == "hex":
             # shorter runs always fail, and a run can't hide in a failing one
             pattern = r"[0-9a-f]{24,}"
     else:
-        pattern, group, least = WEAK[kind], 0, 0
+        pattern, group, least = WEAK.get(kind, BREAK), 0, 0
+    rank = F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"), value.alias("v"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    span = lambda start, end: F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
         return F.when(x["m"].isNull(), acc).otherwise(
             F.struct(
                 end.alias("at"),
-                F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+                F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span(start, end)))).otherwise(acc["out"]).alias("out"),
             )
         )
 
+    all_of = _running(steps, 0, _SPAN, step, lambda at, more: at + more, lambda o, at: span(o["start"] + at, o["end"] + at))
     some = text.rlike(_long_enough(kind) if kind in STRONG else pattern)
-    return F.when(some, F.aggregate(steps, zero, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(some, all_of["out"]).otherwise(F.array().cast(_SPAN))
 
 
 def _joined(spans: Column) -> Column:
@@ -99,22 +134,25 @@ def _linked(docs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
     both = docs.where(any_of(_long_enough("access"), WEAK["ident"])).where(
         any_of(*(_long_enough(k) for k in ("assign", "hex")), WEAK["bare_secret"], WEAK["named_secret"])
     )
-    found = both.select(*key, *[_spans(text, k).alias(k) for k in KINDS])
-    # a bare secret inside an assignment is part of that
-    within = lambda s: F.exists(F.concat("assign", "named_secret"), lambda a: (a["start"] <= s["start"]) & (s["end"] <= a["end"]))
-    found = found.withColumn("bare_secret", F.filter("bare_secret", lambda s: ~within(s)))
+    found = both.select(*key, F.explode(F.concat(*[_spans(text, k) for k in KINDS], _spans(text, "break"))).alias("span")).distinct()
+    rank, so_far = F.col("span.rank"), Window.partitionBy(*key).orderBy("span.start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = rank.isin(KINDS.index("assign"), KINDS.index("named_secret"))
     parts = (
-        found.select(*key, F.explode(F.concat(*KINDS)).alias("span"))
-        .distinct()
+        found.withColumn("section", F.count_if(rank == len(KINDS)).over(so_far))
+        .withColumn("covered", F.max(F.when(whole, F.col("span.end"))).over(so_far))
+        .where(rank < len(KINDS))
+        # a bare secret inside an assignment is part of that
+        .where((rank != KINDS.index("bare_secret")) | F.coalesce(F.col("covered") < F.col("span.end"), F.lit(True)))
         .select(
             *key,
             "span",
-            F.floor(F.col("span.start") / SCOPE).alias("cell"),
-            F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("span.rank")).alias("role"),
+            F.struct("section", F.floor(F.col("span.start") / SCOPE).alias("at")).alias("cell"),
+            F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), rank).alias("role"),
         )
     )
     cells = parts.groupBy(*key, "cell", "role").agg(F.min("span.start").alias("low"), F.max("span.start").alias("high"))
-    reach = cells.select(*key, F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), "role", "low", "high")
+    near_by = F.transform(F.sequence(F.col("cell.at") - 1, F.col("cell.at") + 1), lambda at: F.struct(F.col("cell.section").alias("section"), at.alias("at")))
+    reach = cells.select(*key, F.explode(near_by).alias("cell"), "role", "low", "high")
     weak = parts.where(F.col("span.rank") >= len(STRONG)).drop("role")
     # at most three stretches of each of three roles meet a candidate; parts of its own stretch are always near
     at = F.when(F.abs(F.col("low") - F.col("span.start")) <= SCOPE, F.col("low")).when(F.abs(F.col("high") - F.col("span.start")) <= SCOPE, F.col("high"))
@@ -144,14 +182,17 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     needs no key of its own.
     """
     key = ["_h1", "_h2"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.drop("base", "spans", "links").withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
-    base = hashed.withColumn("base", F.array_sort(F.concat(*[_spans(text, k) for k in STRONG])))
-    weak = _linked(hashed.select(F.col(text_col), *key).where(F.col(text_col).isNotNull()), text_col, key)
+    own, text_name = kernel.shielded(docs, text_col)
+    kept = [c for c in docs.columns if c not in ("base", "spans", "links")]
+    text = F.coalesce(F.col(text_name), F.lit(""))
+    hashed = own.withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
+    base = hashed.withColumn("_base", F.sort_array(F.concat(*[_spans(text, k) for k in STRONG])))
+    weak = _linked(hashed.select(text_name, *key).where(F.col(text_name).isNotNull()), text_name, key)
     out = base.join(small(weak, FEW), key, "left")
     links = F.coalesce("_weak", F.array().cast(_LINK))
     linked = F.transform(links, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
-    return out.withColumns({"spans": F.array_sort(F.concat("base", linked)), "links": links}).drop(*key, "_weak")
+    names = [f"_own{docs.columns.index(c)}" for c in kept]
+    return out.select(*names, "_base", F.sort_array(F.concat("_base", linked)), links).toDF(*kept, "base", "spans", "links")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") -> DataFrame:
@@ -162,27 +203,27 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[redacted]") ->
     """
     own, text_name = kernel.shielded(docs, text_col)
     out = scan(own, text_name)
-    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(new)))
-
-    out = out.withColumn("_m", F.aggregate("spans", zero, merge))
-    text, m = F.col(text_name), F.col("_m")
-    # the stretch before each span, each followed by the mark, and what follows the last one
-    before = F.transform(
-        m,
-        lambda s, i: F.concat(
-            F.substring(text, F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"]).cast("int") + 1, (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"])).cast("int")),
-            F.lit(mark),
-        ),
-    )
-    rest = F.substring(text, F.try_element_at(m, F.lit(-1))["end"].cast("int") + 1, F.length(text))
-    clean = F.when(F.size(m) == 0, text).otherwise(F.concat(F.array_join(before, ""), rest))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.struct(s["start"].alias("start"), acc["at"].alias("before"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    # where each span starts, and where all before it have ended
+    shift = lambda o, at: F.struct(o["start"].alias("start"), F.greatest(o["before"], at).alias("before"))
+    run = _running(F.col("spans"), -1, "array<struct<start:bigint,before:bigint>>", step, lambda at, more: F.greatest(at, more), shift)
+    text = F.col(text_name)
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE), F.floor(end / PIECE)
+        return F.substring(F.array_join(F.slice(pieces, (first + 1).cast("int"), (last - first + 1).cast("int")), ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))
+
+    def marked(r: Column, pieces: Column) -> Column:
+        alone = F.filter(r["out"], lambda o: o["start"] > o["before"])
+        gaps = F.transform(alone, lambda o: F.concat(cut(pieces, F.greatest(o["before"], F.lit(0)), o["start"]), F.lit(mark)))
+        return F.concat(F.array_join(gaps, ""), cut(pieces, r["at"], F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.when(F.size("spans") == 0, text).otherwise(_let(run, lambda r: _let(pieces, lambda p: marked(r, p))))
     return out.withColumn(text_name, clean).select(*own.columns).toDF(*docs.columns)
 
 
