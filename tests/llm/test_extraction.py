@@ -63,3 +63,46 @@ def test_clashing_names(spark):
     out = wrapper.extract_pages(frame)
     assert out.columns == ["page_id", "url", "html", "_constant", "_host", "_own0", "_text", "text", "n_chars"]
     assert sorted((r.page_id, r["_constant"], r["_host"], r["_own0"], r["_text"], r.text, r.n_chars) for r in out.collect()) == [(i, 1, 2, 3, 4, f"t{i}", 2) for i in range(3)]
+
+
+def nested_lists(n, odd):
+    """A list of n items with inner elements, of which those at ``odd`` have one more, in preorder."""
+    out = [(-1, "ul", 0)]
+    for i in range(n):
+        here = len(out)
+        out += [(0, "li", 0), (here, "p", 0)]
+        out += [(here, f"i{i % 7}", 0)] if odd(i) else []
+    return out
+
+
+def test_lists_of_every_size_are_aligned():
+    took = []
+    for n in (20, 480, 5_000):
+        a, b = nested_lists(n, lambda i: i % 3 == 0), nested_lists(n + 1, lambda i: i % 5 == 1)
+        began = time.process_time()
+        shape = wrapper.Shape(a)
+        pairs = wrapper.tree_match(shape, wrapper.Shape(b, shape.forms))
+        took.append(time.process_time() - began)
+        # every item and its paragraph
+        assert len(pairs) >= 1 + 2 * n and len(pairs) == len(set(pairs))
+    assert took[2] < 20
+
+
+def test_items_of_long_lists_are_template_as_those_of_short_ones(spark):
+    def page(i, n):
+        items = "".join(f"<li><p>item {i} {k}</p></li>" for k in range(n + i % 3))
+        return f"<html><body><div class=q><b>Home</b></div><ul>{items}</ul><div class=z{i}><p>only {i}</p></div><div class=q><b>Terms</b></div></body></html>"
+
+    for n in (20, 480):
+        rows = [(i, "http://h.io/a", page(i, n)) for i in range(12)]
+        found = wrapper.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+        for r in found:
+            assert r["text"].startswith(f"item {r['page_id']} 0 ") and r["text"].endswith(f"only {r['page_id']}")
+
+
+def test_pages_keep_clashing_columns(spark):
+    rows = [(1, None, None, "a", "b"), (None, "http://h/", "<p>x</p>", None, None)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string, _host string, _constant string")
+    found = wrapper.extract_pages(frame)
+    assert found.columns == [*frame.columns, "text", "n_chars"]
+    assert {tuple(r) for r in found.collect()} == {(*rows[0], "", 0), (*rows[1], "x", 1)}

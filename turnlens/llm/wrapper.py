@@ -3,7 +3,10 @@
 Pages of one host come from one template. The tree of each page is aligned with
 reference trees of its host, of several shapes, by simple tree matching: equal
 signs (tag and classes) on the way from the main part down, and of the children
-of a matched pair as large a sequence in order as there is. Each page votes for
+of a matched pair as large a sequence in order as there is. Equal trees are numbered
+alike, so a pair of trees is compared once however often it occurs, and equal ones at
+either end of two lists are matched at once; what is left is aligned row by row in
+linear space, so pages of every size are aligned. Each page votes for
 the text of the nodes that are matched with a node of a reference. Nodes that no
 reference has would have no vote, so pages also vote for path and text of each of
 their nodes, which compares every page with every other one. A node whose text
@@ -23,6 +26,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +40,6 @@ SUPPORT = 4
 SHARE = 90
 #: Reference trees of a host, each of another group of shapes.
 REFERENCES = 3
-#: Steps of the alignment of a page with a reference; larger pairs vote by path alone.
-STEPS = 200_000
 #: Wrappers are broadcast up to this many constant nodes, and references of up to this many hosts, else joined by a shuffle.
 FEW = 50_000
 FEW_HOSTS = 2_000
@@ -363,81 +365,160 @@ def slots(tree: Outline) -> dict[str, list[int]]:
     return {k: sorted(v) for k, v in sorted(found.items())}
 
 
+class Forms:
+    """Numbers of trees of signs, equal trees alike, with sign, children and size of each; those of ``base`` keep theirs."""
+
+    __slots__ = ("base", "first", "known", "rows")
+
+    def __init__(self, base: Forms | None = None):
+        self.base, self.first = base, len(base.rows) if base else 0
+        self.known: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.rows: list[tuple[str, tuple[int, ...], int]] = []
+
+    def __getitem__(self, form: int) -> tuple[str, tuple[int, ...], int]:
+        return self.rows[form - self.first] if form >= self.first else self.base.rows[form]
+
+    def number(self, sign: str, kids: tuple[int, ...]) -> int:
+        key = sign, kids
+        form = self.base.known.get(key) if self.base else None
+        if form is None:
+            form = self.known.get(key)
+        if form is None:
+            form = self.known[key] = self.first + len(self.rows)
+            self.rows.append((sign, kids, 1 + sum(self[k][2] for k in kids)))
+        return form
+
+
 class Shape:
-    """A tree with what the alignment asks of it: children, and by depth and sign the elements that have any."""
+    """A tree with what the alignment asks of it: the children and the form of each element. ``base`` holds the forms of what it is compared with."""
 
-    __slots__ = ("tree", "signs", "kids", "inner")
+    __slots__ = ("tree", "kids", "form", "forms")
 
-    def __init__(self, tree: Outline):
-        self.tree, self.signs = tree, [sign for _, sign, _ in tree]
+    def __init__(self, tree: Outline, base: Forms | None = None):
+        self.tree, self.forms = tree, Forms(base)
         self.kids: list[list[int]] = [[] for _ in tree]
-        depth = [0] * len(tree)
         for i, (above, _, _) in enumerate(tree):
             if above >= 0:
                 self.kids[above].append(i)
-                depth[i] = depth[above] + 1
-        self.inner: dict[tuple[int, str], list[int]] = defaultdict(list)
-        for i, kids in enumerate(self.kids):
-            if kids:
-                self.inner[depth[i], self.signs[i]].append(i)
+        self.form = [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            self.form[i] = self.forms.number(tree[i][1], tuple(self.form[k] for k in self.kids[i]))
+
+
+def _trimmed(xs: list[int], ys: list[int]) -> tuple[int, int, int]:
+    """How many equal forms two lists begin with, and where what they end with begins: some largest matching has all of these."""
+    lo, n, m = 0, len(xs), len(ys)
+    while lo < n and lo < m and xs[lo] == ys[lo]:
+        lo += 1
+    while n > lo and m > lo and xs[n - 1] == ys[m - 1]:
+        n, m = n - 1, m - 1
+    return lo, n, m
+
 
+class Matching:
+    """The sizes of the largest matchings of forms, each found once."""
 
-def tree_match(a: Shape, b: Shape, steps: int = STEPS) -> list[tuple[int, int]]:
-    """Simple tree matching: the matched elements of two trees; none if that takes more than ``steps``."""
-    if not a.tree or not b.tree or a.signs[0] != b.signs[0]:
+    __slots__ = ("forms", "sizes")
+
+    def __init__(self, forms: Forms):
+        self.forms = forms
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def easy(self, f: int, g: int) -> int | None:
+        """The size where no children have to be compared."""
+        a, b = self.forms[f], self.forms[g]
+        if f == g:
+            return a[2]
+        if a[0] != b[0]:
+            return 0
+        return self.sizes.get((f, g)) if a[1] and b[1] else 1
+
+    def size(self, f: int, g: int) -> int:
+        left = [(f, g)]
+        while left:
+            f, g = left[-1]
+            if self.easy(f, g) is not None:
+                left.pop()
+                continue
+            xs, ys = self.forms[f][1], self.forms[g][1]
+            lo, n, m = _trimmed(xs, ys)
+            mid_x, mid_y = xs[lo:n], ys[lo:m]
+            open_ = [(x, y) for x in set(mid_x) for y in set(mid_y) if self.easy(x, y) is None]
+            if open_:
+                left += open_
+                continue
+            ends = sum(self.forms[x][2] for x in (*xs[:lo], *xs[n:]))
+            self.sizes[f, g] = 1 + ends + (int(_last_row(*self._weights(mid_x, mid_y))[-1]) if mid_x and mid_y else 0)
+            left.pop()
+        return self.easy(f, g)
+
+    def _weights(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes by kinds of x and y, and the kind of each."""
+        kinds_x, at_x = np.unique(np.array(xs), return_inverse=True)
+        kinds_y, at_y = np.unique(np.array(ys), return_inverse=True)
+        table = np.array([[self.easy(x, y) for y in kinds_y.tolist()] for x in kinds_x.tolist()], np.int64)
+        return table, at_x, at_y
+
+    def in_order(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """Places of a largest matching of two lists of forms that keeps their order."""
+        lo, n, m = _trimmed(xs, ys)
+        pairs = [(i, i) for i in range(lo)] + [(n + i, m + i) for i in range(len(xs) - n)]
+        if lo < n and lo < m:
+            for x in set(xs[lo:n]):
+                for y in set(ys[lo:m]):
+                    self.size(x, y)
+            table, at_x, at_y = self._weights(tuple(xs[lo:n]), tuple(ys[lo:m]))
+            pairs += [(lo + i, lo + j) for i, j in _halved(table, at_x, at_y)]
+        return pairs
+
+
+def _last_row(table: np.ndarray, at_x: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """The largest weight of a matching in order of all x with the first 0, 1, 2... of y."""
+    row = np.zeros(len(at_y) + 1, np.int64)
+    weights = table[:, at_y]
+    for x in at_x.tolist():
+        np.maximum(row[1:], row[:-1] + weights[x], out=row[1:])
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _halved(table: np.ndarray, at_x: np.ndarray, at_y: np.ndarray) -> list[tuple[int, int]]:
+    """A largest matching in order, found in linear space: half of x goes with the part of y that leaves most to both halves."""
+    pairs, left = [], [(0, len(at_x), 0, len(at_y))]
+    while left:
+        a, b, c, d = left.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            row = table[at_x[a], at_y[c:d]]
+            best = int(row.argmax())
+            if row[best]:
+                pairs.append((a, c + best))
+            continue
+        mid = (a + b) // 2
+        before = _last_row(table, at_x[a:mid], at_y[c:d])
+        after = _last_row(table, at_x[mid:b][::-1], at_y[c:d][::-1])[::-1]
+        cut = c + int((before + after).argmax())
+        left += [(a, mid, c, cut), (mid, b, cut, d)]
+    return pairs
+
+
+def tree_match(a: Shape, b: Shape) -> list[tuple[int, int]]:
+    """Simple tree matching: the matched elements of two trees, where b is numbered upon the forms of a."""
+    if not a.tree or not b.tree or a.tree[0][1] != b.tree[0][1]:
         return []
-    # size of the best matching of pairs with children, and these children's pairs; inner ones first
-    best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    for key in sorted(a.inner.keys() & b.inner.keys(), key=lambda k: -k[0]):
-        for i in a.inner[key]:
-            for j in b.inner[key]:
-                steps -= len(a.kids[i]) * len(b.kids[j]) + 1
-                if steps < 0:
-                    return []
-                best[i, j] = _in_order(a, b, i, j, best)
+    sizes = Matching(b.forms)
     matched, left = [], [(0, 0)]
     while left:
         pair = left.pop()
         matched.append(pair)
-        left += best[pair][1] if pair in best else []
+        xs, ys = a.kids[pair[0]], b.kids[pair[1]]
+        if xs and ys:
+            found = sizes.in_order([a.form[x] for x in xs], [b.form[y] for y in ys])
+            left += [(xs[i], ys[j]) for i, j in found]
     return matched
 
 
-def _in_order(a: Shape, b: Shape, i: int, j: int, best: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The largest matching of the children of i and j that keeps their order, with its size, i and j counted."""
-    xs, ys = a.kids[i], b.kids[j]
-    plain = lambda x, y: a.signs[x] == b.signs[y] and not a.kids[x] and not b.kids[y]
-    lo, n, m, pairs = 0, len(xs), len(ys), []
-    # equal elements without children at either end belong together in some best matching
-    while lo < n and lo < m and plain(xs[lo], ys[lo]):
-        pairs.append((xs[lo], ys[lo]))
-        lo += 1
-    while n > lo and m > lo and plain(xs[n - 1], ys[m - 1]):
-        n, m = n - 1, m - 1
-        pairs.append((xs[n], ys[m]))
-    size = 1 + len(pairs)
-    xs, ys = xs[lo:n], ys[lo:m]
-    if not xs or not ys:
-        return size, pairs
-    weight = [[(best[x, y][0] if (x, y) in best else 1) if a.signs[x] == b.signs[y] else 0 for y in ys] for x in xs]
-    table = [[0] * (len(ys) + 1)]
-    for row in weight:
-        above, now = table[-1], [0]
-        for j, w in enumerate(row):
-            now.append(max(above[j + 1], now[j], above[j] + w if w else 0))
-        table.append(now)
-    i, j = len(xs), len(ys)
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((xs[i], ys[j]))
-    return size + table[-1][-1], pairs
-
-
 def _host(url: str) -> F.Column:
     return F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
 
@@ -450,9 +531,8 @@ def _votes(tree: Outline, references: list[tuple[Shape, list[str]]]) -> Iterator
         if texts:
             yield -1, path, texts
             yield layout, path, texts
-    own = Shape(tree)
     for r, (reference, where) in enumerate(references):
-        for i, j in tree_match(reference, own):
+        for i, j in tree_match(reference, Shape(tree, reference.forms)):
             if tree[j][2]:
                 yield -2 - r, f"{where[i]}{_SLOT}{i}", [tree[j][2]]
 
