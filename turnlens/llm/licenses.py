@@ -19,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlens.llm import kernel
 from turnlens.llm.durable import small
 
 #: Texts that match a template are broadcast up to this many, else joined by a shuffle.
@@ -217,11 +218,13 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict = TEMPLATES, t
     columns are kept and columns named like the results are replaced.
     """
     key = ["_h1", "_h2"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.drop("n_words", "places", "templates", "score").withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
+    own, text_name = kernel.shielded(docs, text_col)
+    kept = [c for c in docs.columns if c not in ("n_words", "places", "templates", "score")]
+    text = F.coalesce(F.col(text_name), F.lit(""))
+    hashed = own.withColumns({"_h1": F.xxhash64(text), "_h2": F.crc32(text)})
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    named = F.col(text_col).rlike("(?i)" + "|".join(p.replace(" ", gap) for p in PHRASES))
-    low = _words(_lower(F.col(text_col)))
+    named = F.col(text_name).rlike("(?i)" + "|".join(p.replace(" ", gap) for p in PHRASES))
+    low = _words(_lower(F.col(text_name)))
     places = F.array().cast("array<struct<start:int,label:string>>")
     found = F.concat(*[_places(F.col("_w"), phrase, label) for phrase, label in PHRASES.items()])
     places = F.when(F.size("_w") == 0, places).otherwise(F.array_sort(found))
@@ -229,9 +232,11 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict = TEMPLATES, t
         {"n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "_w": F.when(named, low).otherwise(F.array().cast("array<string>"))}
     )
     main = main.withColumn("places", places).drop("_w")
-    found = matches(hashed.select(text_col, *key), key, text_col, templates, threshold)
+    found = matches(hashed.select(text_name, *key), key, text_name, templates, threshold)
     best = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("template", "label", "containment"))).alias("templates"), F.max("containment").alias("score"))
-    return main.join(small(best, FEW), key, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop(*key)
+    out = main.join(small(best, FEW), key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    names = [f"_own{docs.columns.index(c)}" for c in kept]
+    return out.select(*names, "n_words", "places", "templates", "score").toDF(*kept, "n_words", "places", "templates", "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:
