@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -406,6 +407,48 @@ def test_sentencepiece(docs, texts, empty):
     assert back.where("decoded <> coalesce(text, '')").count() == 0
 
 
+def test_sentencepiece_words_are_encoded_together():
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+
+    path = queries.token_file("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    parts = ["a", "b", "the", " ", "  ", "\u2581", "\n", "\u00f1", "\U0001f600", "\u2580", "<0x41>", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", " ", "\u2581", "a ", "\u2581\u2581 b\u2581"]
+    encoder = spm.Encoder(Path(path).read_bytes())
+    calls = []
+    backend = encoder.backend
+
+    class Counted:
+        def encode_batch(self, words, **more):
+            calls.extend(words)
+            return backend.encode_batch(words, **more)
+
+        def encode_batch_fast(self, words, **more):
+            calls.extend(words)
+            return backend.encode_batch_fast(words, **more)
+
+    encoder.backend = Counted()
+    for held in ([*texts, None], texts):
+        values, bounds = encoder.encode(pa.array(held, pa.string()))
+        ids = [values[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+        assert ids == [library.encode(t or "") for t in held]
+        assert encoder.decode(values, bounds) == [library.decode(x) for x in ids]
+    calls.clear()
+    fresh = " ".join(f"w{i}q" for i in range(1000))
+    values, _ = encoder.encode(pa.array(["", fresh, fresh]))
+    assert values.tolist() == 2 * library.encode(fresh) and len(calls) == -(-1000 // spm.JOINED)
+    assert encoder.encode(pa.array([None], pa.string()))[1].tolist() == [0, 0]
+    calls.clear()
+    # where a piece's length isn't what it seems, each word is encoded by itself
+    encoder.clear()
+    encoder.lengths = encoder.lengths + 1
+    assert encoder.encode(pa.array([fresh]))[0].tolist() == library.encode(fresh) and len(calls) > 1000
+
+
 def test_sentencepiece_unigram_model():
     """A hand-made unigram model: the best-scored segmentation, byte fallback, and the marker."""
     import struct

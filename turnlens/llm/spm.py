@@ -4,7 +4,8 @@ The model file is a protobuf, read here field by field; from it the library's
 normaliser, metaspace marker, unigram scores or BPE merges, byte fallback and
 decoder are rebuilt. If no piece holds the marker after another character, no
 piece can reach from one word into the next, so texts are cut into words and
-each distinct word is encoded once for as long as a worker remembers it.
+each distinct word is encoded once for as long as a worker remembers it; new
+words go to the library many in a call.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 REMEMBERED = 150_000
 LONGEST = 64
+#: Words that are encoded in one call.
+JOINED = 256
 THREADS = 2
 
 
@@ -150,45 +154,104 @@ class Encoder(dict):
             and not self.model.trim_spaces
             and not any(marked.search(p) for p, _, kind in self.model.pieces if kind == NORMAL)
         )
+        kinds = [kind for _, _, kind in self.model.pieces]
+        # merges don't reach over the start of a word, and with a piece for each byte none is unknown
+        self.joined = self.by_word and self.model.kind == BPE and self.model.byte_fallback and kinds.count(BYTE) == 256
         # one of the two is enough
         self.backend = build(self.model, normalise=not self.by_word)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.bytes_of = [_bytes(p, kind) for p, _, kind in self.model.pieces]
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        out = [np.array(e.ids, dtype="<i4").tobytes() for e in self.backend.encode_batch(words, add_special_tokens=False)]
+        self.lengths = np.array([1 if kind == BYTE else len(p.encode("utf-8")) for p, _, kind in self.model.pieces])
+        self.pieces = pa.array([_bytes(p, kind) for p, _, kind in self.model.pieces], pa.large_binary())
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.backend.encode_batch(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words that start with the marker and don't end in it, many words in one call, cut apart by their pieces' bytes."""
+        groups = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, dtype="<i4") for e in self.backend.encode_batch_fast(groups, add_special_tokens=False)])
+        reached = np.r_[0, np.cumsum(self.lengths[ids])]
+        ends = np.cumsum([len(w.encode("utf-8")) for w in words])
+        at = np.searchsorted(reached, ends)
+        if reached[-1] != ends[-1] or (reached[at] != ends).any():
+            return self._each(words)
+        whole, cuts = ids.tobytes(), (4 * at).tolist()
+        return [whole[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w[0] == MARK != w[-1]] if self.joined else []
+        out = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
+        other = [w for w in words if w not in out]
+        if other:
+            out.update(zip(other, self._each(other), strict=True))
         if len(self) > REMEMBERED:
             self.clear()
-        self.update((w, b) for w, b in zip(words, out, strict=True) if len(w) <= LONGEST)
+        self.update((w, b) for w, b in out.items() if len(w) <= LONGEST)
         return out
 
-    def __missing__(self, word: str) -> bytes:
-        return self._learn([word])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.get, words))
+        new = [w for w, b in zip(words, found) if b is None]
+        if not new:
+            return found
+        learned = self._learn(new)
+        return [learned[w] if b is None else b for w, b in zip(words, found)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the bounds of each text's; a null counts as an empty text."""
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
         if not self.by_word:
-            return [np.array(e.ids, dtype="<i4").tobytes() for e in self.backend.encode_batch(texts, add_special_tokens=False)]
-        prefix = MARK if self.model.dummy_prefix else ""
-        cut = [self.words(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.keys()) if cut else set()
-        new = [w for w in new if len(w) <= LONGEST]
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+            blobs = self._each(texts.to_pylist())
+            return np.frombuffer(b"".join(blobs), "<i4"), np.r_[0, np.cumsum([len(b) // 4 for b in blobs], dtype=np.int64)]
+        data, offsets, starts = _words(texts, self.model.dummy_prefix)
+        if not len(starts):
+            return np.zeros(0, "<i4"), np.zeros(len(texts) + 1, np.int64)
+        ends = pa.py_buffer(np.r_[starts, len(data)])
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        blobs = self._ids(coded.dictionary.to_pylist())
+        sizes = np.array([len(b) // 4 for b in blobs])
+        index = coded.indices.to_numpy()
+        counts = sizes[index]
+        upto = np.r_[0, np.cumsum(counts)]
+        heads = (np.cumsum(sizes) - sizes)[index]
+        values = np.frombuffer(b"".join(blobs), "<i4")[np.repeat(heads - upto[:-1], counts) + np.arange(upto[-1])]
+        return values, upto[np.searchsorted(starts, offsets)]
+
+    def decode(self, values: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts that ids stand for, from their pieces' bytes, as the model's own library gives them."""
+        taken = self.pieces.take(pa.array(values))
+        data = taken.buffers()[2]
+        whole = data.to_pybytes() if data is not None else b""
+        upto = np.frombuffer(taken.buffers()[1], np.int64)[bounds].tolist() if len(values) else [0] * len(bounds)
         out = []
-        for one in ids:
-            whole = b"".join(map(self.bytes_of.__getitem__, one))
-            first = next((p for p, _, kind in map(self.model.pieces.__getitem__, one) if kind != CONTROL), "")
-            if self.model.dummy_prefix and first.startswith(MARK):
-                whole = whole[1:]
-            out.append(whole.decode("utf-8", errors="mark_each_byte"))
+        for i, (start, end) in enumerate(zip(upto, upto[1:])):
+            ids = map(self.model.pieces.__getitem__, values[bounds[i] : bounds[i + 1]])
+            first = next((p for p, _, kind in ids if kind != CONTROL), "")
+            start += self.model.dummy_prefix and first.startswith(MARK)
+            out.append(whole[start:end].decode("utf-8", errors="mark_each_byte"))
         return out
 
 
+def _words(texts: pa.Array, prefix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts with markers for spaces, where each text ends, from 0 on, and where each word starts: at a marker after no marker, or with a text."""
+    mark = pa.scalar(MARK, pa.large_string())
+    marked = pc.replace_substring(texts, " ", MARK)
+    if prefix:
+        none = pa.scalar("", pa.large_string())
+        marked = pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(mark, marked, none))
+    offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    held = marked.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    a, b, c = MARK.encode("utf-8")
+    at = np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)) if len(data) > 2 else np.zeros(0, np.int64)
+    after, first = np.zeros(len(data) + 1, bool), np.zeros(len(data), bool)
+    after[at + len(MARK.encode("utf-8"))] = True
+    first[at[~after[at]]] = True
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    return data, offsets, np.flatnonzero(first)
+
+
 def _bytes(piece: str, kind: int) -> bytes:
     """What a piece adds to a decoded text."""
     if kind == BYTE:
@@ -226,13 +289,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", decode: boo
             column = batch.column(names.index(text_col))
             for part in kernel.slices(column):
                 rows = batch.slice(part.lo, part.hi - part.lo)
-                blobs = encoder.encode([t or "" for t in column.slice(part.lo, part.hi - part.lo).to_pylist()])
-                bounds = np.r_[0, np.cumsum([len(b) // 4 for b in blobs])].astype(np.int32)
-                values = np.frombuffer(b"".join(blobs), "<i4")
-                new = {"tokens": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))}
+                values, bounds = encoder.encode(column.slice(part.lo, part.hi - part.lo))
+                new = {"tokens": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))}
                 if decode:
-                    lists = [values[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    new["decoded"] = pa.array(encoder.decode(lists), pa.string())
+                    new["decoded"] = pa.array(encoder.decode(values, bounds), pa.string())
                 yield pa.RecordBatch.from_arrays([new.get(c, rows.column(i)) for i, c in enumerate(names)], names=names)
         kernel.release()
 
@@ -250,9 +310,11 @@ def decode(encoded: DataFrame, model_path: str, tokens_col: str = "tokens") -> D
         encoder = _encoder(shared.value)
         for batch in batches:
             names = batch.schema.names
-            lists = batch.column(names.index(tokens_col)).to_pylist()
-            texts = encoder.decode([x or [] for x in lists])
-            new = pa.array([t if x is not None else None for t, x in zip(texts, lists, strict=True)], pa.string())
+            lists = batch.column(names.index(tokens_col))
+            bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            texts = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+            held = lists.is_valid().to_pylist()
+            new = pa.array([t if x else None for t, x in zip(texts, held, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == "decoded" else batch.column(i) for i, c in enumerate(names)], names=names)
 
     return out.mapInArrow(run, "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in out.schema) + ">")
