@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from turnlens.functions.dates import period
 from turnlens.functions.text import letter_tokens, without
+from turnlens.operators.lda import Topics
 from turnlens.session import checkpointed
 
 TOPICS, ITERATIONS, SEED, VOCABULARY, MIN_DF, WORDS = 10, 20, 42, 3000, 5, 12
 #: Of topics that are given: the weight of their own words, the prior of each, and the steps towards a turn's shares.
 OWN, PRIOR, STEPS = 0.9, 0.1, 8
-#: Turns a task of the fit takes. The fit draws by task, so tasks follow from the turns and not from files or cores.
+#: Turns a task of the fit takes; tasks follow from the turns and not from files or cores.
 TURNS = 2500
 
 
-def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountVectorizerModel, LDAModel, DataFrame] | None:
+def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountVectorizerModel, Topics, DataFrame] | None:
     """The vocabulary, the model and the turns with their counts, without ``texto``; None with fewer than MIN_DF turns or no common word.
 
     Every pass of the fit reads the counts, so they are stored in the shared folder,
@@ -39,12 +40,12 @@ def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountV
     if vectorizer is None:
         return None
     counted = checkpointed(vectorizer.transform(tokens).drop("texto", "tokens"))
-    # near-batch variational inference with the usual 1/k priors
-    lda = LDA(
-        k=k, maxIter=ITERATIONS, seed=SEED, featuresCol="counts", optimizer="online", subsamplingRate=1.0, learningDecay=1e-9,
-        docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, optimizeDocConcentration=False,
-    )
-    return vectorizer, lda.fit(counted), counted
+    # the weights that MLlib's seed draws, without a pass of its own: these would draw turns anew, with replacement
+    drawn = LDA(k=k, maxIter=0, seed=SEED, featuresCol="counts", optimizer="online").fit(counted)
+    model = Topics(drawn.topicsMatrix().toArray())
+    for _ in range(ITERATIONS):
+        model = model.next(counted)
+    return vectorizer, model, counted
 
 
 def vocabulary(tokens: DataFrame, tasks: int) -> CountVectorizerModel | None:
@@ -64,7 +65,7 @@ def vocabulary(tokens: DataFrame, tasks: int) -> CountVectorizerModel | None:
     return CountVectorizerModel.from_vocabulary(kept, **names) if kept else None
 
 
-def labels(vectorizer: CountVectorizerModel, model: LDAModel, words: int = WORDS) -> DataFrame:
+def labels(vectorizer: CountVectorizerModel, model: Topics, words: int = WORDS) -> DataFrame:
     """(topico, rank, termino): the heaviest words of each topic, equal ones by name; the matrix has at most VOCABULARY rows."""
     names, weights = vectorizer.vocabulary, model.topicsMatrix().toArray()
     rows = []
@@ -74,7 +75,7 @@ def labels(vectorizer: CountVectorizerModel, model: LDAModel, words: int = WORDS
     return SparkSession.active().createDataFrame(rows, "topico int, rank int, termino string")
 
 
-def by_date(model: LDAModel, counted: DataFrame) -> DataFrame:
+def by_date(model: Topics, counted: DataFrame) -> DataFrame:
     """(fecha, topico, peso): the mean over a date's turns, four digits; a turn without a known word is spread evenly."""
     return means(model.transform(counted).select("fecha", vector_to_array("topicDistribution").alias("v")))
 
