@@ -97,6 +97,20 @@ def test_blocks_and_batches_do_not_matter(spark, monkeypatch):
     assert lda.pa.concat_batches(parts).equals(batch)
 
 
+def test_other_turns_take_the_place_of_settled_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 13, 600)
+    indices = [np.sort(rng.choice(40, s, False)).astype(np.int32) for s in sizes]
+    vectors = lda.pa.StructArray.from_arrays([lda.pa.array(indices, lda.pa.list_(lda.pa.int32())), lda.pa.array([np.ones(s) for s in sizes], lda.pa.list_(lda.pa.float64()))], ["indices", "values"])
+    likely, steps, plain_digamma = lda._likely(rng.gamma(0.5, 20, (40, 5)) + 0.2), [], lda.exp_digamma
+    monkeypatch.setattr(lda, "PLACES", 600)
+    monkeypatch.setattr(lda, "exp_digamma", lambda x: steps.append(len(x)) or plain_digamma(x))
+    found = np.concatenate([rows for rows, *_ in lda._settled(vectors, likely)])
+    assert sorted(found) == list(range(600))
+    # 50 turns or more at a time but for the last ones; not a few slow ones of each block
+    assert np.mean(steps) > 25
+
+
 def test_shares_are_those_of_mllib(spark):
     counted = topics.fit(turns(spark), [], 3)[2]
     mllib = LDA(k=3, maxIter=10, seed=1, featuresCol="counts", docConcentration=[1 / 3] * 3, optimizeDocConcentration=False).fit(counted)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: A turn is settled when its parameters change by no more than this on average.
 SETTLED = 1e-3
-#: Turns gathered at a time, and places of words (turns times the words of the longest) worked on at a time.
-TURNS, PLACES = 4096, 1 << 16
+#: Turns and bytes gathered at a time, and places of words (turns times the words of the longest) worked on at a time.
+TURNS, BYTES, PLACES = 1 << 13, 1 << 26, 1 << 15
+#: The part of the turns worked on that is settled when others take their place.
+LEAVE = 0.2
 #: Tasks' sums are added as whole multiples of 1 / UNIT, so that their order does not matter.
 UNIT = 1 << 24
 _TINY = 1e-100
@@ -82,11 +84,11 @@ def exp_digamma(x: np.ndarray) -> np.ndarray:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about TURNS rows: the slowest turn of a block decides how many steps it takes."""
+    """Batches joined to about TURNS rows or BYTES: the last turns of a block to settle have its steps to themselves."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= TURNS:
+        if sum(b.num_rows for b in held) >= TURNS or sum(b.nbytes for b in held) >= BYTES:
             yield pa.concat_batches(held)
             held = []
     if held:
@@ -94,43 +96,55 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(counts: pa.StructArray, likely: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """For blocks of turns, given as sparse vectors: (rows, gamma, places of words, theta, count / norm of each word)."""
+    """(rows, gamma, places of words, theta, count / norm of each word) of turns, given as sparse vectors, some at a time as they settle.
+
+    At most PLACES words are worked on at once, and other turns take the place of those
+    that are settled, the shortest first: a slow one is padded to the width of the longer
+    ones it is left with, and few steps are made for slow ones alone but at the end.
+    """
     indices, values = counts.field("indices"), counts.field("values")
     starts = indices.offsets.to_numpy()
-    words, held = indices.values.to_numpy(), values.values.to_numpy()
-    sizes = np.diff(starts)
     # a place behind the last for turns without words
-    words, held = np.r_[words, 0], np.r_[held, 0.0]
+    words, held = np.r_[indices.values.to_numpy(), 0], np.r_[values.values.to_numpy(), 0.0]
+    sizes = np.diff(starts)
     order = np.argsort(sizes, kind="stable")
-    # from the longest on, so that the first turn of a block tells its width
-    order, lo = order[::-1], 0
-    while lo < len(order):
-        longest = max(sizes[order[lo]], 1)
-        rows = order[lo : lo + max(PLACES // longest, 1)]
-        lo += len(rows)
-        width = np.arange(longest)
-        at = np.where(width < sizes[rows, None], starts[rows, None] + width, len(words) - 1)
-        places = words[at]
-        yield rows, *_settle(likely[places], held[at], places)
-
-
-def _settle(likely: np.ndarray, n: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gamma, places, theta, rate) of a block; each turn stops where it is settled, whatever the others do."""
-    k = likely.shape[2]
-    ends = np.empty((len(n), k)), np.empty((len(n), k)), np.empty(n.shape)
-    rows, open_ = np.arange(len(n)), np.ones(len(n), bool)
-    gamma = np.ones((len(n), k))
-    theta = exp_digamma(gamma)
-    rate = n / (np.matmul(likely, theta[:, :, None])[:, :, 0] + _TINY)
-    while open_.any():
-        last, gamma = gamma, theta * np.matmul(rate[:, None, :], likely)[:, 0, :] + 1.0 / k
+    widths = np.maximum(sizes[order], 1)
+    lo, k = 0, likely.shape[1]
+    rows, places, n, near, gamma = order[:0], np.zeros((0, 0), int), np.zeros((0, 0)), np.zeros((0, k, 0)), np.ones((0, k))
+    while lo < len(order) or len(rows):
+        taken = np.count_nonzero((len(rows) + np.arange(1, len(order) - lo + 1)) * widths[lo:] <= PLACES)
+        new = order[lo : lo + max(taken, not len(rows))]
+        if len(new):
+            lo += len(new)
+            width = np.arange(widths[lo - 1])
+            at = np.where(width < sizes[new, None], starts[new, None] + width, len(words) - 1)
+            rows, gamma = np.r_[rows, new], np.r_[gamma, np.ones((len(new), k))]
+            places, n = _below(places, words[at]), _below(n, held[at])
+            near = _below(near, likely[words[at]].transpose(0, 2, 1))
+        gamma, theta, settled = _settle(near, n, gamma)
+        yield rows[settled], gamma[settled], places[settled], theta[settled], _rate(near[settled], n[settled], theta[settled])
+        rows, places, n, near, gamma = (x[~settled] for x in (rows, places, n, near, gamma))
+
+
+def _below(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The rows of ``old``, filled up with zeros to the width of ``new``, and those of ``new``."""
+    both = np.zeros((len(old) + len(new), *new.shape[1:]), new.dtype)
+    both[: len(old), ..., : old.shape[-1]] = old
+    both[len(old) :] = new
+    return both
+
+
+def _settle(near: np.ndarray, n: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gamma, theta, whether settled) after steps until some turns are settled; a settled one keeps its values, whatever the others do."""
+    k = gamma.shape[1]
+    theta, settled = exp_digamma(gamma), np.zeros(len(n), bool)
+    while np.count_nonzero(settled) < LEAVE * len(n):
+        last, gamma = gamma, theta * np.matmul(near, _rate(near, n, theta)[:, :, None])[:, :, 0] + 1.0 / k
+        np.copyto(gamma, last, where=settled[:, None])
         theta = exp_digamma(gamma)
-        rate = n / (np.matmul(likely, theta[:, :, None])[:, :, 0] + _TINY)
-        done = open_ & (np.abs(gamma - last).sum(1) <= SETTLED * k)
-        for end, now in zip(ends, (gamma, theta, rate), strict=True):
-            end[rows[done]] = now[done]
-        open_ &= ~done
-        if open_.mean() < 0.8:
-            likely, n, rows, gamma, theta, rate = (x[open_] for x in (likely, n, rows, gamma, theta, rate))
-            open_ = np.ones(len(rows), bool)
-    return ends[0], places, ends[1], ends[2]
+        settled = np.abs(gamma - last).sum(1) <= SETTLED * k
+    return gamma, theta, settled
+
+
+def _rate(near: np.ndarray, n: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    return n / (np.matmul(theta[:, None, :], near)[:, 0, :] + _TINY)

@@ -19,8 +19,9 @@ from turnlens.session import checkpointed
 TOPICS, ITERATIONS, SEED, VOCABULARY, MIN_DF, WORDS = 10, 20, 42, 3000, 5, 12
 #: Of topics that are given: the weight of their own words, the prior of each, and the steps towards a turn's shares.
 OWN, PRIOR, STEPS = 0.9, 0.1, 8
-#: Turns a task of the fit takes; tasks follow from the turns and not from files or cores.
-TURNS = 2500
+#: Turns a task of the fit takes; tasks follow from the turns and not from files or cores. Where there are more
+#: than PASS, a pass joins up to four, as a step for the last few turns of a task costs much of one for many.
+TURNS, PASS = 2500, 96
 
 
 def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountVectorizerModel, Topics, DataFrame] | None:
@@ -43,8 +44,9 @@ def fit(turns: DataFrame, stops: Iterable[str], k: int = TOPICS) -> tuple[CountV
     # the weights that MLlib's seed draws, without a pass of its own: these would draw turns anew, with replacement
     drawn = LDA(k=k, maxIter=0, seed=SEED, featuresCol="counts", optimizer="online").fit(counted)
     model = Topics(drawn.topicsMatrix().toArray())
+    read = counted.coalesce(min(tasks, max(PASS, math.ceil(tasks / 4))))
     for _ in range(ITERATIONS):
-        model = model.next(counted)
+        model = model.next(read)
     return vectorizer, model, counted
 
 
@@ -58,9 +60,10 @@ def vocabulary(tokens: DataFrame, tasks: int) -> CountVectorizerModel | None:
     if tasks == 1:
         found = CountVectorizer(vocabSize=VOCABULARY, minDF=MIN_DF, **names).fit(tokens)
         return found if found.vocabulary else None
-    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("w"), F.lit(0).alias("n"), F.lit(1).alias("held")))
-    each = F.transform("tokens", lambda t: F.struct(t.alias("w"), F.lit(1).alias("n"), F.lit(0).alias("held")))
-    words = tokens.select(F.inline(F.concat(once, each))).groupBy("w").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    # a turn's tokens in order, set apart by a generator; the first of equal ones counts the turn
+    ordered = tokens.select(F.explode(F.array(F.array_sort("tokens"))).alias("t"))
+    each = F.transform("t", lambda w, i: F.struct(w.alias("w"), ((i == 0) | (F.get("t", i - 1) != w)).cast("int").alias("held")))
+    words = ordered.select(F.inline(each)).groupBy("w").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
     kept = [r["w"] for r in words.where(F.col("held") >= MIN_DF).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
     return CountVectorizerModel.from_vocabulary(kept, **names) if kept else None
 
